@@ -9,7 +9,7 @@ from __future__ import annotations
 from .catalog import (COMPLETED_ORDERS, IN_RANGE, IN_YEAR, P, absint_sql, pct2_sql,
                       register, round2_sql, shop)
 from .oracle import with_model
-from .plans import daily, monthly, totals
+from .plans import daily, monthly, products, totals
 
 # --------------------------------------------------------------------------
 # 1. totals
@@ -126,3 +126,77 @@ SELECT CAST(unnest(range(COALESCE(fy, {P.now.year}), {P.now.year + 1})) AS INTEG
 FROM (SELECT year(MIN(created)) AS fy FROM order_fact WHERE created IS NOT NULL) t"""))
 def q_report_years(spark, sf_dir):
     return monthly.report_years(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# 4-6. products
+
+_RANGE_LINES = f"""
+ro AS (SELECT order_id FROM order_fact WHERE {COMPLETED_ORDERS} AND {IN_RANGE}),
+rl AS (SELECT i.product_id, i.qty, i.line_total FROM item_fact i JOIN ro ON i.order_id = ro.order_id
+       WHERE i.item_type = 'line_item')"""
+
+
+def _top_sql(measure: str, expr: str, bar: str) -> str:
+    return with_model(["order_fact", "item_fact", "product_dim"], f"""
+SELECT CAST(t.rk AS INTEGER) AS rank, t.product_id, p.title, CAST(t.{measure} AS DOUBLE) AS {measure},
+       {bar} AS bar_pct
+FROM top t LEFT JOIN product_dim p ON p.product_id = t.product_id
+CROSS JOIN (SELECT MAX({measure}) AS mx FROM top WHERE rk <= 25) m
+WHERE t.rk <= 25""", extra=_RANGE_LINES + f""",
+pp AS (SELECT product_id, SUM({expr}) AS {measure} FROM rl GROUP BY product_id),
+top AS (SELECT product_id, {measure},
+               ROW_NUMBER() OVER (ORDER BY {measure} DESC, CAST(product_id AS VARCHAR) DESC) AS rk FROM pp)""")
+
+
+@register("top_sellers", _top_sql(
+    "quantity", "qty",
+    "CASE WHEN t.quantity > 0 THEN CAST(t.quantity AS DOUBLE) / NULLIF(CAST(m.mx AS DOUBLE), 0) * 100 "
+    "ELSE CAST(0 AS DOUBLE) END"))
+def q_top_sellers(spark, sf_dir):
+    return products.top_sellers(shop(spark, sf_dir), P)
+
+
+@register("top_earners", _top_sql(
+    "line_total", "line_total",
+    "CASE WHEN t.line_total > 0 THEN CAST(round(t.line_total, 0) AS DOUBLE) / "
+    "NULLIF(CAST(round(m.mx, 0) AS DOUBLE), 0) * 100 ELSE CAST(0 AS DOUBLE) END"))
+def q_top_earners(spark, sf_dir):
+    return products.top_earners(shop(spark, sf_dir), P)
+
+
+_IDS = ", ".join(str(i) for i in P.products)
+
+
+@register("product_sales_monthly", with_model(["order_fact", "item_fact", "product_dim"], """
+SELECT m.month, CAST(m.q AS DOUBLE) AS quantity, CAST(m.t AS DOUBLE) AS line_total,
+       CASE WHEN m.q > 0 THEN CAST(round(m.q, 0) AS DOUBLE) / NULLIF(CAST(round(x.mq, 0) AS DOUBLE), 0) * 100
+            ELSE CAST(0 AS DOUBLE) END AS qty_bar,
+       CASE WHEN m.t > 0 THEN CAST(round(m.t, 0) AS DOUBLE) / NULLIF(CAST(round(x.mt, 0) AS DOUBLE), 0) * 100
+            ELSE CAST(0 AS DOUBLE) END AS total_bar
+FROM (SELECT month, SUM(q) AS q, SUM(t) AS t FROM run GROUP BY month) m
+CROSS JOIN (SELECT GREATEST(COALESCE(MAX(rq), 0), 0) AS mq, GREATEST(COALESCE(MAX(rt), 0), 0) AS mt FROM run) x""",
+    extra=f"""
+ids AS (SELECT product_id FROM product_dim WHERE parent_id IN ({_IDS})
+        UNION SELECT CAST(unnest([{_IDS}]) AS BIGINT)),
+po AS (SELECT i.order_id, f.created, SUM(i.qty) AS q, SUM(i.line_total) AS t
+       FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
+       WHERE i.item_type = 'line_item' AND i.product_id IN (SELECT product_id FROM ids)
+         AND f.{COMPLETED_ORDERS}
+       GROUP BY i.order_id, f.created
+       HAVING NOT (SUM(i.qty) = 0 AND SUM(i.line_total) = 0)),
+run AS (SELECT strftime(created, '%Y%m') AS month, q, t,
+               SUM(q) OVER (PARTITION BY strftime(created, '%Y%m') ORDER BY created, order_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rq,
+               SUM(t) OVER (PARTITION BY strftime(created, '%Y%m') ORDER BY created, order_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rt
+        FROM po)"""))
+def q_product_sales_monthly(spark, sf_dir):
+    return products.product_sales_monthly(shop(spark, sf_dir), P)
+
+
+@register("product_children", with_model(["product_dim"], """
+SELECT p.product_id AS parent_id, p.title AS parent_title, c.product_id AS child_id, c.post_type AS child_type
+FROM product_dim c JOIN product_dim p ON c.parent_id = p.product_id"""))
+def q_product_children(spark, sf_dir):
+    return products.product_children(shop(spark, sf_dir))

@@ -52,4 +52,4 @@ def literal_ids(df_like: DataFrame, ids, name: str, dtype: str = "bigint") -> Da
     values = [F.lit(v) for v in ids]
     if not values:
         return spark.range(0).select(F.lit(None).cast(dtype).alias(name))
-    return spark.range(1).select(F.explode(F.array(*values)).cast(dtype).alias(name))
+    return spark.range(1).select(F.explode(F.array(*values).cast(f"array<{dtype}>")).alias(name))
