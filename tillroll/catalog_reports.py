@@ -9,7 +9,7 @@ from __future__ import annotations
 from .catalog import (COMPLETED_ORDERS, IN_RANGE, IN_YEAR, P, absint_sql, pct2_sql,
                       register, round2_sql, shop)
 from .oracle import with_model
-from .plans import daily, monthly, products, totals
+from .plans import coupons, daily, monthly, products, totals
 
 # --------------------------------------------------------------------------
 # 1. totals
@@ -200,3 +200,104 @@ SELECT p.product_id AS parent_id, p.title AS parent_title, c.product_id AS child
 FROM product_dim c JOIN product_dim p ON c.parent_id = p.product_id"""))
 def q_product_children(spark, sf_dir):
     return products.product_children(shop(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# 7-8. coupons
+
+_COUPON_ITEMS = f"""
+ci AS (SELECT i.order_id, i.item_name AS coupon, i.discount_amount, f.created
+       FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
+       WHERE f.status = 'wc-completed' AND i.item_type = 'coupon' AND i.discount_amount IS NOT NULL),
+lk AS (SELECT title AS coupon, MIN(coupon_id) AS coupon_id FROM coupon_dim
+       WHERE post_status = 'publish' GROUP BY title)"""
+_COUPON_MODEL = ["order_fact", "item_fact", "coupon_dim"]
+
+
+@register("coupon_usage_overview", with_model(_COUPON_MODEL, f"""
+SELECT CAST(a.n AS BIGINT) AS order_count,
+       CASE WHEN b.c > 0 THEN CAST(b.c AS BIGINT) END AS coupon_orders,
+       CASE WHEN b.c > 0 THEN {pct2_sql('b.c', 'a.n')} END AS coupon_pct,
+       CASE WHEN b.d > 0 THEN CAST(b.d AS DOUBLE) END AS total_discount
+FROM (SELECT COUNT(DISTINCT order_id) AS n FROM order_fact
+      WHERE status = 'wc-completed' AND {IN_RANGE}) a
+CROSS JOIN (SELECT COUNT(DISTINCT order_id) AS c, SUM(discount_amount) AS d FROM ci WHERE {IN_RANGE}) b""",
+    extra=_COUPON_ITEMS))
+def q_coupon_usage_overview(spark, sf_dir):
+    return coupons.coupon_usage_overview(shop(spark, sf_dir), P)
+
+
+def _coupon_top_sql(measure: str, agg: str, cast: str) -> str:
+    return with_model(_COUPON_MODEL, f"""
+SELECT CAST(t.rk AS INTEGER) AS rank, t.coupon, CAST(t.{measure} AS {cast}) AS {measure}, lk.coupon_id
+FROM (SELECT coupon, {measure}, ROW_NUMBER() OVER (ORDER BY {measure} DESC, coupon ASC) AS rk
+      FROM (SELECT coupon, {agg} AS {measure} FROM ci WHERE coupon <> '' AND {IN_RANGE} GROUP BY coupon) p) t
+LEFT JOIN lk ON lk.coupon = t.coupon
+WHERE t.rk <= 15""", extra=_COUPON_ITEMS)
+
+
+@register("coupons_most_used", _coupon_top_sql("uses", "COUNT(*)", "BIGINT"))
+def q_coupons_most_used(spark, sf_dir):
+    return coupons.coupons_most_used(shop(spark, sf_dir), P)
+
+
+@register("coupons_greatest_discount", _coupon_top_sql("amount", "SUM(discount_amount)", "DOUBLE"))
+def q_coupons_greatest_discount(spark, sf_dir):
+    return coupons.coupons_greatest_discount(shop(spark, sf_dir), P)
+
+
+@register("used_coupons", with_model(_COUPON_MODEL, """
+SELECT DISTINCT coupon FROM ci WHERE coupon <> ''""", extra=_COUPON_ITEMS))
+def q_used_coupons(spark, sf_dir):
+    return coupons.used_coupons(shop(spark, sf_dir))
+
+
+@register("coupon_lookup", with_model(_COUPON_MODEL, """
+SELECT u.coupon, lk.coupon_id FROM (SELECT DISTINCT coupon FROM ci WHERE coupon <> '') u
+LEFT JOIN lk ON lk.coupon = u.coupon""", extra=_COUPON_ITEMS))
+def q_coupon_lookup(spark, sf_dir):
+    return coupons.used_coupon_lookup(shop(spark, sf_dir))
+
+
+_COUPON_YEAR = _COUPON_ITEMS + f""",
+cells AS (SELECT coupon, CAST(month(created) AS INTEGER) AS month, SUM(discount_amount) AS d
+          FROM ci WHERE coupon <> '' AND {IN_YEAR} GROUP BY 1, 2),
+crow AS (SELECT coupon, SUM(d) AS d FROM cells GROUP BY coupon),
+months AS (SELECT CAST(m AS INTEGER) AS month FROM range(1, 10) t(m))"""
+
+
+@register("coupon_discounts_monthly", with_model(_COUPON_MODEL, """
+SELECT r.coupon, m.month, CAST(COALESCE(c.d, 0) AS DOUBLE) AS discount
+FROM crow r CROSS JOIN months m LEFT JOIN cells c ON c.coupon = r.coupon AND c.month = m.month
+UNION ALL SELECT coupon, CAST(NULL AS INTEGER), CAST(d AS DOUBLE) FROM crow
+UNION ALL SELECT CAST(NULL AS VARCHAR), month, CAST(d AS DOUBLE) FROM cols
+UNION ALL SELECT CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(COALESCE(SUM(d), 0) AS DOUBLE) FROM cols""",
+    extra=_COUPON_YEAR + """,
+cols AS (SELECT m.month, COALESCE(SUM(c.d), 0) AS d FROM months m LEFT JOIN cells c ON c.month = m.month
+         GROUP BY m.month)"""))
+def q_coupon_discounts_monthly(spark, sf_dir):
+    return coupons.coupon_discounts_monthly(shop(spark, sf_dir), P)
+
+
+def _stats_sql(rows: str, name: str, pair_null: bool) -> str:
+    two = "WHEN s.n = 2 THEN NULL" if pair_null else ""
+    return f"""
+SELECT (SELECT {name} FROM {rows} ORDER BY total DESC, {name} ASC LIMIT 1) AS top,
+       CAST(s.mx AS DOUBLE) AS top_total,
+       (SELECT {name} FROM {rows} ORDER BY total ASC, {name} ASC LIMIT 1) AS worst,
+       CAST(s.mn AS DOUBLE) AS worst_total,
+       CAST(s.sm AS DOUBLE) / CAST(s.n AS DOUBLE) AS average,
+       CASE {two}
+            WHEN s.n % 2 = 1 THEN (CAST((SELECT total FROM ranked WHERE rn = (s.n + 1) // 2) AS DOUBLE)
+                                   + COALESCE(CAST((SELECT total FROM ranked WHERE rn = (s.n + 3) // 2) AS DOUBLE), 0))
+                                  / CAST(2 AS DOUBLE)
+            ELSE CAST((SELECT total FROM ranked WHERE rn = s.n // 2 + 1) AS DOUBLE) END AS median
+FROM (SELECT COUNT(*) AS n, MAX(total) AS mx, MIN(total) AS mn, SUM(total) AS sm FROM {rows}) s"""
+
+
+@register("coupon_discounts_stats", with_model(_COUPON_MODEL, _stats_sql("crt", "coupon", True) + """
+WHERE s.n > 1""", extra=_COUPON_YEAR + """,
+crt AS (SELECT coupon, d AS total FROM crow),
+ranked AS (SELECT total, ROW_NUMBER() OVER (ORDER BY total, coupon) AS rn FROM crt)"""))
+def q_coupon_discounts_stats(spark, sf_dir):
+    return coupons.coupon_discounts_stats(shop(spark, sf_dir), P)
