@@ -9,7 +9,7 @@ from __future__ import annotations
 from .catalog import (COMPLETED_ORDERS, IN_RANGE, IN_YEAR, P, absint_sql, pct2_sql,
                       register, round2_sql, shop)
 from .oracle import with_model
-from .plans import coupons, daily, monthly, products, totals
+from .plans import coupons, customers, daily, monthly, products, stock, taxes, totals
 
 # --------------------------------------------------------------------------
 # 1. totals
@@ -301,3 +301,127 @@ crt AS (SELECT coupon, d AS total FROM crow),
 ranked AS (SELECT total, ROW_NUMBER() OVER (ORDER BY total, coupon) AS rn FROM crt)"""))
 def q_coupon_discounts_stats(spark, sf_dir):
     return coupons.coupon_discounts_stats(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# 9. customers
+
+@register("customer_guest_overview", with_model(["order_fact", "user_dim"], f"""
+SELECT CASE WHEN u.n > 0 THEN CAST(u.n AS BIGINT) END AS total_customers,
+       CASE WHEN c.s > 0 THEN CAST(c.s AS DOUBLE) END AS total_customer_sales,
+       CASE WHEN g.s > 0 THEN CAST(g.s AS DOUBLE) END AS total_guest_sales,
+       CASE WHEN c.n > 0 THEN CAST(c.n AS BIGINT) END AS total_customer_orders,
+       CASE WHEN g.n > 0 THEN CAST(g.n AS BIGINT) END AS total_guest_orders,
+       CASE WHEN c.n > 0 AND u.n > 0 THEN {round2_sql('c.n', 'u.n')} END AS orders_per_customer
+FROM (SELECT COUNT(*) AS n FROM user_dim WHERE role = 'customer') u
+CROSS JOIN (SELECT SUM(total) AS s, COUNT(*) AS n FROM order_fact
+            WHERE {COMPLETED_ORDERS} AND order_id IN (SELECT order_id FROM order_fact WHERE customer_id > 0)) c
+CROSS JOIN (SELECT SUM(total) AS s, COUNT(*) AS n FROM order_fact
+            WHERE {COMPLETED_ORDERS} AND order_id IN (SELECT order_id FROM order_fact WHERE customer_id = 0)) g"""))
+def q_customer_guest_overview(spark, sf_dir):
+    return customers.customer_guest_overview(shop(spark, sf_dir), P)
+
+
+@register("customer_signups_daily", with_model(["user_dim"], """
+SELECT COALESCE(s.day, d.day) AS day, CAST(COALESCE(d.n, 0) AS BIGINT) AS signups
+FROM spine s FULL JOIN d ON s.day = d.day""", extra="""
+d AS (SELECT CAST(user_registered AS DATE) AS day, COUNT(*) AS n FROM signup_dim
+      WHERE role = 'customer' AND user_registered > TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1),
+spine AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day)"""))
+def q_customer_signups_daily(spark, sf_dir):
+    return customers.customer_signups_daily(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# 10. stock
+
+_SIGNED = "COALESCE(TRY_CAST(regexp_extract(stock, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0)"
+_NUMBER = ("COALESCE(TRY_CAST(regexp_extract(COALESCE(stock, ''), "
+           "'^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1) AS DOUBLE), 0)")
+_STOCK = f"""
+cand AS (
+  SELECT product_id,
+         CASE WHEN post_type = 'product' THEN product_id ELSE parent_id END AS edit_id,
+         COALESCE(stock, '') AS stock, sku, title,
+         (post_type = 'product' AND stock_status = 'outofstock') AS flagged
+  FROM product_dim
+  WHERE post_status = 'publish' AND (
+        (post_type = 'product' AND manage_stock = 'yes' AND stock IS NOT NULL AND {_SIGNED} <= {P.low_stock}
+         AND product_type IN ('simple', 'variable'))
+     OR (post_type = 'product_variation' AND stock IS NOT NULL AND stock <> '' AND {_SIGNED} <= {P.low_stock})
+     OR (post_type = 'product' AND stock_status = 'outofstock')))"""
+
+
+@register("low_stock", with_model(["product_dim"], f"""
+SELECT product_id, edit_id, CAST(trunc({_NUMBER}) AS BIGINT) AS stock, sku, title
+FROM cand WHERE NOT flagged AND CAST(trunc({_NUMBER}) AS BIGINT) > {P.no_stock}""", extra=_STOCK))
+def q_low_stock(spark, sf_dir):
+    return stock.low_stock(shop(spark, sf_dir), P)
+
+
+@register("out_of_stock", with_model(["product_dim"], f"""
+SELECT product_id, edit_id, stock, stock = '' AS marked, sku, title
+FROM cand
+WHERE flagged OR NOT (CASE WHEN regexp_matches(stock, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$')
+                          THEN TRY_CAST(trim(stock) AS DOUBLE) > {P.no_stock}
+                          ELSE stock > '{P.no_stock}' END)""", extra=_STOCK))
+def q_out_of_stock(spark, sf_dir):
+    return stock.out_of_stock(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# 11. taxes
+
+_TAX_MONTHS = f"""
+tm AS (SELECT CAST(month(created) AS INTEGER) AS m, SUM(total) AS gross, SUM(shipping) AS shipping,
+              SUM(order_tax) AS order_tax, SUM(shipping_tax) AS shipping_tax
+       FROM order_fact WHERE {COMPLETED_ORDERS} AND {IN_YEAR} GROUP BY 1),
+spine AS (SELECT CAST(m AS INTEGER) AS month, make_date({P.year}, CAST(m AS INTEGER), 1) AS month_start
+          FROM range(1, 10) t(m)),
+tx AS (SELECT s.month_start, COALESCE(tm.gross, 0) AS gross, COALESCE(tm.shipping, 0) AS shipping,
+              COALESCE(tm.order_tax, 0) AS order_tax, COALESCE(tm.shipping_tax, 0) AS shipping_tax
+       FROM spine s LEFT JOIN tm ON tm.m = s.month)"""
+
+
+@register("monthly_taxes", with_model(["order_fact"], """
+SELECT month_start, CAST(gross AS DOUBLE) AS gross, CAST(shipping AS DOUBLE) AS shipping,
+       CAST(order_tax AS DOUBLE) AS order_tax, CAST(shipping_tax AS DOUBLE) AS shipping_tax,
+       CAST(order_tax + shipping_tax AS DOUBLE) AS total_tax,
+       CAST(gross - shipping - (order_tax + shipping_tax) AS DOUBLE) AS net
+FROM tx""", extra=_TAX_MONTHS))
+def q_monthly_taxes(spark, sf_dir):
+    return taxes.monthly_taxes(shop(spark, sf_dir), P)
+
+
+@register("tax_year_summary", with_model(["order_fact"], """
+SELECT CASE WHEN ot + st > 0 THEN CAST(ot + st AS DOUBLE) END AS total_tax,
+       CASE WHEN ot > 0 THEN CAST(ot AS DOUBLE) END AS product_tax,
+       CASE WHEN st > 0 THEN CAST(st AS DOUBLE) END AS shipping_tax,
+       CAST(COALESCE(g, 0) AS DOUBLE) AS gross, CAST(COALESCE(sh, 0) AS DOUBLE) AS shipping,
+       CAST(COALESCE(g - sh - (ot + st), 0) AS DOUBLE) AS net
+FROM (SELECT SUM(gross) AS g, SUM(shipping) AS sh, SUM(order_tax) AS ot, SUM(shipping_tax) AS st FROM tx) t""",
+    extra=_TAX_MONTHS))
+def q_tax_year_summary(spark, sf_dir):
+    return taxes.tax_year_summary(shop(spark, sf_dir), P)
+
+
+@register("monthly_taxes_by_rate", with_model(["order_fact", "item_fact"], """
+SELECT m.month, l.rate, CAST(COALESCE(c.tax, 0) AS DOUBLE) AS tax,
+       CAST(COALESCE(c.shipping_tax, 0) AS DOUBLE) AS shipping_tax,
+       CAST(COALESCE(c.total_tax, 0) AS DOUBLE) AS total_tax
+FROM labels l CROSS JOIN months m LEFT JOIN cells c ON c.rate = l.rate AND c.month = m.month
+UNION ALL
+SELECT CAST(NULL AS INTEGER), l.rate, CAST(COALESCE(SUM(c.tax), 0) AS DOUBLE),
+       CAST(COALESCE(SUM(c.shipping_tax), 0) AS DOUBLE), CAST(COALESCE(SUM(c.total_tax), 0) AS DOUBLE)
+FROM labels l LEFT JOIN cells c ON c.rate = l.rate GROUP BY l.rate""", extra=f"""
+cells AS (SELECT CAST(month(f.created) AS INTEGER) AS month, i.item_name AS rate,
+                 SUM(i.tax_amount) AS tax, SUM(i.shipping_tax_amount) AS shipping_tax,
+                 SUM(i.tax_amount + i.shipping_tax_amount) AS total_tax
+          FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
+          WHERE i.item_type = 'tax' AND i.tax_amount IS NOT NULL AND i.shipping_tax_amount IS NOT NULL
+            AND f.{COMPLETED_ORDERS} AND f.{IN_YEAR} AND month(f.created) <= 9
+          GROUP BY 1, 2),
+labels AS (SELECT DISTINCT rate FROM cells WHERE total_tax > 0 AND rate IS NOT NULL AND rate NOT IN ('', '0')),
+months AS (SELECT CAST(m AS INTEGER) AS month FROM range(1, 10) t(m))"""))
+def q_monthly_taxes_by_rate(spark, sf_dir):
+    return taxes.monthly_taxes_by_rate(shop(spark, sf_dir), P)
