@@ -9,7 +9,7 @@ from __future__ import annotations
 from .catalog import (COMPLETED_ORDERS, IN_RANGE, IN_YEAR, P, absint_sql, pct2_sql,
                       register, round2_sql, shop)
 from .oracle import with_model
-from .plans import coupons, customers, daily, monthly, products, stock, taxes, totals
+from .plans import categories, coupons, customers, daily, monthly, products, stock, taxes, totals
 
 # --------------------------------------------------------------------------
 # 1. totals
@@ -279,15 +279,16 @@ def q_coupon_discounts_monthly(spark, sf_dir):
     return coupons.coupon_discounts_monthly(shop(spark, sf_dir), P)
 
 
-def _stats_sql(rows: str, name: str, pair_null: bool) -> str:
+def _stats_sql(rows: str, name: str, pair_null: bool, shown_when_many: bool = False) -> str:
     two = "WHEN s.n = 2 THEN NULL" if pair_null else ""
+    many = "s.n > 1" if shown_when_many else "TRUE"  # worst/average/median only when n > 1
     return f"""
 SELECT (SELECT {name} FROM {rows} ORDER BY total DESC, {name} ASC LIMIT 1) AS top,
        CAST(s.mx AS DOUBLE) AS top_total,
-       (SELECT {name} FROM {rows} ORDER BY total ASC, {name} ASC LIMIT 1) AS worst,
-       CAST(s.mn AS DOUBLE) AS worst_total,
-       CAST(s.sm AS DOUBLE) / CAST(s.n AS DOUBLE) AS average,
-       CASE {two}
+       CASE WHEN {many} THEN (SELECT {name} FROM {rows} ORDER BY total ASC, {name} ASC LIMIT 1) END AS worst,
+       CASE WHEN {many} THEN CAST(s.mn AS DOUBLE) END AS worst_total,
+       CASE WHEN {many} THEN CAST(s.sm AS DOUBLE) / CAST(s.n AS DOUBLE) END AS average,
+       CASE {two} WHEN NOT ({many}) THEN NULL
             WHEN s.n % 2 = 1 THEN (CAST((SELECT total FROM ranked WHERE rn = (s.n + 1) // 2) AS DOUBLE)
                                    + COALESCE(CAST((SELECT total FROM ranked WHERE rn = (s.n + 3) // 2) AS DOUBLE), 0))
                                   / CAST(2 AS DOUBLE)
@@ -425,3 +426,88 @@ labels AS (SELECT DISTINCT rate FROM cells WHERE total_tax > 0 AND rate IS NOT N
 months AS (SELECT CAST(m AS INTEGER) AS month FROM range(1, 10) t(m))"""))
 def q_monthly_taxes_by_rate(spark, sf_dir):
     return taxes.monthly_taxes_by_rate(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# 12. categories
+
+_NAMES = ", ".join(f"'{n}'" for n in P.category_names)
+_CAT = f"""
+walk(ancestor_id, term_id, depth) AS (
+  SELECT term_id, term_id, 0 FROM category_dim
+  UNION ALL
+  SELECT w.ancestor_id, c.term_id, w.depth + 1 FROM walk w JOIN category_dim c ON c.parent_id = w.term_id),
+chosen AS (SELECT term_id FROM category_dim WHERE name IN ({_NAMES})),
+incl AS (SELECT DISTINCT w.term_id FROM walk w JOIN chosen c ON w.ancestor_id = c.term_id),
+bridge AS (SELECT DISTINCT w.ancestor_id AS cat, pc.product_id
+           FROM walk w JOIN incl i ON w.ancestor_id = i.term_id
+           JOIN product_category pc ON pc.term_id = w.term_id),
+sales AS (SELECT CAST(month(f.created) AS INTEGER) AS month, i.product_id, SUM(i.line_total) AS s
+          FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
+          WHERE i.item_type = 'line_item' AND f.{COMPLETED_ORDERS} AND f.{IN_YEAR} AND month(f.created) <= 9
+          GROUP BY 1, 2),
+cm AS (SELECT b.cat, s.month, SUM(s.s) AS s FROM bridge b JOIN sales s ON s.product_id = b.product_id
+       GROUP BY 1, 2),
+ct AS (SELECT cat, SUM(s) AS total FROM cm GROUP BY cat HAVING SUM(s) <> 0),
+months AS (SELECT CAST(m AS INTEGER) AS month FROM range(1, 10) t(m))"""
+_CAT_MODEL = ["order_fact", "item_fact", "category_dim"]
+
+
+@register("category_sales_monthly", with_model(_CAT_MODEL, """
+SELECT c.name AS category, c.parent_id > 0 AS is_child, m.month, CAST(COALESCE(x.s, 0) AS DOUBLE) AS sales
+FROM ct JOIN category_dim c ON c.term_id = ct.cat CROSS JOIN months m
+LEFT JOIN cm x ON x.cat = ct.cat AND x.month = m.month
+UNION ALL
+SELECT c.name, c.parent_id > 0, CAST(NULL AS INTEGER), CAST(ct.total AS DOUBLE)
+FROM ct JOIN category_dim c ON c.term_id = ct.cat""", extra=_CAT, recursive=True))
+def q_category_sales_monthly(spark, sf_dir):
+    return categories.category_sales_monthly(shop(spark, sf_dir), P)
+
+
+@register("category_sales_totals", with_model(_CAT_MODEL, """
+SELECT month, CAST(s AS DOUBLE) AS sales FROM mt
+UNION ALL SELECT CAST(NULL AS INTEGER), CAST(COALESCE(SUM(s), 0) AS DOUBLE) FROM mt""", extra=_CAT + """,
+tops AS (SELECT term_id FROM incl i
+         WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN incl a ON a.term_id = w.ancestor_id
+                           WHERE w.term_id = i.term_id AND w.depth > 0)),
+mt AS (SELECT m.month, COALESCE(SUM(cm.s), 0) AS s
+       FROM months m LEFT JOIN cm ON cm.month = m.month AND cm.cat IN (SELECT term_id FROM tops)
+       GROUP BY m.month)""", recursive=True))
+def q_category_sales_totals(spark, sf_dir):
+    return categories.category_sales_totals(shop(spark, sf_dir), P)
+
+
+@register("category_sales_stats", with_model(_CAT_MODEL, _stats_sql("named", "name", False, shown_when_many=True),
+                                           extra=_CAT + """,
+named AS (SELECT c.name, ct.total FROM ct JOIN category_dim c ON c.term_id = ct.cat),
+ranked AS (SELECT total, ROW_NUMBER() OVER (ORDER BY total, name) AS rn FROM named)""", recursive=True))
+def q_category_sales_stats(spark, sf_dir):
+    return categories.category_sales_stats(shop(spark, sf_dir), P)
+
+
+@register("category_closure", with_model(["category_dim"], """
+SELECT a.name AS ancestor, w.ancestor_id, t.name AS term, w.term_id, CAST(w.depth AS INTEGER) AS depth
+FROM walk w JOIN category_dim a ON a.term_id = w.ancestor_id JOIN category_dim t ON t.term_id = w.term_id""",
+    extra="""
+walk(ancestor_id, term_id, depth) AS (
+  SELECT term_id, term_id, 0 FROM category_dim
+  UNION ALL
+  SELECT w.ancestor_id, c.term_id, w.depth + 1 FROM walk w JOIN category_dim c ON c.parent_id = w.term_id)""",
+    recursive=True))
+def q_category_closure(spark, sf_dir):
+    return categories.category_closure(shop(spark, sf_dir))
+
+
+@register("sales_rollup", with_model(_CAT_MODEL, """
+SELECT pr.category, CAST(p.month AS INTEGER) AS month, CAST(SUM(p.s) AS DOUBLE) AS sales,
+       CAST(GROUPING(pr.category, p.month) AS INTEGER) AS level
+FROM per p JOIN pr ON pr.product_id = p.product_id
+GROUP BY CUBE (pr.category, p.month)""", extra=f"""
+per AS (SELECT CAST(month(f.created) AS INTEGER) AS month, i.product_id, SUM(i.line_total) AS s
+        FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
+        WHERE i.item_type = 'line_item' AND f.{COMPLETED_ORDERS} AND f.{IN_YEAR} GROUP BY 1, 2),
+pr AS (SELECT DISTINCT pc.product_id, r.name AS category
+       FROM product_category pc JOIN category_dim c ON c.term_id = pc.term_id AND c.parent_id > 0
+       JOIN category_dim r ON r.term_id = c.parent_id AND r.parent_id = 0)"""))
+def q_sales_rollup(spark, sf_dir):
+    return categories.sales_rollup(shop(spark, sf_dir), P)
