@@ -511,3 +511,115 @@ pr AS (SELECT DISTINCT pc.product_id, r.name AS category
        JOIN category_dim r ON r.term_id = c.parent_id AND r.parent_id = 0)"""))
 def q_sales_rollup(spark, sf_dir):
     return categories.sales_rollup(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# operators
+
+from .plans import operators_demo as ops  # noqa: E402
+
+_OFFSET = 1_000_000_000
+
+
+@register("eav_pivot_orders", with_model(["order_fact"], """
+SELECT order_id, post_type, status, created, CAST(total AS DOUBLE) AS total, CAST(shipping AS DOUBLE) AS shipping,
+       CAST(order_tax AS DOUBLE) AS order_tax, CAST(shipping_tax AS DOUBLE) AS shipping_tax,
+       CAST(order_discount AS DOUBLE) AS order_discount, CAST(cart_discount AS DOUBLE) AS cart_discount,
+       customer_id
+FROM order_fact"""))
+def q_eav_pivot_orders(spark, sf_dir):
+    return ops.eav_pivot_orders(spark, sf_dir)
+
+
+_NUMBERED = """
+numbered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line_no
+  FROM lineitem),
+base AS (SELECT *, l_orderkey * 1000000 + line_no * 3 AS bid FROM numbered)"""
+
+
+@register("eav_pivot_items", f"""
+WITH {_NUMBERED.strip()}
+SELECT bid AS order_item_id, l_orderkey AS order_id, 'line_item' AS item_type, CAST(NULL AS VARCHAR) AS item_name,
+       l_partkey + {_OFFSET} AS product_id,
+       CAST(CASE WHEN l_orderkey % 50 = 7 THEN -CAST(l_quantity AS DECIMAL(18,2))
+                 ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS DOUBLE) AS qty,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS line_total,
+       CAST(NULL AS DOUBLE) AS discount_amount, CAST(NULL AS DOUBLE) AS tax_amount,
+       CAST(NULL AS DOUBLE) AS shipping_tax_amount
+FROM base
+UNION ALL
+SELECT bid + 1, l_orderkey, 'coupon',
+       'SAVE' || CAST(CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS INTEGER) AS VARCHAR) || '-' || l_returnflag,
+       CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE),
+       CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+FROM base WHERE l_discount > 0
+UNION ALL
+SELECT bid + 2, l_orderkey, 'tax', 'VAT' || CAST(CAST(CAST(l_tax AS DECIMAL(4,2)) * 100 AS INTEGER) AS VARCHAR),
+       CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS DOUBLE),
+       CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS DOUBLE)
+FROM base WHERE l_tax > 0""")
+def q_eav_pivot_items(spark, sf_dir):
+    return ops.eav_pivot_items(spark, sf_dir)
+
+
+@register("customer_semi_join", with_model(["order_fact"], f"""
+SELECT 'customer' AS customer_group, CAST(COUNT(*) AS BIGINT) AS orders, CAST(SUM(total) AS DOUBLE) AS sales
+FROM order_fact WHERE {COMPLETED_ORDERS} AND customer_id > 0
+UNION ALL
+SELECT 'guest', CAST(COUNT(*) AS BIGINT), CAST(SUM(total) AS DOUBLE)
+FROM order_fact WHERE {COMPLETED_ORDERS} AND customer_id = 0"""))
+def q_customer_semi_join(spark, sf_dir):
+    return ops.customer_semi_join(spark, sf_dir)
+
+
+_STOCK_NUM = "COALESCE(TRY_CAST(NULLIF(regexp_extract(stock, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(18,4)), 0)"
+
+
+@register("mysql_number_coercion", with_model(["order_fact", "item_fact", "product_dim"], f"""
+SELECT meta_key, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS total FROM (
+  SELECT '_order_total' AS meta_key, COUNT(*) AS n, SUM(total) AS total FROM order_fact
+  UNION ALL SELECT '_order_shipping', COUNT(*), SUM(shipping) FROM order_fact
+  UNION ALL SELECT '_order_tax', COUNT(*), SUM(order_tax) FROM order_fact
+  UNION ALL SELECT '_order_shipping_tax', COUNT(*), SUM(shipping_tax) FROM order_fact
+  UNION ALL SELECT '_order_discount', COUNT(*), SUM(order_discount) FROM order_fact
+  UNION ALL SELECT '_cart_discount', COUNT(*), SUM(cart_discount) FROM order_fact
+  UNION ALL SELECT '_customer_user', COUNT(*), SUM(CAST(customer_id AS DECIMAL(18,4))) FROM order_fact
+  UNION ALL SELECT '_manage_stock', COUNT(*), 0 FROM product_dim
+  UNION ALL SELECT '_stock', COUNT(*), SUM({_STOCK_NUM}) FROM product_dim
+  UNION ALL SELECT '_stock_status', COUNT(*), 0 FROM product_dim
+  UNION ALL SELECT '_sku', COUNT(sku), 0 FROM product_dim
+  UNION ALL SELECT '_qty', COUNT(*), SUM(qty) FROM item_fact WHERE item_type = 'line_item'
+  UNION ALL SELECT '_line_total', COUNT(*), SUM(line_total) FROM item_fact WHERE item_type = 'line_item'
+  UNION ALL SELECT '_product_id', COUNT(*), SUM(CAST(product_id + {_OFFSET} AS DECIMAL(18,4)))
+            FROM item_fact WHERE item_type = 'line_item'
+  UNION ALL SELECT 'discount_amount', COUNT(*), SUM(discount_amount) FROM item_fact WHERE item_type = 'coupon'
+  UNION ALL SELECT 'tax_amount', COUNT(*), SUM(tax_amount) FROM item_fact WHERE item_type = 'tax'
+  UNION ALL SELECT 'shipping_tax_amount', COUNT(*), SUM(shipping_tax_amount) FROM item_fact WHERE item_type = 'tax'
+) t"""))
+def q_mysql_number_coercion(spark, sf_dir):
+    return ops.mysql_number_coercion(spark, sf_dir)
+
+
+@register("hook_override", with_model(["order_fact", "item_fact"], "SELECT * FROM t",
+                                    extra=_TOTALS_BODY.lstrip("\n, ").replace(
+                                        "SELECT SUM(total) AS s, COUNT(*) AS n,",
+                                        "SELECT SUM(CASE WHEN shipping <> 25 THEN total END) AS s, "
+                                        "COUNT(CASE WHEN shipping <> 25 THEN 1 END) AS n,")))
+def q_hook_override(spark, sf_dir):
+    return ops.hook_override(shop(spark, sf_dir))
+
+
+@register("chart_series_monthly", with_model(["order_fact", "item_fact"], """
+SELECT series, '[' || string_agg('[' || CAST(ms AS VARCHAR) || ',' || v || ']', ',' ORDER BY ms) || ']' AS points
+FROM (SELECT 'order_counts' AS series, epoch_ms(CAST(month_start AS TIMESTAMP)) AS ms, CAST(orders AS VARCHAR) AS v
+      FROM monthly
+      UNION ALL
+      SELECT 'order_amounts', epoch_ms(CAST(month_start AS TIMESTAMP)),
+             CAST(CAST(sales_dec AS DECIMAL(20,2)) AS VARCHAR) FROM monthly) s
+GROUP BY series""", extra=_MONTHLY))
+def q_chart_series_monthly(spark, sf_dir):
+    return ops.chart_series_monthly(shop(spark, sf_dir), P)

@@ -101,24 +101,29 @@ ITEM_COLUMNS = ("order_id", "item_type", "item_name", "product_id", "qty", "line
                 "discount_amount", "tax_amount", "shipping_tax_amount")
 
 
-def item_fact(lineitem: DataFrame) -> DataFrame:
+def item_fact(lineitem: DataFrame, item_id: F.Column | None = None) -> DataFrame:
     """Line, coupon and tax items as a union of three projections.
 
     A report filtering on ``item_type`` keeps one branch: the others fold to
-    empty relations at optimisation time, so only one scan remains.
+    empty relations at optimisation time, so only one scan remains.  With
+    ``item_id`` (a per-line base id) each item also gets ``order_item_id`` =
+    base + 0 / 1 / 2 for its line / coupon / tax item.
     """
+    def ids(kind: int) -> list:
+        return [] if item_id is None else [(item_id + kind).alias("order_item_id")]
+
     order_id = F.col("l_orderkey").alias("order_id")
     refund = F.col("l_orderkey") % 50 == 7
     none_money = F.lit(None).cast(MONEY)
     qty = F.when(refund, -_money("l_quantity")).otherwise(_money("l_quantity")).cast(MONEY)
     line = lineitem.select(
-        order_id, F.lit("line_item").alias("item_type"), F.lit(None).cast("string").alias("item_name"),
+        *ids(0), order_id, F.lit("line_item").alias("item_type"), F.lit(None).cast("string").alias("item_name"),
         F.col("l_partkey").alias("product_id"), qty.alias("qty"),
         _money("l_extendedprice").cast(MONEY).alias("line_total"),
         none_money.alias("discount_amount"), none_money.alias("tax_amount"),
         none_money.alias("shipping_tax_amount"))
     coupon = lineitem.filter(F.col("l_discount") > 0).select(
-        order_id, F.lit("coupon").alias("item_type"),
+        *ids(1), order_id, F.lit("coupon").alias("item_type"),
         F.concat(F.lit("SAVE"), _pct("l_discount").cast("string"), F.lit("-"),
                  F.col("l_returnflag")).alias("item_name"),
         F.lit(None).cast("bigint").alias("product_id"), none_money.alias("qty"),
@@ -126,7 +131,7 @@ def item_fact(lineitem: DataFrame) -> DataFrame:
         (_money("l_extendedprice") * _money("l_discount")).cast(MONEY).alias("discount_amount"),
         none_money.alias("tax_amount"), none_money.alias("shipping_tax_amount"))
     tax = lineitem.filter(F.col("l_tax") > 0).select(
-        order_id, F.lit("tax").alias("item_type"),
+        *ids(2), order_id, F.lit("tax").alias("item_type"),
         F.concat(F.lit("VAT"), _pct("l_tax").cast("string")).alias("item_name"),
         F.lit(None).cast("bigint").alias("product_id"), none_money.alias("qty"),
         none_money.alias("line_total"), none_money.alias("discount_amount"),
