@@ -623,3 +623,22 @@ FROM (SELECT 'order_counts' AS series, epoch_ms(CAST(month_start AS TIMESTAMP))
 GROUP BY series""", extra=_MONTHLY))
 def q_chart_series_monthly(spark, sf_dir):
     return ops.chart_series_monthly(shop(spark, sf_dir), P)
+
+
+# --------------------------------------------------------------------------
+# streams (oracle: the batch report's SQL)
+
+from .catalog import _ORACLE  # noqa: E402
+from .streaming import daily as streams  # noqa: E402
+
+
+@register("daily_sales_stream", _ORACLE["daily_sales"])
+def q_daily_sales_stream(spark, sf_dir):
+    paths = streams.run_daily_sales_stream(spark, sf_dir, P, glob="orders.parquet")
+    return streams.read_daily_sales(spark, paths, P)
+
+
+@register("signups_stream", _ORACLE["customer_signups_daily"])
+def q_signups_stream(spark, sf_dir):
+    paths = streams.run_signups_stream(spark, sf_dir, P, glob="events.parquet")
+    return streams.read_signups(spark, paths, P)
