@@ -45,8 +45,19 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+_SHOPS: dict[tuple[str, str], object] = {}
+
+
 def shop(spark: SparkSession, sf_dir: str):
-    return load_shop(spark, sf_dir)
+    """The typed model of ``sf_dir``, built once per session.
+
+    Only lazy plan objects are kept (no data is cached), so every query
+    still reads the files; this saves re-analysing the model's plans.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SHOPS:
+        _SHOPS[key] = load_shop(spark, sf_dir)
+    return _SHOPS[key]
 
 
 # -- oracle fragments shared by several queries ------------------------------

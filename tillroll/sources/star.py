@@ -44,6 +44,18 @@ def _money(c) -> F.Column:
     return F.col(c).cast("decimal(18,2)") if isinstance(c, str) else c.cast("decimal(18,2)")
 
 
+def _price(c: str) -> F.Column:
+    """A line amount as DECIMAL(12,2): products with a rate then have
+    precision 17 and stay on Spark's 64-bit decimal path (a line of 10^10
+    or more fails loudly under ANSI instead of losing digits)."""
+    return F.col(c).cast("decimal(12,2)")
+
+
+def _rate(c: str) -> F.Column:
+    """A rate in [0, 1) (discount, tax) as DECIMAL(4,2)."""
+    return F.col(c).cast("decimal(4,2)")
+
+
 def _pct(c: str) -> F.Column:
     return (F.col(c).cast("decimal(4,2)") * 100).cast("int")
 
@@ -72,9 +84,9 @@ def order_core(orders: DataFrame) -> DataFrame:
 def order_money(lineitem: DataFrame) -> DataFrame:
     """Per-order tax and coupon discount: one aggregate keyed by order."""
     return lineitem.groupBy(F.col("l_orderkey").alias("money_order_id")).agg(
-        F.sum(_money("l_extendedprice") * _money("l_tax")).cast(MONEY).alias("order_tax"),
+        F.sum(_price("l_extendedprice") * _rate("l_tax")).cast(MONEY).alias("order_tax"),
         F.coalesce(F.sum(F.when(F.col("l_discount") > 0,
-                                _money("l_extendedprice") * _money("l_discount"))),
+                                _price("l_extendedprice") * _rate("l_discount"))),
                    F.lit(0)).cast(MONEY).alias("cart_discount"),
     )
 
@@ -128,15 +140,15 @@ def item_fact(lineitem: DataFrame, item_id: F.Column | None = None) -> DataFrame
                  F.col("l_returnflag")).alias("item_name"),
         F.lit(None).cast("bigint").alias("product_id"), none_money.alias("qty"),
         none_money.alias("line_total"),
-        (_money("l_extendedprice") * _money("l_discount")).cast(MONEY).alias("discount_amount"),
+        (_price("l_extendedprice") * _rate("l_discount")).cast(MONEY).alias("discount_amount"),
         none_money.alias("tax_amount"), none_money.alias("shipping_tax_amount"))
     tax = lineitem.filter(F.col("l_tax") > 0).select(
         *ids(2), order_id, F.lit("tax").alias("item_type"),
         F.concat(F.lit("VAT"), _pct("l_tax").cast("string")).alias("item_name"),
         F.lit(None).cast("bigint").alias("product_id"), none_money.alias("qty"),
         none_money.alias("line_total"), none_money.alias("discount_amount"),
-        (_money("l_extendedprice") * _money("l_tax")).cast(MONEY).alias("tax_amount"),
-        (_money("l_quantity") * _money("l_tax")).cast(MONEY).alias("shipping_tax_amount"))
+        (_price("l_extendedprice") * _rate("l_tax")).cast(MONEY).alias("tax_amount"),
+        (_price("l_quantity") * _rate("l_tax")).cast(MONEY).alias("shipping_tax_amount"))
     return line.unionByName(coupon).unionByName(tax)
 
 
