@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+_TREES: dict[int, tuple[DataFrame, DataFrame]] = {}
+
 
 def closure(categories: DataFrame) -> DataFrame:
     """(ancestor_id, term_id, depth): depth 0 pairs a term with itself."""
@@ -28,6 +32,23 @@ def closure(categories: DataFrame) -> DataFrame:
         cats=categories.select("term_id", "parent_id"))
 
 
+def materialized_closure(categories: DataFrame) -> DataFrame:
+    """The closure of ``categories``, computed once and checkpointed.
+
+    Each step of the recursion re-reads the category frame, and the reports
+    walk the tree several times per query; the closure of a category
+    dimension is small, so it is written once (reliable checkpoint in the
+    shared checkpoint folder — lineage cut, survives executor loss) and
+    reused for as long as the same category frame is.
+    """
+    hit = _TREES.get(id(categories))
+    if hit is None or hit[0] is not categories:
+        checkpoint_dir(categories.sparkSession)
+        hit = (categories, closure(categories).checkpoint(eager=True))
+        _TREES[id(categories)] = hit
+    return hit[1]
+
+
 def expand_with_descendants(chosen: DataFrame, tree: DataFrame) -> DataFrame:
     """(term_id) of the chosen terms and all their descendants."""
     return (tree.join(chosen.select(F.col("term_id").alias("ancestor_id")), "ancestor_id")

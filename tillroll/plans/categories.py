@@ -23,7 +23,8 @@ from ..functions.dates import in_year, matrix_months, month_of
 from ..model import DEFAULT, Params, Shop
 from ..operators.calendar import int_spine
 from ..operators.stats import entity_stats
-from ..operators.taxonomy import closure, expand_with_descendants, members, without_included_ancestor
+from ..operators.taxonomy import (expand_with_descendants, materialized_closure, members,
+                                  without_included_ancestor)
 from .common import completed_orders, items_of
 
 
@@ -42,7 +43,7 @@ def _month_product_sales(shop: Shop, params: Params, hooks) -> DataFrame:
 
 
 def _category_months(shop: Shop, params: Params, hooks):
-    tree = closure(shop.categories)
+    tree = materialized_closure(shop.categories)
     included = expand_with_descendants(chosen_categories(shop, params), tree)
     bridge = members(included, tree, shop.product_categories)
     sales = _month_product_sales(shop, params, hooks)
@@ -98,7 +99,7 @@ def category_sales_stats(shop: Shop, params: Params = DEFAULT, hooks=None) -> Da
 
 def category_closure(shop: Shop) -> DataFrame:
     """(ancestor, ancestor_id, term, term_id, depth) over the whole tree."""
-    tree = closure(shop.categories)
+    tree = materialized_closure(shop.categories)
     names = shop.categories.select("term_id", "name")
     return (tree.join(names.select(F.col("term_id").alias("ancestor_id"), F.col("name").alias("ancestor")),
                       "ancestor_id")
