@@ -49,3 +49,14 @@ def test_share_of_max(spark):
     rounded = [r[0] for r in df.select(share_of_max("v", "m", rounded=True)).collect()]
     assert plain == [50.0, 0.0, 100.0]
     assert rounded == [50.0, 0.0, None]  # round(0.4) = 0: no division by zero
+
+
+@pytest.mark.parametrize("dtype", ["decimal(18,4)", "bigint"])
+@pytest.mark.parametrize("text", ["12.50", "5.", ".5", "+4", "-2.5e1z", "1-2", "1e3", "7 ", " 7", "0x1p3",
+                                  "١٢", "\x015", "3.14159", "99999999999999999999", "-0", "e5", "1.5d"])
+def test_cast_fast_path_equals_prefix_rule(spark, dtype, text):
+    from tillroll.functions.numbers import NUMERIC_PREFIX
+    df = spark.createDataFrame([(text,)], "t string")
+    slow = F.coalesce(F.regexp_extract("t", NUMERIC_PREFIX, 1).try_cast(dtype), F.lit(0).cast(dtype))
+    r = df.select(mysql_number("t", dtype).alias("fast"), slow.alias("slow")).first()
+    assert r["fast"] == r["slow"]

@@ -21,15 +21,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: characters a well-formed number may start / end with.
+_FIRST_CHARS = tuple("0123456789+-.")
+_LAST_CHARS = tuple("0123456789.")
+
+
+def _whole_text_is_candidate(c: Column) -> Column:
+    """ASCII text without surrounding blanks that starts and ends like a
+    number.  For such text a successful decimal/integer cast reads exactly
+    the characters the prefix pattern would keep, so the regex is skipped."""
+    return ((F.length(c) == F.octet_length(c))
+            & F.substring(c, 1, 1).isin(*_FIRST_CHARS)
+            & F.substring(c, -1, 1).isin(*_LAST_CHARS))
+
+
 def mysql_number(c, dtype: str = "double") -> Column:
     """Text -> number the way MySQL's SUM/compare coerces it.
 
     Empty or non-numeric text is 0, a numeric prefix is kept, null stays null.
+    Decimal and integer targets first try a plain cast of well-formed text
+    (the common case) and only fall back to the prefix pattern when it
+    fails; a double target always uses the pattern (the JVM's double parser
+    also reads hex and "1d"-style text that MySQL does not).
     """
     c = _col(c)
-    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
+    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1).try_cast(dtype)
+    if dtype.startswith("decimal") or dtype in ("bigint", "int", "long"):
+        prefix = F.coalesce(F.when(_whole_text_is_candidate(c), c.try_cast(dtype)), prefix)
     return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(
-        F.coalesce(prefix.try_cast(dtype), F.lit(0).cast(dtype)))
+        F.coalesce(prefix, F.lit(0).cast(dtype)))
 
 
 def mysql_money(c) -> Column:

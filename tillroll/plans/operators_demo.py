@@ -18,14 +18,14 @@ _ITEM_MONEY = ("qty", "line_total", "discount_amount", "tax_amount", "shipping_t
 
 def eav_pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rebuilt from the raw export by one pivot of the order meta."""
-    o = eav.raw_orders(eav.star_to_raw(spark, sf_dir))
+    o = eav.raw_orders(eav.exported_raw(spark, sf_dir))
     return o.select("order_id", "post_type", "status", "created",
                     *[F.col(c).cast("double").alias(c) for c in _MONEY_OUT], "customer_id")
 
 
 def eav_pivot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items rebuilt from the raw export by one pivot of the item meta."""
-    i = eav.raw_items(eav.star_to_raw(spark, sf_dir))
+    i = eav.raw_items(eav.exported_raw(spark, sf_dir))
     return i.select("order_item_id", "order_id", "item_type", "item_name", "product_id",
                     *[F.col(c).cast("double").alias(c) for c in _ITEM_MONEY])
 
@@ -34,7 +34,7 @@ def customer_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customer_group, orders, sales): completed orders whose id is IN the
     posts with a customer key > 0 (customer) or = 0 (guest), as left-semi
     joins over the raw post meta."""
-    raw = eav.star_to_raw(spark, sf_dir)
+    raw = eav.exported_raw(spark, sf_dir)
     posts = raw.posts.filter((F.col("post_type") == "shop_order") & (F.col("post_status") == "wc-completed"))
     meta = raw.postmeta
     totals_ = meta.filter(F.col("meta_key") == "_order_total").select(
@@ -55,7 +55,7 @@ def customer_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mysql_number_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(meta_key, n, total): every raw meta text coerced with MySQL's rules
     ("" and "yes" -> 0, "-4" -> -4, "SKU12" -> 0) and summed per key."""
-    raw = eav.star_to_raw(spark, sf_dir)
+    raw = eav.exported_raw(spark, sf_dir)
     meta = raw.postmeta.select("meta_key", "meta_value").unionByName(
         raw.order_itemmeta.select("meta_key", "meta_value"))
     return meta.groupBy("meta_key").agg(

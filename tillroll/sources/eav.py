@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import MONEY
 from ..model import Shop
 from ..operators.eav import eav_pivot
+from ..session import scratch_path
 from . import star
 
 PRODUCT_ID_OFFSET = 1_000_000_000
@@ -86,6 +87,25 @@ def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwr
         getattr(raw, name).write.format(fmt).mode(mode).save(f"{path.rstrip('/')}/{name}")
 
 
+_EXPORTS: dict[tuple[str, str], RawShop] = {}
+
+
+def exported_raw(spark: SparkSession, sf_dir: str) -> RawShop:
+    """The driver tables of ``sf_dir`` in raw export form, written once per
+    session as parquet under the shared checkpoint folder and read back.
+
+    A shop's export is a set of stored tables; the operator queries over it
+    (EAV pivots, semi-joins, coercion) read those tables, with the key
+    filter pushed to the scan, instead of re-deriving them every time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _EXPORTS:
+        folder = scratch_path(spark, "raw-export")
+        write_raw(star_to_raw(spark, sf_dir), folder)
+        _EXPORTS[key] = read_raw(spark, folder)
+    return _EXPORTS[key]
+
+
 def raw_orders(raw: RawShop) -> DataFrame:
     posts = raw.posts.filter(F.col("post_type").isin(*ORDER_TYPES)).select(
         F.col("ID").alias("order_id"), "post_type", F.col("post_status").alias("status"),
