@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import DEFAULT
 from .oracle import with_model
-from .sources.star import load_shop
+from .session import scratch_path
+from .sources.star import load_shop, store_shop
 
 P = DEFAULT
 START, END = P.start.isoformat(), P.end.isoformat()
@@ -49,14 +50,14 @@ _SHOPS: dict[tuple[str, str], object] = {}
 
 
 def shop(spark: SparkSession, sf_dir: str):
-    """The typed model of ``sf_dir``, built once per session.
-
-    Only lazy plan objects are kept (no data is cached), so every query
-    still reads the files; this saves re-analysing the model's plans.
-    """
+    """The typed model of ``sf_dir``: mapped from the driver tables and
+    stored once per session as parquet tables in the shared checkpoint
+    folder (see ``store_shop``); every report then queries those tables,
+    as the original's reports query the shop database."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SHOPS:
-        _SHOPS[key] = load_shop(spark, sf_dir)
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), partitions)
     return _SHOPS[key]
 
 

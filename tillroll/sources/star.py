@@ -238,3 +238,44 @@ def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
         users=user_dim(read_table(spark, sf_dir, "customer")),
         signups=signup_dim(read_table(spark, sf_dir, "events")),
     )
+
+
+def store_shop(shop: Shop, folder: str, partitions: int) -> Shop:
+    """Write the typed model as parquet tables under ``folder`` and return a
+    model that reads them (lineage cut; the files live in shared storage).
+
+    Layout chosen for the reports' access paths:
+
+    * orders: range-partitioned and sorted by ``created`` — every report
+      filters a date range, which the row-group statistics then prune;
+    * items: partitioned on disk by ``item_type`` (each report reads one
+      kind, so the others are never listed) and range-partitioned by
+      ``order_id`` inside, for the joins to orders;
+    * dimensions as they come.
+
+    ``partitions`` sets the number of files per table; size it so a file is
+    a few hundred MB at the target scale.
+    """
+    spark = shop.orders.sparkSession
+    root = folder.rstrip("/")
+
+    def put(name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        path = f"{root}/{name}"
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
+        return spark.read.parquet(path).select(*df.columns)
+
+    orders = shop.orders.repartitionByRange(partitions, "created").sortWithinPartitions("created")
+    items = shop.items.repartitionByRange(partitions, "order_id").sortWithinPartitions("order_id")
+    return Shop(
+        orders=put("orders", orders),
+        items=put("items", items, partition_by="item_type"),
+        products=put("products", shop.products),
+        categories=put("categories", shop.categories),
+        product_categories=put("product_categories", shop.product_categories),
+        coupons=put("coupons", shop.coupons),
+        users=put("users", shop.users),
+        signups=put("signups", shop.signups),
+    )
