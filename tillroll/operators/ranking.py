@@ -19,15 +19,14 @@ def top_k(df: DataFrame, k: int, order: list[Column], rank: str = "rank") -> Dat
 
 
 def lookup_bounded(keys: DataFrame, dim: DataFrame, on: str, cols: list[str]) -> DataFrame:
-    """Left-join dimension columns onto a frame of at most a few rows.
-
-    A plain left join would have to shuffle (or broadcast) the dimension,
-    because the preserved side of an outer join cannot be the broadcast
-    side.  Instead the few keys are broadcast into an inner join that
-    streams the dimension without a shuffle, and the found values are
-    left-joined back onto the tiny key frame.  The broadcast side is bounded
-    by the caller's limit (top-k rows), never by the data.
+    """Left-join dimension columns onto a frame of at most a few rows
+    (missing dimension rows give nulls).
+
+    The preserved side of an outer join cannot be broadcast, and using the
+    key frame twice (broadcast keys into an inner join, then join back)
+    would run the pipeline that produced it twice.  So this is one plain
+    left join: the dimension is read once and shuffled on the key (AQE
+    picks a shuffled hash join with the tiny side as build table), and only
+    the dimension's key and wanted columns travel.
     """
-    wanted = keys.select(on).distinct()
-    found = dim.select(on, *cols).join(F.broadcast(wanted), on)
-    return keys.join(found, on, "left")
+    return keys.join(dim.select(on, *cols), on, "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import write_table
 
 _TREES: dict[int, tuple[DataFrame, DataFrame]] = {}
 
@@ -37,14 +37,13 @@ def materialized_closure(categories: DataFrame) -> DataFrame:
 
     Each step of the recursion re-reads the category frame, and the reports
     walk the tree several times per query; the closure of a category
-    dimension is small, so it is written once (reliable checkpoint in the
-    shared checkpoint folder — lineage cut, survives executor loss) and
+    dimension is small, so it is written once (a table in the shared
+    checkpoint folder — lineage cut, survives executor loss) and
     reused for as long as the same category frame is.
     """
     hit = _TREES.get(id(categories))
     if hit is None or hit[0] is not categories:
-        checkpoint_dir(categories.sparkSession)
-        hit = (categories, closure(categories).checkpoint(eager=True))
+        hit = (categories, write_table(closure(categories), "category-closure"))
         _TREES[id(categories)] = hit
     return hit[1]
 

@@ -25,7 +25,7 @@ from ..operators.calendar import int_spine
 from ..operators.stats import entity_stats
 from ..operators.taxonomy import (expand_with_descendants, materialized_closure, members,
                                   without_included_ancestor)
-from .common import completed_orders, items_of
+from .common import completed_orders, date_hint, items_of
 
 
 def chosen_categories(shop: Shop, params: Params) -> DataFrame:
@@ -36,7 +36,8 @@ def _month_product_sales(shop: Shop, params: Params, hooks) -> DataFrame:
     shown = matrix_months(params.year, params.now)
     orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
-    lines = items_of(shop, "line_item").select("order_id", "product_id", "line_total").join(orders, "order_id")
+    lines = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, params.year))
+    lines = lines.select("order_id", "product_id", "line_total").join(orders, "order_id")
     lines = H.apply(hooks, "categories.items", lines, year=params.year)
     return (lines.filter(F.col("month") <= shown)
             .groupBy("month", "product_id").agg(F.sum("line_total").alias("sales")))
@@ -113,7 +114,8 @@ def sales_rollup(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     grouping id (0 cell, 1 category total, 2 month total, 3 grand total)."""
     orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
-    lines = items_of(shop, "line_item").select("order_id", "product_id", "line_total").join(orders, "order_id")
+    lines = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, params.year))
+    lines = lines.select("order_id", "product_id", "line_total").join(orders, "order_id")
     per = lines.groupBy("month", "product_id").agg(F.sum("line_total").alias("sales"))
     roots = (shop.categories.filter(F.col("parent_id") == 0)
              .select(F.col("term_id").alias("root_id"), F.col("name").alias("category")))

@@ -25,6 +25,16 @@ def items_of(shop: Shop, item_type: str) -> DataFrame:
     return shop.items.filter(F.col("item_type") == item_type)
 
 
+def date_hint(items: DataFrame, predicate) -> DataFrame:
+    """Repeat an orders date predicate on the items' ``order_created``
+    clustering column when the stored model has it (see
+    ``sources.star.store_shop``), so the scan skips data outside the range.
+    Only a pruning hint: the join to the filtered orders still decides."""
+    if "order_created" in items.columns:
+        return items.filter(predicate(F.col("order_created")))
+    return items
+
+
 def items_with_orders(items: DataFrame, orders: DataFrame, order_cols: list[str]) -> DataFrame:
     """Items joined to the orders they belong to (shuffle on order_id)."""
     return items.join(orders.select("order_id", *order_cols), "order_id")

@@ -16,19 +16,26 @@ from ..model import DEFAULT, Params, Shop
 from ..operators.calendar import int_spine
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.stats import entity_stats
-from .common import completed, items_of
+from .common import completed, date_hint, items_of
 
 TOP = 15
 
 
+def _range(params: Params):
+    return lambda c: after_start_before_end_day(c, params.start, params.end)
+
+
 def _posts_in_range(shop: Shop, params: Params, hooks) -> DataFrame:
     posts = shop.orders.filter(
         completed() & after_start_before_end_day(F.col("created"), params.start, params.end)).select("order_id")
     return H.apply(hooks, "coupons.orders", posts, start=params.start, end=params.end)
 
 
-def _coupon_items(shop: Shop) -> DataFrame:
-    return items_of(shop, "coupon").filter(F.col("discount_amount").isNotNull()).select(
+def _coupon_items(shop: Shop, hint=None) -> DataFrame:
+    items = items_of(shop, "coupon")
+    if hint is not None:
+        items = date_hint(items, hint)
+    return items.filter(F.col("discount_amount").isNotNull()).select(
         "order_id", F.col("item_name").alias("coupon"), "discount_amount")
 
 
@@ -40,7 +47,7 @@ def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
     The last three are null ("n/a") when not positive.
     """
     posts = _posts_in_range(shop, params, hooks)
-    items = H.apply(hooks, "coupons.items", _coupon_items(shop), start=params.start, end=params.end)
+    items = H.apply(hooks, "coupons.items", _coupon_items(shop, _range(params)), start=params.start, end=params.end)
     per_post = posts.join(items, "order_id", "left").groupBy("order_id").agg(
         F.count("discount_amount").alias("k"), F.sum("discount_amount").alias("d"))
     agg = per_post.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("k") > 0, F.lit(1))).alias("c"),
@@ -55,7 +62,7 @@ def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
 
 def _named_in_range(shop: Shop, params: Params, hooks) -> DataFrame:
     posts = _posts_in_range(shop, params, hooks)
-    items = _coupon_items(shop).filter(F.col("coupon") != "").join(posts, "order_id")
+    items = _coupon_items(shop, _range(params)).filter(F.col("coupon") != "").join(posts, "order_id")
     return H.apply(hooks, "coupons.items", items, start=params.start, end=params.end)
 
 
@@ -106,7 +113,7 @@ def _year_cells(shop: Shop, params: Params, hooks) -> DataFrame:
     """(coupon, month, d): the year's discount per chosen coupon and month."""
     posts = shop.orders.filter(completed() & in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
-    items = _chosen(_coupon_items(shop), params.coupons).join(posts, "order_id")
+    items = _chosen(_coupon_items(shop, lambda c: in_year(c, params.year)), params.coupons).join(posts, "order_id")
     items = H.apply(hooks, "coupons.monthly", items, year=params.year)
     return items.groupBy("coupon", "month").agg(F.sum("discount_amount").alias("d"))
 

@@ -10,7 +10,7 @@ from ..functions.dates import after_start_before_end_day
 from ..functions.numbers import MONEY, absint, ratio, round2_ratio
 from ..model import DEFAULT, Params, Shop
 from ..operators.calendar import gap_fill, report_day_spine
-from .common import completed_orders, items_of
+from .common import completed_orders, date_hint, items_of
 
 
 def orders_in_range(shop: Shop, params: Params, hooks=None) -> DataFrame:
@@ -42,7 +42,8 @@ def daily_sales_summary(shop: Shop, params: Params = DEFAULT, hooks=None) -> Dat
     grouping runs on the join's partitioning (no second shuffle).
     """
     o = orders_in_range(shop, params, hooks)
-    line = items_of(shop, "line_item").select("order_id", "qty")
+    in_range = lambda c: after_start_before_end_day(c, params.start, params.end)
+    line = date_hint(items_of(shop, "line_item"), in_range).select("order_id", "qty")
     per_order = (o.join(line, "order_id", "left")
                  .groupBy("order_id", "total").agg(F.sum("qty").alias("qty")))
     per_order = H.apply(hooks, "daily.order_items", per_order, start=params.start, end=params.end)

@@ -11,7 +11,7 @@ from ..functions.numbers import share_of_max
 from ..model import DEFAULT, Params, Shop
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.running import max_running_sum
-from .common import completed_orders, items_of, literal_ids
+from .common import completed_orders, date_hint, items_of, literal_ids
 
 TOP = 25
 
@@ -19,8 +19,9 @@ TOP = 25
 def _range_lines(shop: Shop, params: Params, point: str, hooks) -> DataFrame:
     orders = completed_orders(shop).filter(
         after_start_before_end_day(F.col("created"), params.start, params.end)).select("order_id")
-    lines = items_of(shop, "line_item").select("order_id", "product_id", "qty", "line_total")
-    lines = lines.join(orders, "order_id")
+    lines = date_hint(items_of(shop, "line_item"),
+                      lambda c: after_start_before_end_day(c, params.start, params.end))
+    lines = lines.select("order_id", "product_id", "qty", "line_total").join(orders, "order_id")
     return H.apply(hooks, point, lines, start=params.start, end=params.end)
 
 

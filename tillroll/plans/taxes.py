@@ -13,7 +13,7 @@ from ..functions.dates import in_year, month_of, months_started_by
 from ..functions.numbers import MONEY, positive_or_null
 from ..model import DEFAULT, Params, Shop
 from ..operators.calendar import gap_fill, month_spine
-from .common import completed_orders, items_of
+from .common import completed_orders, date_hint, items_of
 
 _MEASURES = ("gross", "shipping", "order_tax", "shipping_tax")
 
@@ -64,7 +64,7 @@ def monthly_taxes_by_rate(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     shown = months_started_by(params.year, params.now)
     posts = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
-    items = items_of(shop, "tax").filter(
+    items = date_hint(items_of(shop, "tax"), lambda c: in_year(c, params.year)).filter(
         F.col("tax_amount").isNotNull() & F.col("shipping_tax_amount").isNotNull())
     cells = (items.join(posts, "order_id").filter(F.col("month") <= shown)
              .groupBy("month", F.col("item_name").alias("rate"))

@@ -81,3 +81,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def write_table(df, name: str):
+    """Write ``df`` as parquet in the shared checkpoint folder and return a
+    frame reading it: one job, lineage cut, and the rows survive the loss
+    of any executor (unlike a cache or a local checkpoint)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
