@@ -282,3 +282,20 @@ def test_monthly_hides_future_months(spark):
     assert len(got) == 9
     assert got[D(1998, 2, 1)] == (1, 10.0, 1)
     assert got[D(1998, 3, 1)] == (0, 0.0, 0)
+
+
+# -- M8 term fan-out -------------------------------------------------------------------------
+
+def test_m8_legacy_fanout(spark):
+    from tillroll.model import legacy_fanout
+    params = replace(DEFAULT, start=D(1998, 3, 1), end=D(1998, 3, 31))
+    shop = make_shop(spark, orders=[order(1, ts("1998-03-05 10:00:00"), 10)], items=[line(1, 1)])
+    terms = spark.createDataFrame([(1, 7), (1, 8), (99, 7)], "object_id long, term_id long")
+    fanned = legacy_fanout(shop, terms)
+    t = totals_overview(fanned).first()
+    assert (t["total_sales"], t["total_orders"], t["total_items"]) == (20.0, 2, 2)
+    assert rows(daily_sales(fanned, params)) and sum(r[1] for r in rows(daily_sales(fanned, params))) == 1
+    d = daily_sales_summary(fanned, params).first()
+    assert (d["total_sales"], d["total_orders"], d["total_items"]) == (10.0, 1, 1)
+    t0 = totals_overview(shop).first()
+    assert (t0["total_sales"], t0["total_orders"]) == (10.0, 1)

@@ -40,9 +40,17 @@ REPORTS = {
 def both(spark):
     folder = tempfile.mkdtemp(prefix="tillroll-raw-")
     eav.write_raw(eav.star_to_raw(spark, SF0001), folder)
+    _FOLDERS["raw"] = folder
     return star.load_shop(spark, SF0001), eav.raw_to_shop(eav.read_raw(spark, folder))
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(_both) -> str:
+    return _FOLDERS["raw"]
+
+
 def _bag(df):
     cols = sorted(df.columns)
     return Counter(tuple(float(f"{r[c]:.9g}") if isinstance(r[c], float) and not math.isnan(r[c]) else r[c]
@@ -64,3 +72,13 @@ def test_raw_export_has_no_column_per_measure(spark, both):
     keys = {r[0] for r in raw.postmeta.select("meta_key").distinct().collect()}
     assert set(eav.ORDER_KEYS) <= keys
     assert dict(raw.postmeta.dtypes)["meta_value"] == "string"
+
+
+def test_fanout_without_order_terms_changes_nothing(spark, both):
+    # the export links only products to terms, so repeating orders per term
+    # row of the order must leave every order once
+    typed, _ = both
+    raw = eav.read_raw(spark, _folder(both))
+    fanned = eav.raw_to_shop(raw, fanout=True)
+    assert fanned.fanout
+    assert _bag(totals.totals_overview(fanned)) == _bag(totals.totals_overview(typed))

@@ -16,6 +16,10 @@ TIMESTAMP_NTZ store-local wall clock):
 
 ``customer_id`` is null when an order carries no customer key at all, 0 for
 a guest.
+
+``fanout`` marks a model whose order rows were repeated per term row of the
+order (``legacy_fanout``), reproducing the original statements' unused join
+on term relationships.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import datetime as dt
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -36,11 +41,27 @@ class Shop:
     coupons: DataFrame
     users: DataFrame
     signups: DataFrame
+    fanout: bool = False
 
     def with_(self, **changes) -> "Shop":
         return replace(self, **changes)
 
 
+def legacy_fanout(shop: Shop, term_relationships: DataFrame) -> Shop:
+    """Repeat each order row once per term row of the order (at least once).
+
+    The original statements left-join the term relationships on the order id
+    without using a column, so an order with several terms is counted, and
+    its items summed, once per term.  Reports join items to ``orders``, so
+    the repetition reaches them on its own; the daily report, which groups
+    by order id in the original, takes each order once.  The join is a
+    left join on the order key (shuffle or broadcast as AQE measures).
+    """
+    terms = term_relationships.select(F.col("object_id").alias("order_id"), F.col("term_id").alias("_term"))
+    orders = shop.orders.join(terms, "order_id", "left").drop("_term")
+    return replace(shop, orders=orders.select(*shop.orders.columns), fanout=True)
+
+
 COMPLETED = "wc-completed"
 SHOP_ORDER = "shop_order"
 

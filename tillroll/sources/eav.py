@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY
-from ..model import Shop
+from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
 from ..session import scratch_path
 from . import star
@@ -136,14 +136,18 @@ def raw_products(raw: RawShop) -> DataFrame:
                     "manage_stock", "stock", "stock_status"))
 
 
-def raw_to_shop(raw: RawShop, coupons: DataFrame | None = None) -> Shop:
+def raw_to_shop(raw: RawShop, coupons: DataFrame | None = None, fanout: bool = False) -> Shop:
+    """The typed model of a raw export; ``fanout`` repeats order rows per
+    term row of the order as the original statements do (see
+    ``model.legacy_fanout``)."""
     items = raw_items(raw).drop("order_item_id")
     coupon_posts = raw.posts.filter(F.col("post_type") == "shop_coupon").select(
         F.col("ID").alias("coupon_id"), F.col("post_title").alias("title"), "post_status")
-    return Shop(
+    shop = Shop(
         orders=raw_orders(raw), items=items, products=raw_products(raw), categories=raw.categories,
         product_categories=raw.term_relationships.select(F.col("object_id").alias("product_id"), "term_id"),
         coupons=coupon_posts if coupons is None else coupons, users=raw.users, signups=raw.signups)
+    return legacy_fanout(shop, raw.term_relationships) if fanout else shop
 
 
 # -- star -> raw export -------------------------------------------------------

@@ -283,4 +283,5 @@ def store_shop(shop: Shop, folder: str, partitions: int) -> Shop:
         coupons=put("coupons", shop.coupons),
         users=put("users", shop.users),
         signups=put("signups", shop.signups),
+        fanout=shop.fanout,
     )
