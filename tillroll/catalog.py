@@ -56,7 +56,9 @@ def shop(spark: SparkSession, sf_dir: str):
     as the original's reports query the shop database."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SHOPS:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # one write task per core; large files are still read in parallel,
+        # split by row group (spark.sql.files.maxPartitionBytes)
+        partitions = spark.sparkContext.defaultParallelism
         _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), partitions)
     return _SHOPS[key]
 

@@ -256,8 +256,10 @@ def store_shop(shop: Shop, folder: str, partitions: int) -> Shop:
       of the range instead of every item ever sold;
     * dimensions as they come.
 
-    ``partitions`` sets the number of files per table; size it so a file is
-    a few hundred MB at the target scale.
+    ``partitions`` sets the number of range partitions (files) per table;
+    the driver queries use one per core.  Files larger than
+    ``spark.sql.files.maxPartitionBytes`` are read split by row group, so
+    the count bounds write parallelism, not read parallelism.
     """
     spark = shop.orders.sparkSession
     root = folder.rstrip("/")
@@ -270,10 +272,14 @@ def store_shop(shop: Shop, folder: str, partitions: int) -> Shop:
         writer.parquet(path)
         return spark.read.parquet(path).select(*df.columns)
 
-    orders = shop.orders.repartitionByRange(partitions, "created").sortWithinPartitions("created")
+    # order_id breaks ties, so one hot timestamp (a bulk import) still
+    # spreads over several range partitions instead of filling one file
+    orders = (shop.orders.repartitionByRange(partitions, "created", "order_id")
+              .sortWithinPartitions("created", "order_id"))
     created = shop.orders.select("order_id", F.col("created").alias("order_created"))
     items = (shop.items.join(created, "order_id", "left")
-             .repartitionByRange(partitions, "order_created").sortWithinPartitions("order_created"))
+             .repartitionByRange(partitions, "order_created", "order_id")
+             .sortWithinPartitions("order_created", "order_id"))
     return Shop(
         orders=put("orders", orders),
         items=put("items", items, partition_by="item_type"),
