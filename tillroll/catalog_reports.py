@@ -625,10 +625,21 @@ def q_chart_series_monthly(spark, sf_dir):
     return ops.chart_series_monthly(shop(spark, sf_dir), P)
 
 
+from .catalog import _ORACLE  # noqa: E402
+
+
+@register("chart_series_signups", f"""
+SELECT 'signups' AS series,
+       '[' || string_agg('[' || CAST(epoch_ms(CAST(day AS TIMESTAMP)) AS VARCHAR) || ','
+                         || CAST(signups AS VARCHAR) || ']', ',' ORDER BY day) || ']' AS points
+FROM ({_ORACLE["customer_signups_daily"]}) q""")
+def q_chart_series_signups(spark, sf_dir):
+    return ops.chart_series_signups(shop(spark, sf_dir), P)
+
+
 # --------------------------------------------------------------------------
 # streams (oracle: the batch report's SQL)
 
-from .catalog import _ORACLE  # noqa: E402
 from .streaming import daily as streams  # noqa: E402
 
 

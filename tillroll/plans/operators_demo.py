@@ -10,7 +10,8 @@ from ..functions.dates import epoch_millis
 from ..functions.numbers import MONEY, mysql_money, mysql_number
 from ..model import DEFAULT, Params, Shop
 from ..sources import eav
-from . import monthly, totals
+from ..operators.charts import chart_series
+from . import customers, monthly, totals
 
 _MONEY_OUT = ("total", "shipping", "order_tax", "shipping_tax", "order_discount", "cart_discount")
 _ITEM_MONEY = ("qty", "line_total", "discount_amount", "tax_amount", "shipping_tax_amount")
@@ -78,8 +79,10 @@ def chart_series_monthly(shop: Shop, params: Params = DEFAULT) -> DataFrame:
                       F.col("orders").cast("string").alias("v"))
     amounts = m.select(F.lit("order_amounts").alias("series"), ms.alias("ms"),
                        F.col("sales").cast("decimal(20,2)").cast("string").alias("v"))
-    pts = counts.unionByName(amounts).groupBy("series").agg(
-        F.array_sort(F.collect_list(F.struct("ms", "v"))).alias("pts"))
-    text = F.array_join(F.transform("pts", lambda p: F.concat(
-        F.lit("["), p["ms"].cast("string"), F.lit(","), p["v"], F.lit("]"))), ",")
-    return pts.select("series", F.concat(F.lit("["), text, F.lit("]")).alias("points"))
+    return chart_series(counts.unionByName(amounts), ["series"], F.col("ms"), F.col("v"))
+
+
+def chart_series_signups(shop: Shop, params: Params = DEFAULT) -> DataFrame:
+    """(series, points): the sign-ups chart, one point per day (31 at most)."""
+    days = customers.customer_signups_daily(shop, params).withColumn("series", F.lit("signups"))
+    return chart_series(days, ["series"], epoch_millis(F.col("day")), F.col("signups"))
