@@ -7,8 +7,9 @@ The house median of sorted values a[0..n-1] (0-based) is
 and, for the coupon report, no value at all when n = 2.
 
 Input is one row per entity (a coupon's or a category's total), already
-aggregated; the rank window runs over those rows, so its single partition
-is bounded by the number of chosen entities, never by the order data.
+aggregated.  There can be many entities (every coupon code ever used), so
+ranks come from ``global_rank``: no step holds more than one range
+partition of them.
 """
 
 from __future__ import annotations
@@ -32,18 +33,40 @@ def house_median(value: Column, rn: Column, n: Column, null_when_two: bool) -> C
     return med
 
 
+def global_rank(df: DataFrame, order: list[str], partitions: int) -> DataFrame:
+    """``df`` with ``_rn`` (1-based rank in ``order``, which must be unique)
+    and ``_n`` (row count), without a single-partition window.
+
+    Rows are range-partitioned on ``order``; each range partition numbers
+    its rows, and the ranks of the earlier partitions are added from the
+    partition sizes (one row per partition, so that small window is bounded
+    by ``partitions``, not by the data).
+    """
+    ranged = df.repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn("_rn", F.col("_off") + F.col("_lrn"))
+            .drop("_pid", "_lrn", "_off"))
+
+
 def entity_stats(totals: DataFrame, name: str, value: str, tie: Column,
-                 null_median_when_two: bool) -> DataFrame:
+                 null_median_when_two: bool, partitions: int | None = None) -> DataFrame:
     """One row: n, top, top_total, worst, worst_total, average, median.
 
     ``tie`` orders entities with equal totals: the first (smallest tie key)
     wins both top and worst, as a first-seen scan over the input order would.
+    Top, worst, count and sum are plain global aggregates (partial
+    aggregation per task); the median needs ranks, from ``global_rank``.
     """
     t = totals.select(F.col(name).alias("_name"), F.col(value).alias("_v"), tie.alias("_tie"))
-    ranked = t.select(
-        "*",
-        F.row_number().over(Window.orderBy("_v", "_tie")).alias("_rn"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
+    if partitions is None:
+        partitions = t.sparkSession.sparkContext.defaultParallelism
+    ranked = global_rank(t, ["_v", "_tie"], partitions)
     n = F.max("_n")
     return ranked.agg(
         F.coalesce(n, F.lit(0)).cast("bigint").alias("n"),
