@@ -82,3 +82,8 @@ def test_fanout_without_order_terms_changes_nothing(spark, both):
     fanned = eav.raw_to_shop(raw, fanout=True)
     assert fanned.fanout
     assert _bag(totals.totals_overview(fanned)) == _bag(totals.totals_overview(typed))
+
+
+def test_one_pass_items_equal_union_items(spark):
+    lineitem = star.read_table(spark, SF0001, "lineitem")
+    assert _bag(star.item_rows_one_pass(lineitem)) == _bag(star.item_fact(lineitem))

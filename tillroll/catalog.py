@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .model import DEFAULT
 from .oracle import with_model
 from .session import scratch_path
-from .sources.star import load_shop, store_shop
+from .sources.star import item_rows_one_pass, load_shop, read_table, store_shop
 
 P = DEFAULT
 START, END = P.start.isoformat(), P.end.isoformat()
@@ -59,7 +59,9 @@ def shop(spark: SparkSession, sf_dir: str):
         # one write task per core; large files are still read in parallel,
         # split by row group (spark.sql.files.maxPartitionBytes)
         partitions = spark.sparkContext.defaultParallelism
-        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), partitions)
+        one_pass = item_rows_one_pass(read_table(spark, sf_dir, "lineitem"))
+        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), partitions,
+                                 items=one_pass)
     return _SHOPS[key]
 
 
