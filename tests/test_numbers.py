@@ -60,3 +60,14 @@ def test_cast_fast_path_equals_prefix_rule(spark, dtype, text):
     slow = F.coalesce(F.regexp_extract("t", NUMERIC_PREFIX, 1).try_cast(dtype), F.lit(0).cast(dtype))
     r = df.select(mysql_number("t", dtype).alias("fast"), slow.alias("slow")).first()
     assert r["fast"] == r["slow"]
+
+
+def test_display_text(spark):
+    import datetime as dt
+    from tillroll.functions.dates import day_text, month_label
+    from tillroll.functions.numbers import money_text, number_text
+    df = spark.createDataFrame([(1234.5, dt.date(1998, 3, 7))], "x double, d date")
+    r = df.select(number_text("x").alias("n"), money_text("x", "$").alias("m"),
+                  month_label(F.col("d")).alias("s"), month_label(F.col("d"), full=True).alias("l"),
+                  day_text(F.col("d")).alias("t")).first()
+    assert (r["n"], r["m"], r["s"], r["l"], r["t"]) == ("1,234.50", "$1,234.50", "Mar", "March", "1998-03-07")

@@ -54,3 +54,13 @@ def matrix_months(year: int, now: dt.datetime) -> int:
     """Columns of the coupon and category matrices: the months up to the
     current one when ``year`` is the current year, else all twelve."""
     return now.month if year == now.year else 12
+
+
+def month_label(ts: Column, full: bool = False) -> Column:
+    """Month name for chart and table labels: ``Mar`` or ``March``."""
+    return F.date_format(ts, "MMMM" if full else "MMM")
+
+
+def day_text(ts: Column) -> Column:
+    """``yyyy-MM-dd`` text of a day."""
+    return F.date_format(ts, "yyyy-MM-dd")

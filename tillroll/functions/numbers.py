@@ -117,3 +117,15 @@ def share_of_max(value, maximum, rounded: bool = False) -> Column:
 
 def to_double(c) -> Column:
     return _col(c).cast("double")
+
+
+def number_text(c, decimals: int = 2) -> Column:
+    """Display text with thousands separators and ``decimals`` places
+    (``1234.5`` -> ``1,234.50``), rounding half up; reports keep numbers and
+    render only at the edge."""
+    return F.format_number(_col(c).cast("double"), decimals)
+
+
+def money_text(c, symbol: str = "") -> Column:
+    """Money for display: optional symbol + ``number_text(c, 2)``."""
+    return F.concat(F.lit(symbol), number_text(c, 2))
