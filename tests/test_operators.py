@@ -43,3 +43,27 @@ def test_max_running_sum_equals_brute_force(spark):
             best = run if best is None else max(best, run)
         want[month] = (run, best)
     assert got == want
+
+
+def test_number_within_equals_row_number_with_a_hot_key(spark):
+    from tillroll.sources.eav import number_within
+    # key 0 holds a third of the rows; (key, v) has repeats
+    df = spark.range(1500).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
+        (F.col("id") % 97).alias("v"))
+    got = sorted(tuple(r) for r in number_within(df, "k", ["k", "v"], "rn").select("k", "v", "rn").collect())
+    want = sorted(tuple(r) for r in df.select(
+        "k", "v", F.row_number().over(Window.partitionBy("k").orderBy("v")).alias("rn")).collect())
+    assert got == want
+
+
+def test_max_running_sum_rank_slices_equal_brute_force(spark):
+    base = dt.datetime(1998, 1, 1)
+    rows = [(i, base + dt.timedelta(hours=(i * 7) % 700), float((i * 13) % 11 - 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "order_id long, created timestamp_ntz, qty double").withColumn(
+        "month", F.date_format("created", "yyyyMM"))
+    hours = {r["month"]: (r["qty_sum"], r["qty_max_run"]) for r in max_running_sum(
+        df, ["month"], ["created", "order_id"], ["qty"], F.date_trunc("hour", F.col("created"))).collect()}
+    slices = {r["month"]: (r["qty_sum"], r["qty_max_run"]) for r in max_running_sum(
+        df, ["month"], ["created", "order_id"], ["qty"], slice_rows=7).collect()}
+    assert slices == hours

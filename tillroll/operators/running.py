@@ -7,12 +7,14 @@ associative over consecutive slices — a slice is summarised by its total S
 and its best prefix M, and slice b after slice a gives
 max(M_a, S_a + M_b) — so:
 
-1. each (group, slice) computes a running sum in its own window partition
-   (slice = the hour of the row's timestamp, so a hot month is spread over
-   up to 744 partitions);
-2. each slice reduces to (S, M);
-3. per group, a window over the slice summaries (<= 744 rows per month)
-   adds the totals of the earlier slices to each M, and the max is taken.
+1. rows are cut into slices of consecutive rows: by default at most
+   ``slice_rows`` rows each, from exact global ranks (``global_rank``), so
+   even a group holding a third of all rows is spread over many tasks;
+2. each (group, slice) computes a running sum in its own window partition
+   and reduces to (S, M);
+3. per group, a window over the slice summaries (total rows / slice_rows
+   of them at most) adds the totals of the earlier slices to each M, and
+   the max is taken.
 """
 
 from __future__ import annotations
@@ -20,17 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import global_rank
+
 
 def max_running_sum(df: DataFrame, group: list[str], order: list[str], values: list[str],
-                    slice_by: Column) -> DataFrame:
+                    slice_by: Column | None = None, slice_rows: int = 1_000_000) -> DataFrame:
     """(group..., <value>_sum, <value>_max_run) per group.
 
     ``<value>_max_run`` is the largest running total of ``value`` over the
-    group's rows in ``order`` (rows of a slice must be contiguous in that
+    group's rows in ``order`` (which must be unique within a group).
+    ``slice_by`` may name slices instead (they must be contiguous in that
     order, e.g. the hour of a timestamp that leads ``order``).  The empty
     prefix is not counted: callers floor at their own start value.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    if slice_by is None:
+        ranked = global_rank(df, [*group, *order], df.sparkSession.sparkContext.defaultParallelism)
+        sliced = ranked.withColumn("_slice", F.floor((F.col("_rn") - 1) / F.lit(slice_rows))).drop("_rn", "_n")
+    else:
+        sliced = df.withColumn("_slice", slice_by)
     w_local = (Window.partitionBy(*group, "_slice").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = sliced.select(*group, "_slice", *values,

@@ -82,7 +82,7 @@ def product_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
                  .filter(~((F.col("qty") == 0) & (F.col("total") == 0))))
     per_month = max_running_sum(
         per_order.withColumn("month", yyyymm(F.col("created"))), ["month"],
-        ["created", "order_id"], ["qty", "total"], F.date_trunc("hour", F.col("created")))
+        ["created", "order_id"], ["qty", "total"])
     # one row per month of history: the global maxima need a tiny window
     everything = Window.partitionBy()
     max_qty = F.greatest(F.max("qty_max_run").over(everything), F.lit(0))

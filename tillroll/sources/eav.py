@@ -23,12 +23,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY
 from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
+from ..operators.stats import global_rank
 from ..session import scratch_path
 from . import star
 
@@ -160,6 +161,19 @@ def _meta(df: DataFrame, id_col: str, pairs: dict[str, str], out_id: str) -> Dat
             .filter(F.col("meta_value").isNotNull()))
 
 
+def number_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name`` = 1-based row number within each ``key`` in
+    ``order`` (what ROW_NUMBER() OVER (PARTITION BY key ORDER BY order)
+    gives), without a window over a whole key: one key may hold a third of
+    all rows.  Rows get global ranks from range partitions, and each key's
+    first rank (a grouped min, joined back on the key) is subtracted."""
+    ranked = global_rank(df, list(dict.fromkeys([key, *order])),
+                         df.sparkSession.sparkContext.defaultParallelism)
+    first = ranked.groupBy(key).agg(F.min("_rn").alias("_first"))
+    return (ranked.join(first, key).withColumn(name, F.col("_rn") - F.col("_first") + 1)
+            .drop("_rn", "_n", "_first"))
+
+
 def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
     typed = star.load_shop(spark, sf_dir)
     orders = typed.orders
@@ -182,9 +196,7 @@ def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
         F.lit(0).cast("bigint").alias("post_parent"))
 
     lineitem = star.read_table(spark, sf_dir, "lineitem")
-    every = [F.col(c) for c in lineitem.columns]
-    numbered = lineitem.withColumn(
-        "line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*every)))
+    numbered = number_within(lineitem, "l_orderkey", lineitem.columns, "line_no")
     base = F.col("l_orderkey") * ITEM_ID_SPAN + F.col("line_no") * 3
     items = (star.item_fact(numbered, item_id=base)
              .withColumn("product_id", F.col("product_id") + PRODUCT_ID_OFFSET))
