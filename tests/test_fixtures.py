@@ -299,3 +299,13 @@ def test_m8_legacy_fanout(spark):
     assert (d["total_sales"], d["total_orders"], d["total_items"]) == (10.0, 1, 1)
     t0 = totals_overview(shop).first()
     assert (t0["total_sales"], t0["total_orders"]) == (10.0, 1)
+
+
+def test_m8_fanout_coupon_overview_counts_orders_once(spark):
+    from tillroll.model import legacy_fanout
+    params = replace(DEFAULT, start=D(1998, 3, 1), end=D(1998, 3, 31))
+    orders = [order(i, ts(f"1998-03-0{i} 10:00:00"), 10) for i in (1, 2)]
+    shop = make_shop(spark, orders=orders, items=[_coupon(1, "A", 3)])
+    terms = spark.createDataFrame([(1, 7), (1, 8)], "object_id long, term_id long")
+    o = coupon_usage_overview(legacy_fanout(shop, terms), params).first().asDict()
+    assert o == {"order_count": 2, "coupon_orders": 1, "coupon_pct": 50.0, "total_discount": 6.0}

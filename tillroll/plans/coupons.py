@@ -42,14 +42,19 @@ def _coupon_items(shop: Shop, hint=None) -> DataFrame:
 def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(order_count, coupon_orders, coupon_pct, total_discount).
 
-    One left join of the range's completed posts with their coupon items,
-    grouped per post on the join's own partitioning, then one global sum.
-    The last three are null ("n/a") when not positive.
+    Coupon items are reduced to one row per order first (map-side combine,
+    so an order with very many coupon lines cannot skew the join), then
+    left-joined to the range's completed posts and summed globally.  The
+    last three are null ("n/a") when not positive.
     """
     posts = _posts_in_range(shop, params, hooks)
     items = H.apply(hooks, "coupons.items", _coupon_items(shop, _range(params)), start=params.start, end=params.end)
-    per_post = posts.join(items, "order_id", "left").groupBy("order_id").agg(
+    per_order = items.groupBy("order_id").agg(
         F.count("discount_amount").alias("k"), F.sum("discount_amount").alias("d"))
+    per_post = posts.join(per_order, "order_id", "left")
+    if shop.fanout:
+        # repeated posts: orders are counted once, the discount once per copy
+        per_post = per_post.groupBy("order_id").agg(F.max("k").alias("k"), F.sum("d").alias("d"))
     agg = per_post.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("k") > 0, F.lit(1))).alias("c"),
                        F.sum("d").alias("d"))
     c, n = F.col("c"), F.col("n")

@@ -40,15 +40,17 @@ def daily_sales(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
 def daily_sales_summary(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """One row: total_sales, total_orders, total_items, average_total, average_items.
 
-    Items are abs(int()) of each order's quantity sum, then added up.  The
-    items are joined to the orders of the range first, so the per-order
-    grouping runs on the join's partitioning (no second shuffle).
+    Items are abs(int()) of each order's quantity sum, then added up.  Line
+    quantities are summed per order before the join (map-side combine), so
+    one order with a huge number of lines is one row by the time it meets
+    the orders — the preserved side of a left join, which AQE could not
+    split for it.
     """
     o = orders_in_range(shop, params, hooks)
     in_range = lambda c: after_start_before_end_day(c, params.start, params.end)
-    line = date_hint(items_of(shop, "line_item"), in_range).select("order_id", "qty")
-    per_order = (o.join(line, "order_id", "left")
-                 .groupBy("order_id", "total").agg(F.sum("qty").alias("qty")))
+    qty = (date_hint(items_of(shop, "line_item"), in_range)
+           .groupBy("order_id").agg(F.sum("qty").alias("qty")))
+    per_order = o.join(qty, "order_id", "left").select("order_id", "total", "qty")
     per_order = H.apply(hooks, "daily.order_items", per_order, start=params.start, end=params.end)
     agg = per_order.agg(F.sum("total").alias("s"), F.count(F.lit(1)).alias("n"),
                         F.sum(absint("qty")).alias("q"))
