@@ -65,5 +65,5 @@ def test_max_running_sum_rank_slices_equal_brute_force(spark):
     hours = {r["month"]: (r["qty_sum"], r["qty_max_run"]) for r in max_running_sum(
         df, ["month"], ["created", "order_id"], ["qty"], F.date_trunc("hour", F.col("created"))).collect()}
     slices = {r["month"]: (r["qty_sum"], r["qty_max_run"]) for r in max_running_sum(
-        df, ["month"], ["created", "order_id"], ["qty"], slice_rows=7).collect()}
+        df, ["month"], ["created", "order_id"], ["qty"], partitions=7).collect()}
     assert slices == hours

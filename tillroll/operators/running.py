@@ -7,14 +7,15 @@ associative over consecutive slices — a slice is summarised by its total S
 and its best prefix M, and slice b after slice a gives
 max(M_a, S_a + M_b) — so:
 
-1. rows are cut into slices of consecutive rows: by default at most
-   ``slice_rows`` rows each, from exact global ranks (``global_rank``), so
-   even a group holding a third of all rows is spread over many tasks;
+1. rows are cut into slices of consecutive rows: by default the range
+   partitions of the rows in (group, order) — each is contiguous in that
+   order and about 1/partitions of the rows, so even a group holding a
+   third of all rows is spread over many tasks;
 2. each (group, slice) computes a running sum in its own window partition
    and reduces to (S, M);
-3. per group, a window over the slice summaries (total rows / slice_rows
-   of them at most) adds the totals of the earlier slices to each M, and
-   the max is taken.
+3. per group, a window over the slice summaries (at most ``partitions``
+   of them) adds the totals of the earlier slices to each M, and the max
+   is taken.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import global_rank
-
 
 def max_running_sum(df: DataFrame, group: list[str], order: list[str], values: list[str],
-                    slice_by: Column | None = None, slice_rows: int = 1_000_000) -> DataFrame:
+                    slice_by: Column | None = None, partitions: int | None = None) -> DataFrame:
     """(group..., <value>_sum, <value>_max_run) per group.
 
     ``<value>_max_run`` is the largest running total of ``value`` over the
@@ -36,8 +35,9 @@ def max_running_sum(df: DataFrame, group: list[str], order: list[str], values: l
     prefix is not counted: callers floor at their own start value.
     """
     if slice_by is None:
-        ranked = global_rank(df, [*group, *order], df.sparkSession.sparkContext.defaultParallelism)
-        sliced = ranked.withColumn("_slice", F.floor((F.col("_rn") - 1) / F.lit(slice_rows))).drop("_rn", "_n")
+        partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+        sliced = (df.repartitionByRange(partitions, *group, *order)
+                  .withColumn("_slice", F.spark_partition_id()))
     else:
         sliced = df.withColumn("_slice", slice_by)
     w_local = (Window.partitionBy(*group, "_slice").orderBy(*order)
