@@ -13,7 +13,6 @@ from .. import hooks as H
 from ..functions.dates import after_start_before_end_day, in_year, matrix_months, month_of
 from ..functions.numbers import positive_or_null, round2_percent
 from ..model import DEFAULT, Params, Shop
-from ..operators.calendar import int_spine
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.stats import entity_stats
 from .common import completed, date_hint, items_of
@@ -114,13 +113,27 @@ def _chosen(items: DataFrame, coupons) -> DataFrame:
     return items.filter(F.col("coupon").isin(list(coupons)))
 
 
-def _year_cells(shop: Shop, params: Params, hooks) -> DataFrame:
-    """(coupon, month, d): the year's discount per chosen coupon and month."""
+def _year_items(shop: Shop, params: Params, hooks) -> DataFrame:
+    """(coupon, month, discount_amount): the year's items of chosen coupons."""
     posts = shop.orders.filter(completed() & in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
     items = _chosen(_coupon_items(shop, lambda c: in_year(c, params.year)), params.coupons).join(posts, "order_id")
-    items = H.apply(hooks, "coupons.monthly", items, year=params.year)
-    return items.groupBy("coupon", "month").agg(F.sum("discount_amount").alias("d"))
+    return H.apply(hooks, "coupons.monthly", items, year=params.year)
+
+
+def _coupon_rows(shop: Shop, params: Params, hooks) -> DataFrame:
+    """One row per coupon with a sale in the year: m1..m12 (that month's
+    discount, null when none) and the year total — one grouped aggregation
+    (months are a fixed set of twelve)."""
+    items = _year_items(shop, params, hooks)
+    month, d = F.col("month"), F.col("discount_amount")
+    return items.groupBy("coupon").agg(
+        *[F.sum(F.when(month == m, d)).alias(f"m{m}") for m in range(1, 13)], F.sum(d).alias("total"))
+
+
+def _stack_months(shown: int, prefix: str = "m") -> str:
+    pairs = ", ".join(f"{m}, coalesce({prefix}{m}, 0)" for m in range(1, shown + 1))
+    return f"stack({shown}, {pairs}) AS (month, d)"
 
 
 def coupon_discounts_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
@@ -130,23 +143,20 @@ def coupon_discounts_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -
     * (c, null): c's row total over ALL months of the year, hidden ones too;
     * (null, m): column total over the shown months;
     * (null, null): sum of the column totals.
-    Coupons without a sale in the year have no row.  All branches read the
-    same aggregated cells (<= coupons x 12 rows); Spark reuses its exchange.
+    Coupons without a sale in the year have no row.  Everything comes from
+    one aggregation to one row per coupon; the column totals are a global
+    aggregate over those rows.
     """
-    cells = _year_cells(shop, params, hooks)
+    rows = _coupon_rows(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
-    rows = cells.groupBy("coupon").agg(F.sum("d").alias("d"))
-    grid = rows.select("coupon", F.explode(F.sequence(F.lit(1), F.lit(shown))).alias("month"))
-    dense = grid.join(cells, ["coupon", "month"], "left").select(
-        "coupon", "month", F.coalesce("d", F.lit(0)).alias("d"))
-    spark = shop.orders.sparkSession
-    columns = int_spine(spark, 1, shown, "month").join(
-        cells.filter(F.col("month") <= shown).groupBy("month").agg(F.sum("d").alias("d")), "month", "left"
-    ).select(F.lit(None).cast("string").alias("coupon"), "month", F.coalesce("d", F.lit(0)).alias("d"))
-    grand = columns.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d")).select(
-        F.lit(None).cast("string").alias("coupon"), F.lit(None).cast("int").alias("month"), "d")
-    out = (dense.unionByName(rows.select("coupon", F.lit(None).cast("int").alias("month"), "d"))
-           .unionByName(columns).unionByName(grand))
+    dense = rows.selectExpr("coupon", _stack_months(shown))
+    totals = rows.select("coupon", F.lit(None).cast("int").alias("month"), F.col("total").alias("d"))
+    cols = rows.agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, shown + 1)])
+    columns = cols.selectExpr("CAST(NULL AS STRING) AS coupon", _stack_months(shown))
+    grand = cols.select(F.lit(None).cast("string").alias("coupon"), F.lit(None).cast("int").alias("month"),
+                        sum((F.coalesce(F.col(f"m{m}"), F.lit(0)) for m in range(2, shown + 1)),
+                            F.coalesce(F.col("m1"), F.lit(0))).alias("d"))
+    out = dense.unionByName(totals).unionByName(columns).unionByName(grand)
     return out.select("coupon", F.col("month").cast("int"), F.col("d").cast("double").alias("discount"))
 
 
@@ -154,7 +164,7 @@ def coupon_discounts_stats(shop: Shop, params: Params = DEFAULT, hooks=None) ->
     """(top, top_total, worst, worst_total, average, median) over the coupon
     row totals; a row only when more than one coupon has sales.  Ties go to
     the coupon chosen first (name order when every coupon is chosen)."""
-    rows = _year_cells(shop, params, hooks).groupBy("coupon").agg(F.sum("d").alias("total"))
+    rows = _coupon_rows(shop, params, hooks).select("coupon", "total")
     if params.coupons is None:
         tie = F.col("coupon")
     else:
