@@ -10,7 +10,9 @@ whose total is 0 have no row, but were still added to the month totals.
 
 Plan: line totals are first reduced to (month, product) — at most 12 rows
 per product, so a hot product cannot skew the later join — then joined to
-the (category, product) bridge and grouped by (category, month).
+the (category, product) bridge and grouped once by category into twelve
+month sums; matrix rows, row totals and month totals are all read from
+that one aggregate.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 from .. import hooks as H
 from ..functions.dates import in_year, matrix_months, month_of
 from ..model import DEFAULT, Params, Shop
-from ..operators.calendar import int_spine
 from ..operators.stats import entity_stats
 from ..operators.taxonomy import (expand_with_descendants, materialized_closure, members,
                                   without_included_ancestor)
@@ -43,29 +44,38 @@ def _month_product_sales(shop: Shop, params: Params, hooks) -> DataFrame:
             .groupBy("month", "product_id").agg(F.sum("line_total").alias("sales")))
 
 
-def _category_months(shop: Shop, params: Params, hooks):
+def _category_rows(shop: Shop, params: Params, hooks):
+    """(tree, included, rows): rows has one row per included category with
+    sales — m1..m<shown> (that month's sales, null when none) and the total
+    over the shown months — from ONE grouped aggregation over the
+    (category, product) bridge joined to the (month, product) sales."""
     tree = materialized_closure(shop.categories)
     included = expand_with_descendants(chosen_categories(shop, params), tree)
     bridge = members(included, tree, shop.product_categories)
     sales = _month_product_sales(shop, params, hooks)
-    cells = bridge.join(sales, "product_id").groupBy("term_id", "month").agg(F.sum("sales").alias("sales"))
-    return tree, included, cells
+    shown = matrix_months(params.year, params.now)
+    month, v = F.col("month"), F.col("sales")
+    rows = bridge.join(sales, "product_id").groupBy("term_id").agg(
+        *[F.sum(F.when(month == m, v)).alias(f"m{m}") for m in range(1, shown + 1)], F.sum(v).alias("total"))
+    return tree, included, rows
+
+
+def _stack_months(shown: int) -> str:
+    pairs = ", ".join(f"{m}, coalesce(m{m}, 0)" for m in range(1, shown + 1))
+    return f"stack({shown}, {pairs}) AS (month, sales)"
 
 
 def category_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(category, is_child, month, sales): one row per kept category and matrix
     month (0 when no sales) plus its row total (month null)."""
-    _, included, cells = _category_months(shop, params, hooks)
+    _, included, rows = _category_rows(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
-    totals = cells.groupBy("term_id").agg(F.sum("sales").alias("sales")).filter(F.col("sales") != 0)
     cats = shop.categories.join(included, "term_id", "left_semi").select(
         "term_id", F.col("name").alias("category"), (F.col("parent_id") > 0).alias("is_child"))
-    kept = cats.join(totals, "term_id")
-    grid = kept.select("term_id", "category", "is_child",
-                       F.explode(F.sequence(F.lit(1), F.lit(shown))).alias("month"))
-    dense = grid.join(cells, ["term_id", "month"], "left").select(
-        "category", "is_child", "month", F.coalesce("sales", F.lit(0)).alias("sales"))
-    row_totals = kept.select("category", "is_child", F.lit(None).cast("int").alias("month"), "sales")
+    kept = cats.join(rows.filter(F.col("total") != 0), "term_id")
+    dense = kept.selectExpr("category", "is_child", _stack_months(shown))
+    row_totals = kept.select("category", "is_child", F.lit(None).cast("int").alias("month"),
+                             F.col("total").alias("sales"))
     out = dense.unionByName(row_totals)
     return out.select("category", "is_child", F.col("month").cast("int"), F.col("sales").cast("double"))
 
@@ -73,14 +83,15 @@ def category_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) ->
 def category_sales_totals(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(month, sales): per matrix month the sum over categories without an
     included ancestor, plus the grand total (month null)."""
-    tree, included, cells = _category_months(shop, params, hooks)
+    tree, included, rows = _category_rows(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
     tops = without_included_ancestor(included, tree)
-    per_month = cells.join(tops, "term_id", "left_semi").groupBy("month").agg(F.sum("sales").alias("sales"))
-    months = int_spine(shop.orders.sparkSession, 1, shown, "month").join(per_month, "month", "left").select(
-        "month", F.coalesce("sales", F.lit(0)).alias("sales"))
-    grand = months.agg(F.coalesce(F.sum("sales"), F.lit(0)).alias("sales")).select(
-        F.lit(None).cast("int").alias("month"), "sales")
+    cols = rows.join(tops, "term_id", "left_semi").agg(
+        *[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, shown + 1)])
+    months = cols.selectExpr(_stack_months(shown))
+    grand = cols.select(F.lit(None).cast("int").alias("month"),
+                        sum((F.coalesce(F.col(f"m{m}"), F.lit(0)) for m in range(2, shown + 1)),
+                            F.coalesce(F.col("m1"), F.lit(0))).alias("sales"))
     out = months.unionByName(grand)
     return out.select(F.col("month").cast("int"), F.col("sales").cast("double"))
 
@@ -89,8 +100,8 @@ def category_sales_stats(shop: Shop, params: Params = DEFAULT, hooks=None) -> Da
     """(top, top_total, worst, worst_total, average, median) over the kept
     categories in name order (first name wins ties).  Worst, average and
     median are shown only when more than one category is kept."""
-    _, included, cells = _category_months(shop, params, hooks)
-    totals = cells.groupBy("term_id").agg(F.sum("sales").alias("total")).filter(F.col("total") != 0)
+    _, _, rows = _category_rows(shop, params, hooks)
+    totals = rows.filter(F.col("total") != 0).select("term_id", "total")
     named = shop.categories.select("term_id", "name").join(totals, "term_id")
     s = entity_stats(named, "name", "total", F.col("name"), null_median_when_two=False)
     many = F.col("n") > 1
