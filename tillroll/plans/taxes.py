@@ -59,26 +59,34 @@ def monthly_taxes_by_rate(shop: Shop, params: Params = DEFAULT) -> DataFrame:
 
     Only tax items carrying both amounts count.  A label is shown when its
     total is > 0 in some shown month and the label is not empty or "0";
-    its months without tax are 0.
+    its months without tax are 0.  One grouped aggregation by label gives
+    every month's three sums (months are a fixed set); rows are stacked
+    from it.
     """
     shown = months_started_by(params.year, params.now)
     posts = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
     items = date_hint(items_of(shop, "tax"), lambda c: in_year(c, params.year)).filter(
         F.col("tax_amount").isNotNull() & F.col("shipping_tax_amount").isNotNull())
-    cells = (items.join(posts, "order_id").filter(F.col("month") <= shown)
-             .groupBy("month", F.col("item_name").alias("rate"))
-             .agg(F.sum("tax_amount").alias("tax"), F.sum("shipping_tax_amount").alias("shipping_tax"),
-                  F.sum(F.col("tax_amount") + F.col("shipping_tax_amount")).alias("total_tax")))
-    labels = (cells.filter((F.col("total_tax") > 0) & F.col("rate").isNotNull()
-                           & ~F.col("rate").isin("", "0"))
-              .select("rate").distinct())
-    grid = labels.select("rate", F.explode(F.sequence(F.lit(1), F.lit(max(shown, 1)))).alias("month")).filter(
-        F.col("month") <= shown)
-    measures = ("tax", "shipping_tax", "total_tax")
-    dense = grid.join(cells, ["rate", "month"], "left").select(
-        "month", "rate", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
-    year = dense.groupBy("rate").agg(*[F.sum(m).alias(m) for m in measures]).select(
-        F.lit(None).cast("int").alias("month"), "rate", *measures)
+    lines = items.join(posts, "order_id").filter(F.col("month") <= shown)
+    month, tax, ship = F.col("month"), F.col("tax_amount"), F.col("shipping_tax_amount")
+    sums = []
+    for m in range(1, shown + 1):
+        sums += [F.coalesce(F.sum(F.when(month == m, tax)), F.lit(0)).alias(f"t{m}"),
+                 F.coalesce(F.sum(F.when(month == m, ship)), F.lit(0)).alias(f"s{m}"),
+                 F.coalesce(F.sum(F.when(month == m, tax + ship)), F.lit(0)).alias(f"a{m}")]
+    if not sums:
+        return posts.sparkSession.createDataFrame(
+            [], "month int, rate string, tax double, shipping_tax double, total_tax double")
+    rates = lines.groupBy(F.col("item_name").alias("rate")).agg(*sums)
+    some_month_positive = F.greatest(*[F.col(f"a{m}") for m in range(1, shown + 1)], F.lit(0)) > 0
+    shown_rates = rates.filter(some_month_positive & F.col("rate").isNotNull() & ~F.col("rate").isin("", "0"))
+    triples = ", ".join(f"{m}, t{m}, s{m}, a{m}" for m in range(1, shown + 1))
+    dense = shown_rates.selectExpr(f"stack({shown}, {triples}) AS (month, tax, shipping_tax, total_tax)", "rate")
+    year = shown_rates.select(
+        F.lit(None).cast("int").alias("month"), "rate",
+        *[sum((F.col(f"{k}{m}") for m in range(2, shown + 1)), F.col(f"{k}1")).alias(name)
+          for k, name in (("t", "tax"), ("s", "shipping_tax"), ("a", "total_tax"))])
     out = dense.unionByName(year)
+    measures = ("tax", "shipping_tax", "total_tax")
     return out.select(F.col("month").cast("int"), "rate", *[F.col(m).cast("double").alias(m) for m in measures])
