@@ -47,6 +47,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a report service runs dozens of query shapes: keep their compiled
+        # whole-stage classes instead of recompiling evicted ones (default 100)
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     for key, value in SQL_CONF.items():
         builder = builder.config(key, value)
