@@ -26,7 +26,7 @@ from ..model import DEFAULT, Params, Shop
 from ..operators.stats import entity_stats
 from ..operators.taxonomy import (expand_with_descendants, materialized_closure, members,
                                   without_included_ancestor)
-from .common import completed_orders, date_hint, items_of
+from .common import completed_orders, date_hint, items_of, month_sums
 
 
 def chosen_categories(shop: Shop, params: Params) -> DataFrame:
@@ -54,9 +54,8 @@ def _category_rows(shop: Shop, params: Params, hooks):
     bridge = members(included, tree, shop.product_categories)
     sales = _month_product_sales(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
-    month, v = F.col("month"), F.col("sales")
     rows = bridge.join(sales, "product_id").groupBy("term_id").agg(
-        *[F.sum(F.when(month == m, v)).alias(f"m{m}") for m in range(1, shown + 1)], F.sum(v).alias("total"))
+        *month_sums("sales", shown, "m"), F.sum("sales").alias("total"))
     return tree, included, rows
 
 
@@ -86,12 +85,10 @@ def category_sales_totals(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
     tree, included, rows = _category_rows(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
     tops = without_included_ancestor(included, tree)
-    cols = rows.join(tops, "term_id", "left_semi").agg(
-        *[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, shown + 1)])
+    cols = rows.join(tops, "term_id", "left_semi").agg(*[F.expr(f"sum(m{m}) AS m{m}") for m in range(1, shown + 1)])
     months = cols.selectExpr(_stack_months(shown))
-    grand = cols.select(F.lit(None).cast("int").alias("month"),
-                        sum((F.coalesce(F.col(f"m{m}"), F.lit(0)) for m in range(2, shown + 1)),
-                            F.coalesce(F.col("m1"), F.lit(0))).alias("sales"))
+    grand = cols.selectExpr("CAST(NULL AS INT) AS month",
+                            " + ".join(f"coalesce(m{m}, 0)" for m in range(1, shown + 1)) + " AS sales")
     out = months.unionByName(grand)
     return out.select(F.col("month").cast("int"), F.col("sales").cast("double"))
 

@@ -15,7 +15,7 @@ from ..functions.numbers import positive_or_null, round2_percent
 from ..model import DEFAULT, Params, Shop
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.stats import entity_stats
-from .common import completed, date_hint, items_of
+from .common import completed, date_hint, items_of, month_sums
 
 TOP = 15
 
@@ -126,9 +126,8 @@ def _coupon_rows(shop: Shop, params: Params, hooks) -> DataFrame:
     discount, null when none) and the year total — one grouped aggregation
     (months are a fixed set of twelve)."""
     items = _year_items(shop, params, hooks)
-    month, d = F.col("month"), F.col("discount_amount")
-    return items.groupBy("coupon").agg(
-        *[F.sum(F.when(month == m, d)).alias(f"m{m}") for m in range(1, 13)], F.sum(d).alias("total"))
+    return items.groupBy("coupon").agg(*month_sums("discount_amount", 12, "m"),
+                                       F.sum("discount_amount").alias("total"))
 
 
 def _stack_months(shown: int, prefix: str = "m") -> str:
@@ -151,11 +150,10 @@ def coupon_discounts_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -
     shown = matrix_months(params.year, params.now)
     dense = rows.selectExpr("coupon", _stack_months(shown))
     totals = rows.select("coupon", F.lit(None).cast("int").alias("month"), F.col("total").alias("d"))
-    cols = rows.agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, shown + 1)])
+    cols = rows.agg(*[F.expr(f"sum(m{m}) AS m{m}") for m in range(1, shown + 1)])
     columns = cols.selectExpr("CAST(NULL AS STRING) AS coupon", _stack_months(shown))
-    grand = cols.select(F.lit(None).cast("string").alias("coupon"), F.lit(None).cast("int").alias("month"),
-                        sum((F.coalesce(F.col(f"m{m}"), F.lit(0)) for m in range(2, shown + 1)),
-                            F.coalesce(F.col("m1"), F.lit(0))).alias("d"))
+    grand = cols.selectExpr("CAST(NULL AS STRING) AS coupon", "CAST(NULL AS INT) AS month",
+                            " + ".join(f"coalesce(m{m}, 0)" for m in range(1, shown + 1)) + " AS d")
     out = dense.unionByName(totals).unionByName(columns).unionByName(grand)
     return out.select("coupon", F.col("month").cast("int"), F.col("d").cast("double").alias("discount"))
 

@@ -13,7 +13,7 @@ from ..functions.dates import in_year, month_of, months_started_by
 from ..functions.numbers import MONEY, positive_or_null
 from ..model import DEFAULT, Params, Shop
 from ..operators.calendar import gap_fill, month_spine
-from .common import completed_orders, date_hint, items_of
+from .common import completed_orders, date_hint, items_of, month_sums
 
 _MEASURES = ("gross", "shipping", "order_tax", "shipping_tax")
 
@@ -69,23 +69,20 @@ def monthly_taxes_by_rate(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     items = date_hint(items_of(shop, "tax"), lambda c: in_year(c, params.year)).filter(
         F.col("tax_amount").isNotNull() & F.col("shipping_tax_amount").isNotNull())
     lines = items.join(posts, "order_id").filter(F.col("month") <= shown)
-    month, tax, ship = F.col("month"), F.col("tax_amount"), F.col("shipping_tax_amount")
-    sums = []
-    for m in range(1, shown + 1):
-        sums += [F.coalesce(F.sum(F.when(month == m, tax)), F.lit(0)).alias(f"t{m}"),
-                 F.coalesce(F.sum(F.when(month == m, ship)), F.lit(0)).alias(f"s{m}"),
-                 F.coalesce(F.sum(F.when(month == m, tax + ship)), F.lit(0)).alias(f"a{m}")]
+    sums = (month_sums("tax_amount", shown, "t", zero=True)
+            + month_sums("shipping_tax_amount", shown, "s", zero=True)
+            + month_sums("tax_amount + shipping_tax_amount", shown, "a", zero=True))
     if not sums:
         return posts.sparkSession.createDataFrame(
             [], "month int, rate string, tax double, shipping_tax double, total_tax double")
     rates = lines.groupBy(F.col("item_name").alias("rate")).agg(*sums)
-    some_month_positive = F.greatest(*[F.col(f"a{m}") for m in range(1, shown + 1)], F.lit(0)) > 0
+    some_month_positive = F.expr("greatest(" + ", ".join(f"a{m}" for m in range(1, shown + 1)) + ", 0) > 0")
     shown_rates = rates.filter(some_month_positive & F.col("rate").isNotNull() & ~F.col("rate").isin("", "0"))
     triples = ", ".join(f"{m}, t{m}, s{m}, a{m}" for m in range(1, shown + 1))
     dense = shown_rates.selectExpr(f"stack({shown}, {triples}) AS (month, tax, shipping_tax, total_tax)", "rate")
-    year = shown_rates.select(
-        F.lit(None).cast("int").alias("month"), "rate",
-        *[sum((F.col(f"{k}{m}") for m in range(2, shown + 1)), F.col(f"{k}1")).alias(name)
+    year = shown_rates.selectExpr(
+        "CAST(NULL AS INT) AS month", "rate",
+        *[" + ".join(f"{k}{m}" for m in range(1, shown + 1)) + f" AS {name}"
           for k, name in (("t", "tax"), ("s", "shipping_tax"), ("a", "total_tax"))])
     out = dense.unionByName(year)
     measures = ("tax", "shipping_tax", "total_tax")
