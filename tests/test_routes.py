@@ -87,3 +87,12 @@ def test_fanout_without_order_terms_changes_nothing(spark, both):
 def test_one_pass_items_equal_union_items(spark):
     lineitem = star.read_table(spark, SF0001, "lineitem")
     assert _bag(star.item_rows_one_pass(lineitem)) == _bag(star.item_fact(lineitem))
+
+
+def test_csv_export_route_equals_typed_route(spark, both):
+    typed, _ = both
+    folder = tempfile.mkdtemp(prefix="tillroll-csv-")
+    eav.write_raw(eav.star_to_raw(spark, SF0001), folder, fmt="csv")
+    csv_shop = eav.raw_to_shop(eav.read_raw(spark, folder, fmt="csv"))
+    for name in ("totals", "daily", "low_stock", "out_of_stock", "customers", "taxes"):
+        assert _bag(REPORTS[name](csv_shop)) == _bag(REPORTS[name](typed)), name

@@ -76,16 +76,43 @@ RAW_TABLES = ("posts", "postmeta", "order_items", "order_itemmeta", "product_typ
               "term_relationships", "categories", "users", "signups")
 
 
+RAW_SCHEMAS = {
+    "posts": "ID bigint, post_type string, post_status string, post_date timestamp_ntz, "
+             "post_title string, post_parent bigint",
+    "postmeta": "post_id bigint, meta_key string, meta_value string",
+    "order_items": "order_item_id bigint, order_id bigint, order_item_type string, order_item_name string",
+    "order_itemmeta": "order_item_id bigint, meta_key string, meta_value string",
+    "product_types": "product_id bigint, product_type string",
+    "term_relationships": "object_id bigint, term_id bigint",
+    "categories": "term_id bigint, parent_id bigint, name string",
+    "users": "user_id bigint, role string, user_registered timestamp_ntz",
+    "signups": "user_id bigint, role string, user_registered timestamp_ntz",
+}
+# Fixed value: the NULL marker of MySQL text exports.  CSV cannot tell an
+# empty string from a null otherwise, and a blank stock is not a missing one.
+CSV_OPTIONS = {"header": "true", "nullValue": "\\N"}
+
+
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> RawShop:
-    """Load an export written as one folder/table per raw table."""
+    """Load an export written as one folder/table per raw table (parquet,
+    CSV, JSON...; JDBC tables through ``spark.read.jdbc`` and ``RawShop``).
+    Text formats get the declared schemas (no inference pass over the
+    export) and, for CSV, MySQL's ``\\N`` null marker unless overridden."""
+    text = fmt in ("csv", "json")
+    opts = {**(CSV_OPTIONS if fmt == "csv" else {}), **options}
+
     def load(name: str) -> DataFrame:
-        return spark.read.format(fmt).options(**options).load(f"{path.rstrip('/')}/{name}")
+        reader = spark.read.format(fmt).options(**opts)
+        if text:
+            reader = reader.schema(RAW_SCHEMAS[name])
+        return reader.load(f"{path.rstrip('/')}/{name}")
     return RawShop(**{name: load(name) for name in RAW_TABLES})
 
 
-def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwrite", **options) -> None:
+    opts = {**(CSV_OPTIONS if fmt == "csv" else {}), **options}
     for name in RAW_TABLES:
-        getattr(raw, name).write.format(fmt).mode(mode).save(f"{path.rstrip('/')}/{name}")
+        getattr(raw, name).write.format(fmt).options(**opts).mode(mode).save(f"{path.rstrip('/')}/{name}")
 
 
 _EXPORTS: dict[tuple[str, str], RawShop] = {}
