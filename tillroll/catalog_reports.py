@@ -637,6 +637,17 @@ def q_chart_series_signups(spark, sf_dir):
     return ops.chart_series_signups(shop(spark, sf_dir), P)
 
 
+@register("chart_series_categories", f"""
+SELECT category AS series,
+       '[' || string_agg('[' || CAST(epoch_ms(make_timestamp({P.year}, month, 1, 0, 0, 0)) AS VARCHAR) || ','
+                         || CAST(CAST(sales AS DECIMAL(20,2)) AS VARCHAR) || ']', ',' ORDER BY month) || ']' AS points
+FROM ({_ORACLE["category_sales_monthly"]}) q
+WHERE month IS NOT NULL
+GROUP BY category""")
+def q_chart_series_categories(spark, sf_dir):
+    return ops.chart_series_categories(shop(spark, sf_dir), P)
+
+
 # --------------------------------------------------------------------------
 # streams (oracle: the batch report's SQL)
 

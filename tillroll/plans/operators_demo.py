@@ -11,7 +11,7 @@ from ..functions.numbers import MONEY, mysql_money, mysql_number
 from ..model import DEFAULT, Params, Shop
 from ..sources import eav
 from ..operators.charts import chart_series
-from . import customers, monthly, totals
+from . import categories, customers, monthly, totals
 
 _MONEY_OUT = ("total", "shipping", "order_tax", "shipping_tax", "order_discount", "cart_discount")
 _ITEM_MONEY = ("qty", "line_total", "discount_amount", "tax_amount", "shipping_tax_amount")
@@ -86,3 +86,12 @@ def chart_series_signups(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     """(series, points): the sign-ups chart, one point per day (31 at most)."""
     days = customers.customer_signups_daily(shop, params).withColumn("series", F.lit("signups"))
     return chart_series(days, ["series"], epoch_millis(F.col("day")), F.col("signups"))
+
+
+def chart_series_categories(shop: Shop, params: Params = DEFAULT) -> DataFrame:
+    """(series, points): one series per kept category of the category
+    matrix, one point per shown month (sales as cents-exact text)."""
+    m = categories.category_sales_monthly(shop, params).filter(F.col("month").isNotNull())
+    x = epoch_millis(F.make_date(F.lit(params.year), F.col("month"), F.lit(1)))
+    return chart_series(m.withColumnRenamed("category", "series"), ["series"], x,
+                        F.col("sales").cast("decimal(20,2)"))
