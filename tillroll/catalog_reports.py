@@ -648,6 +648,17 @@ def q_chart_series_categories(spark, sf_dir):
     return ops.chart_series_categories(shop(spark, sf_dir), P)
 
 
+@register("chart_series_coupons", f"""
+SELECT coupon AS series,
+       '[' || string_agg('[' || CAST(epoch_ms(make_timestamp({P.year}, month, 1, 0, 0, 0)) AS VARCHAR) || ','
+                         || CAST(CAST(discount AS DECIMAL(20,4)) AS VARCHAR) || ']', ',' ORDER BY month) || ']' AS points
+FROM ({_ORACLE["coupon_discounts_monthly"]}) q
+WHERE coupon IS NOT NULL AND month IS NOT NULL
+GROUP BY coupon""")
+def q_chart_series_coupons(spark, sf_dir):
+    return ops.chart_series_coupons(shop(spark, sf_dir), P)
+
+
 # --------------------------------------------------------------------------
 # streams (oracle: the batch report's SQL)
 

@@ -11,7 +11,7 @@ from ..functions.numbers import MONEY, mysql_money, mysql_number
 from ..model import DEFAULT, Params, Shop
 from ..sources import eav
 from ..operators.charts import chart_series
-from . import categories, customers, monthly, totals
+from . import categories, coupons, customers, monthly, totals
 
 _MONEY_OUT = ("total", "shipping", "order_tax", "shipping_tax", "order_discount", "cart_discount")
 _ITEM_MONEY = ("qty", "line_total", "discount_amount", "tax_amount", "shipping_tax_amount")
@@ -95,3 +95,13 @@ def chart_series_categories(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     x = epoch_millis(F.make_date(F.lit(params.year), F.col("month"), F.lit(1)))
     return chart_series(m.withColumnRenamed("category", "series"), ["series"], x,
                         F.col("sales").cast("decimal(20,2)"))
+
+
+def chart_series_coupons(shop: Shop, params: Params = DEFAULT) -> DataFrame:
+    """(series, points): one series per coupon of the coupon matrix, one
+    point per shown month (discounts carry 4 decimals, so 4-place text)."""
+    m = coupons.coupon_discounts_monthly(shop, params).filter(
+        F.col("coupon").isNotNull() & F.col("month").isNotNull())
+    x = epoch_millis(F.make_date(F.lit(params.year), F.col("month"), F.lit(1)))
+    return chart_series(m.withColumnRenamed("coupon", "series"), ["series"], x,
+                        F.col("discount").cast("decimal(20,4)"))
