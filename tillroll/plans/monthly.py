@@ -9,7 +9,6 @@ from .. import hooks as H
 from ..functions.dates import in_year, month_of, months_started_by
 from ..functions.numbers import MONEY, absint, positive_or_null, round2_ratio
 from ..model import DEFAULT, SHOP_ORDER, Params, Shop
-from ..operators.calendar import gap_fill, month_spine
 from .common import completed, completed_orders, date_hint, items_of, tagged_union
 
 
@@ -24,8 +23,11 @@ def _monthly(shop: Shop, params: Params, hooks) -> DataFrame:
     """Monthly rows with sales still DECIMAL (summed exactly by the summary).
 
     Orders and sales count completed ``shop_order`` posts; items take line
-    items of every completed post and apply abs(int()) per month.  Both
-    measures come out of one grouped aggregation over a tagged union.
+    items of every completed post and apply abs(int()) per month.  All
+    measures of all months come out of ONE global aggregation over a tagged
+    union (per-month conditional sums: partial aggregates per task and a
+    tiny final merge, no shuffle of rows, no calendar join); the months are
+    then stacked into rows, empty ones as 0.
     """
     year = params.year
     orders = completed_orders(shop).filter(in_year(F.col("created"), year))
@@ -36,16 +38,19 @@ def _monthly(shop: Shop, params: Params, hooks) -> DataFrame:
     items = H.apply(hooks, "monthly.items", items, year=year)
     u = tagged_union({1: orders.select("created", "total"), 2: items.select("created", "qty")},
                      {"created": "timestamp_ntz", "total": MONEY, "qty": MONEY})
-    per_month = u.groupBy(month_of(F.col("created")).alias("month")).agg(
-        F.count(F.when(F.col("src") == 1, F.lit(1))).alias("orders"),
-        F.sum(F.when(F.col("src") == 1, F.col("total"))).alias("sales"),
-        absint(F.sum(F.when(F.col("src") == 2, F.col("qty")))).alias("items"))
-    spine = month_spine(shop.orders.sparkSession, year, months_started_by(year, params.now))
-    out = gap_fill(spine, per_month, ["month_start", "month"],
-                   {"orders": F.lit(0).cast("bigint"), "sales": F.lit(0).cast(MONEY),
-                    "items": F.lit(0).cast("bigint")}, on=["month"])
-    return out.select("month_start", F.col("orders").cast("bigint"),
-                      F.col("sales"), F.col("items").cast("bigint"))
+    shown = months_started_by(year, params.now)
+    n = max(shown, 1)
+    u = u.select("src", month_of(F.col("created")).alias("month"), "total", "qty")
+    aggs = []
+    for m in range(1, n + 1):
+        aggs += [F.expr(f"count(CASE WHEN src = 1 AND month = {m} THEN 1 END) AS o{m}"),
+                 F.expr(f"coalesce(sum(CASE WHEN src = 1 AND month = {m} THEN total END), 0) AS s{m}"),
+                 F.expr(f"sum(CASE WHEN src = 2 AND month = {m} THEN qty END) AS q{m}")]
+    stack = ", ".join(f"{m}, o{m}, s{m}, q{m}" for m in range(1, n + 1))
+    rows = u.agg(*aggs).selectExpr(f"stack({n}, {stack}) AS (month, orders, sales, q)").filter(
+        F.col("month") <= shown)
+    return rows.select(F.make_date(F.lit(year), F.col("month"), F.lit(1)).alias("month_start"),
+                       F.col("orders").cast("bigint"), F.col("sales"), absint(F.col("q")).cast("bigint").alias("items"))
 
 
 def monthly_sales_summary(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:

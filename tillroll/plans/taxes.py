@@ -10,22 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import in_year, month_of, months_started_by
-from ..functions.numbers import MONEY, positive_or_null
+from ..functions.numbers import positive_or_null
 from ..model import DEFAULT, Params, Shop
-from ..operators.calendar import gap_fill, month_spine
 from .common import completed_orders, date_hint, items_of, month_sums
 
 _MEASURES = ("gross", "shipping", "order_tax", "shipping_tax")
 
 
 def _monthly(shop: Shop, params: Params) -> DataFrame:
-    orders = completed_orders(shop).filter(in_year(F.col("created"), params.year))
-    per_month = orders.groupBy(month_of(F.col("created")).alias("month")).agg(
-        F.sum("total").alias("gross"), F.sum("shipping").alias("shipping"),
-        F.sum("order_tax").alias("order_tax"), F.sum("shipping_tax").alias("shipping_tax"))
-    spine = month_spine(shop.orders.sparkSession, params.year, months_started_by(params.year, params.now))
-    zero = F.lit(0).cast(MONEY)
-    out = gap_fill(spine, per_month, ["month_start", "month"], {m: zero for m in _MEASURES}, on=["month"])
+    """The started months of the year: one global aggregation of per-month
+    conditional sums (no shuffle of rows, no calendar join), stacked into
+    rows; empty months are 0."""
+    orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
+        month_of(F.col("created")).alias("month"), F.col("total").alias("gross"), "shipping",
+        "order_tax", "shipping_tax")
+    shown = months_started_by(params.year, params.now)
+    n = max(shown, 1)
+    aggs = [F.expr(f"coalesce(sum(CASE WHEN month = {m} THEN {c} END), 0) AS {c}{m}")
+            for m in range(1, n + 1) for c in _MEASURES]
+    stack = ", ".join(f"{m}, " + ", ".join(f"{c}{m}" for c in _MEASURES) for m in range(1, n + 1))
+    out = (orders.agg(*aggs).selectExpr(f"stack({n}, {stack}) AS (month, {', '.join(_MEASURES)})")
+           .filter(F.col("month") <= shown)
+           .withColumn("month_start", F.make_date(F.lit(params.year), F.col("month"), F.lit(1))))
     total_tax = F.col("order_tax") + F.col("shipping_tax")
     return out.select("month_start", "month", *_MEASURES, total_tax.alias("total_tax"),
                       (F.col("gross") - F.col("shipping") - total_tax).alias("net"))
