@@ -309,3 +309,15 @@ def test_m8_fanout_coupon_overview_counts_orders_once(spark):
     terms = spark.createDataFrame([(1, 7), (1, 8)], "object_id long, term_id long")
     o = coupon_usage_overview(legacy_fanout(shop, terms), params).first().asDict()
     assert o == {"order_count": 2, "coupon_orders": 1, "coupon_pct": 50.0, "total_discount": 6.0}
+
+
+def test_year_not_started_gives_no_months(spark):
+    from tillroll.plans.monthly import monthly_sales_summary
+    from tillroll.plans.taxes import tax_year_summary
+    params = replace(DEFAULT, year=1999)  # now is in September 1998
+    shop = make_shop(spark, orders=[order(1, ts("1998-02-10 10:00:00"), 10)], items=[line(1, 2)])
+    assert monthly_sales(shop, params).count() == 0 and monthly_taxes(shop, params).count() == 0
+    s = monthly_sales_summary(shop, params).first()
+    assert (s["total_sales"], s["total_orders"], s["total_items"]) == (None, None, None)
+    t = tax_year_summary(shop, params).first()
+    assert (t["total_tax"], t["gross"], t["net"]) == (None, 0.0, 0.0)
