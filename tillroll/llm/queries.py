@@ -4,28 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import simhash, urlfilter
+from tillroll.llm import langid, simhash, urlfilter, warc
 from tillroll.llm.common import read
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def _page(column: str) -> Column:
+    return F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a WARC archive and back."""
+    found = warc.roundtrip(read(spark, sf_dir, "pages"))
+    return found.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        _page("refers_to").alias("refers_to"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 4 bits or fewer, over all documents."""
     found = simhash.simhash_clusters(read(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four of five documents, predicts all."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model, extra={"held_out": held_out}).select(
+        "doc_id", "held_out", "lang_pred", "score", F.col("lang").alias("lang_accepted"), "margin")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rule list."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT digest, min(page_id) AS least FROM p WHERE strlen(html) >= 100 GROUP BY digest)
+SELECT page_id, strlen(html) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least < page_id THEN least END AS refers_to
+FROM p LEFT JOIN first ON p.digest = first.digest AND strlen(html) >= 100
+"""
+
 OP8_SQL = r"""
 WITH rules(action, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -46,8 +75,8 @@ FROM parts p LEFT JOIN best USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op8_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op8_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op8_url_filter": OP8_SQL}
