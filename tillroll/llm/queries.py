@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import langid, simhash, urlfilter, warc
+from tillroll.llm import langid, quality, simhash, urlfilter, warc
 from tillroll.llm.common import read
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -18,6 +18,11 @@ def _page(column: str) -> Column:
     return F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).try_cast("long")
 
 
+def not_held_out(id_col: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves another remainder than ``part``."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts != part, F.lit(True))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a WARC archive and back."""
     found = warc.roundtrip(read(spark, sf_dir, "pages"))
@@ -34,12 +39,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from four of five documents, predicts all."""
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = ~not_held_out("doc_id", 5, 0)
     model = langid.train(docs.where(~held_out))
     return langid.predict(docs, model, extra={"held_out": held_out}).select(
         "doc_id", "held_out", "lang_pred", "score", F.col("lang").alias("lang_accepted"), "margin")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled documents outside the held-out fold, scores all."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(not_held_out("doc_id", 4, 2)))
+    columns = {"doc_id": F.col("doc_id"), "held_out": ~not_held_out("doc_id", 4, 2)}
+    return quality.score(docs, model, columns=columns).withColumn(
+        "predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rule list."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -75,7 +89,7 @@ FROM parts p LEFT JOIN best USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op8_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op6_quality, op8_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
