@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import langid, quality, simhash, urlfilter, warc
+from tillroll.llm import langid, quality, repeats, simhash, urlfilter, warc
 from tillroll.llm.common import read
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -60,6 +60,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 100 bytes or more removed from every whole text."""
+    cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
 first AS (SELECT digest, min(page_id) AS least FROM p WHERE strlen(html) >= 100 GROUP BY digest)
@@ -89,7 +95,8 @@ FROM parts p LEFT JOIN best USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op6_quality, op8_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op6_quality, op8_url_filter,
+                                     op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
