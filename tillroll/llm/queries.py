@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import langid, quality, repeats, simhash, urlfilter, warc
+from tillroll.llm import ann, langid, quality, repeats, simhash, urlfilter, warc
 from tillroll.llm.common import read
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -45,6 +45,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", F.col("lang").alias("lang_accepted"), "margin")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 100, against all rows."""
+    found = ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labelled documents outside the held-out fold, scores all."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -95,7 +101,7 @@ FROM parts p LEFT JOIN best USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op6_quality, op8_url_filter,
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op5_nearest, op6_quality, op8_url_filter,
                                      op10_repeats)}
 
 
