@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import ann, langid, quality, repeats, simhash, urlfilter, warc
+from tillroll.llm import ann, decontam, langid, mixing, quality, repeats, simhash, tokens, urlfilter, warc
 from tillroll.llm.common import read
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -36,6 +36,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within its edit budget."""
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from four of five documents, predicts all."""
     docs = read(spark, sf_dir, "documents")
@@ -60,12 +65,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents at least once, no source more than twice."""
+    dealt = mixing.mix(read(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "source", mixing.tokens_of(F.col("text")).alias("tokens"), "epoch", "place")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rule list."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, packed and written to shards in training order."""
+    return tokens.materialise(read(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 100 bytes or more removed from every whole text."""
     cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
@@ -101,8 +117,9 @@ FROM parts p LEFT JOIN best USING (n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op4_language_id, op5_nearest, op6_quality, op8_url_filter,
-                                     op10_repeats)}
+    return {f.__name__: f for f in (
+        op1_warc, op2_simhash, op3_decontamination, op4_language_id, op5_nearest, op6_quality, op7_mixing,
+        op8_url_filter, op9_token_shards, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
