@@ -190,7 +190,9 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
 
     schema = "leaf int, block int, kind int, query_id long, v array<double>, ids array<long>"
     index = dealt.select("leaf", "v", "ids", F.abs(F.hash("v")).cast("long").alias("salt")).mapInArrow(block_of, schema)
-    asked = rows.where(queries).select("id", "v").repartition("id").mapInArrow(search, schema)
+    # by number: a query's row is small, its search is not
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = rows.where(queries).select("id", "v").repartition(tasks, "id").mapInArrow(search, schema)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, xs, ids = None, [], []

@@ -207,7 +207,9 @@ def read_warc(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE
     a revisit ``payload`` is null, its length and digest are the full payload's."""
     ranges = (manifest.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start"))
               .withColumn("end", F.least(F.col("start") + range_bytes, "bytes")))
-    dealt = ranges.repartition(F.xxhash64("path", "start"))
+    # by number: the rows are small, what they stand for is not
+    tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0]
+    dealt = ranges.repartition(max(1, int(tasks or 0)), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
