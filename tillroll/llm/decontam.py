@@ -164,7 +164,7 @@ class Screen:
         high = diagonal + STRIDE + self.reach + k
         end = min(len(joined), high + len(item) + 1)
         doc = int(np.searchsorted(starts, low, side="right")) - 1
-        while doc < len(starts) - 1 and starts[doc] < end:
+        while doc < len(starts) - 1 and starts[doc] <= high:
             s, e = max(low, int(starts[doc])), min(end, int(starts[doc + 1]) - 1)
             found = out[first + doc]
             if e - s >= len(item) - k and not (i in found and found[i][0] == 0):

@@ -163,7 +163,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
                                       names=["a", "b", "c"])
 
 
-def _lists(max_bits: int):
+def _lists(max_bits: int, block: int):
     """Posting lists, sorted by key, to edges; long lists go on as (fp, -, c)."""
     min_bytes = 8 - max_bits
     masks = np.array(_byte_masks(max_bits), np.uint64)
@@ -209,7 +209,7 @@ def _lists(max_bits: int):
                 held_c = int(c[starts[g]])
                 if is_long:
                     yield long_rows(values, held_c)
-                elif held_n + len(values) > BLOCK:
+                elif held_n + len(values) > block:
                     yield long_rows(np.concatenate([*held, values]), held_c)
                     held, held_n, is_long = [], 0, True
                 else:
@@ -245,7 +245,7 @@ def _half_keys(max_bits: int):
     return run
 
 
-def _half_lists(max_bits: int):
+def _half_lists(max_bits: int, block: int):
     masks = [m for b in _byte_masks(max_bits) for m in _half_masks(b, max_bits)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def _half_lists(max_bits: int):
             if not held:
                 return
             values = np.unique(np.concatenate(held))
-            if len(values) > BLOCK:
+            if len(values) > block:
                 edges.extend(_cube(values, masks[held_c], max_bits))
             elif len(values) > 1:
                 edges.extend(_pairs(values, max_bits, 8 - max_bits))
@@ -286,7 +286,7 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.repartition("c", "key").sortWithinPartitions("c", "key")
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
     """``fps`` (fp: distinct longs) -> (a, b): edges whose components are those
     of all pairs within ``max_bits`` bits."""
     if not 0 <= max_bits <= 4:
@@ -295,11 +295,11 @@ def fingerprint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(m) for m in masks])).alias("c", "key"))
-    first = write_table(_keyed(postings.select("c", "key", "fp")).mapInArrow(_lists(max_bits), "a long, b long, c int"),
+    first = write_table(_keyed(postings.select("c", "key", "fp")).mapInArrow(_lists(max_bits, block), "a long, b long, c int"),
                         "simhash-lists")
     longer = first.where("c >= 0").select(F.col("a").alias("fp"), "c")
     second = _keyed(longer.mapInArrow(_half_keys(max_bits), "c int, key long, fp long")).mapInArrow(
-        _half_lists(max_bits), "a long, b long, c int")
+        _half_lists(max_bits, block), "a long, b long, c int")
     return first.where("c < 0").union(second).select("a", "b")
 
 
