@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.functions.numbers import (absint, mysql_number, mysql_signed, round2_percent,
+from tillroll.functions.numbers import (absint, mysql_number, mysql_signed, php_int, round2_percent,
                                         round2_ratio, share_of_max)
 
 
@@ -52,16 +52,35 @@ def test_share_of_max(spark):
 
 
 @pytest.mark.parametrize("dtype", ["decimal(18,4)", "bigint"])
-@pytest.mark.parametrize("text", ["12.50", "5.", ".5", "+4", "-2.5e1z", "1-2", "1e3", "7 ", " 7", "0x1p3",
-                                  "١٢", "\x015", "3.14159", "99999999999999999999", "-0", "e5", "1.5d"])
+@pytest.mark.parametrize("text", ["12.50", "5.", ".5", "+4", "-2.5e1z", "1-2", "1e3", "7 ", " 7", "0x1p3", "3.7",
+                                  "١٢", "\x015", "3.14159", "-0", "e5", "1.5d", "", "abc"])
 def test_cast_fast_path_equals_prefix_rule(spark, dtype, text):
     from tillroll.functions.numbers import NUMERIC_PREFIX
     df = spark.createDataFrame([(text,)], "t string")
-    slow = F.coalesce(F.regexp_extract("t", NUMERIC_PREFIX, 1).try_cast(dtype), F.lit(0).cast(dtype))
+    slow = F.coalesce(F.regexp_extract("t", NUMERIC_PREFIX, 1).try_cast("decimal(38,4)"), F.lit(0)).cast(dtype)
     r = df.select(mysql_number("t", dtype).alias("fast"), slow.alias("slow")).first()
     assert r["fast"] == r["slow"]
 
 
+def test_large_numbers_are_kept_or_refused_never_zero(spark):
+    df = spark.createDataFrame([("100000000000000.5",)], "t string")
+    assert df.select(mysql_number("t", "decimal(28,4)").alias("n")).first()["n"] == 100000000000000.5
+    for dtype in ("decimal(18,4)", "bigint"):
+        big = spark.createDataFrame([("1" * 25,)], "t string")
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|CAST_OVERFLOW|out of range"):
+            big.select(mysql_number("t", dtype)).collect()
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE|out of range"):
+        df.select(mysql_number("t", "decimal(18,4)")).collect()
+
+
+def test_integers_saturate(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    df = spark.createDataFrame([("9" * 20, 1e30), ("-" + "9" * 20, -1e30), ("12x", -3.9)], "t string, x double")
+    got = [tuple(r) for r in df.select(mysql_signed("t"), php_int("x"), absint("x")).collect()]
+    assert got == [(top, top, top), (low, low, top), (12, -3, 3)]
+
+
+
 def test_display_text(spark):
     import datetime as dt
     from tillroll.functions.dates import day_text, month_label

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.operators.running import max_running_sum
-from tillroll.operators.stats import global_rank
+from tillroll.operators.stats import entity_stats, global_rank
+from tillroll.operators.taxonomy import closure
 
 
 def test_global_rank_equals_full_sort_with_a_hot_value(spark):
@@ -45,16 +47,34 @@ def test_max_running_sum_equals_brute_force(spark):
     assert got == want
 
 
-def test_number_within_equals_row_number_with_a_hot_key(spark):
-    from tillroll.sources.eav import number_within
-    # key 0 holds a third of the rows; (key, v) has repeats
-    df = spark.range(1500).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
-        (F.col("id") % 97).alias("v"))
-    got = sorted(tuple(r) for r in number_within(df, "k", ["k", "v"], "rn").select("k", "v", "rn").collect())
-    want = sorted(tuple(r) for r in df.select(
-        "k", "v", F.row_number().over(Window.partitionBy("k").orderBy("v")).alias("rn")).collect())
-    assert got == want
+@pytest.mark.parametrize("partitions", [8, 32])
+def test_ranks_of_600_000_rows(spark, partitions):
+    """More rows than the range sampler looks at: ranks must still be 1..n in
+    order, and the house median that of a sort."""
+    n = 600_000
+    df = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"),
+                               F.pmod(F.xxhash64("id"), F.lit(10 ** 6)).cast("decimal(18,4)").alias("total"))
+    ranked = global_rank(df, ["total", "name"], partitions)
+    got = ranked.agg(F.min("_rn"), F.max("_rn"), F.countDistinct("_rn"), F.max("_n")).first()
+    assert tuple(got) == (1, n, n, n)
+    values = sorted(float(r[0]) for r in df.select("total").toLocalIterator())
+    s = entity_stats(df, "name", "total", F.col("name"), False, partitions).first()
+    assert s["median"] == values[n // 2] and s["n"] == n
+
+
+def test_ranks_come_from_one_range_exchange(spark):
+    df = spark.range(1000).select(F.col("id").alias("v"))
+    plan = global_rank(df, ["v"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # the ranges are a written table
+
+
+def test_closure_of_many_terms_and_of_a_cycle(spark):
+    wide = spark.range(1, 1_200_001).select(F.col("id").alias("term_id"), F.when(F.col("id") <= 1000, 0).otherwise(F.col("id") % 1000 + 1).cast("bigint").alias("parent_id"))
+    assert closure(wide).groupBy("depth").count().orderBy("depth").collect() == [(0, 1_200_000), (1, 1_199_000)]
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 0)], "term_id long, parent_id long")
+    assert sorted(tuple(r) for r in closure(ring).collect()) == [
+        (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 2, 0), (2, 3, 1), (3, 3, 0), (4, 4, 0)]
+
 
 
 def test_max_running_sum_rank_slices_equal_brute_force(spark):

@@ -12,10 +12,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF0001
+from tillroll import catalog
 
 TABLES = ("orders", "lineitem", "part", "customer", "events")
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = {k: E.queries()[k] for k in catalog.queries()}
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -506,9 +506,12 @@ GROUP BY CUBE (pr.category, p.month)""", extra=f"""
 per AS (SELECT CAST(month(f.created) AS INTEGER) AS month, i.product_id, SUM(i.line_total) AS s
         FROM item_fact i JOIN order_fact f ON i.order_id = f.order_id
         WHERE i.item_type = 'line_item' AND f.{COMPLETED_ORDERS} AND f.{IN_YEAR} GROUP BY 1, 2),
-pr AS (SELECT DISTINCT pc.product_id, r.name AS category
-       FROM product_category pc JOIN category_dim c ON c.term_id = pc.term_id AND c.parent_id > 0
-       JOIN category_dim r ON r.term_id = c.parent_id AND r.parent_id = 0)"""))
+up AS (SELECT term_id, term_id AS root_id, parent_id FROM category_dim
+       UNION ALL
+       SELECT u.term_id, c.term_id, c.parent_id FROM up u JOIN category_dim c ON c.term_id = u.parent_id),
+pr AS (SELECT DISTINCT pc.product_id, r.term_id, r.name AS category
+       FROM product_category pc JOIN up u ON u.term_id = pc.term_id AND u.parent_id = 0
+       JOIN category_dim r ON r.term_id = u.root_id)""", recursive=True))
 def q_sales_rollup(spark, sf_dir):
     return categories.sales_rollup(shop(spark, sf_dir), P)
 
@@ -518,7 +521,6 @@ def q_sales_rollup(spark, sf_dir):
 
 from .plans import operators_demo as ops  # noqa: E402
 
-_OFFSET = 1_000_000_000
 
 
 @register("eav_pivot_orders", with_model(["order_fact"], """
@@ -533,16 +535,16 @@ def q_eav_pivot_orders(spark, sf_dir):
 
 _NUMBERED = """
 numbered AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  SELECT *, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
          l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS line_no
   FROM lineitem),
-base AS (SELECT *, l_orderkey * 1000000 + line_no * 3 AS bid FROM numbered)"""
+base AS (SELECT *, line_no * 3 AS bid FROM numbered)"""
 
 
 @register("eav_pivot_items", f"""
 WITH {_NUMBERED.strip()}
 SELECT bid AS order_item_id, l_orderkey AS order_id, 'line_item' AS item_type, CAST(NULL AS VARCHAR) AS item_name,
-       l_partkey + {_OFFSET} AS product_id,
+       l_partkey AS product_id,
        CAST(CASE WHEN l_orderkey % 50 = 7 THEN -CAST(l_quantity AS DECIMAL(18,2))
                  ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS DOUBLE) AS qty,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS line_total,
@@ -594,7 +596,7 @@ SELECT meta_key, CAST(n AS BIGINT) AS n, CAST(total AS DOUBLE) AS total FROM (
   UNION ALL SELECT '_sku', COUNT(sku), 0 FROM product_dim
   UNION ALL SELECT '_qty', COUNT(*), SUM(qty) FROM item_fact WHERE item_type = 'line_item'
   UNION ALL SELECT '_line_total', COUNT(*), SUM(line_total) FROM item_fact WHERE item_type = 'line_item'
-  UNION ALL SELECT '_product_id', COUNT(*), SUM(CAST(product_id + {_OFFSET} AS DECIMAL(18,4)))
+  UNION ALL SELECT '_product_id', COUNT(*), SUM(CAST(product_id * 4 + 1 AS DECIMAL(18,4)))
             FROM item_fact WHERE item_type = 'line_item'
   UNION ALL SELECT 'discount_amount', COUNT(*), SUM(discount_amount) FROM item_fact WHERE item_type = 'coupon'
   UNION ALL SELECT 'tax_amount', COUNT(*), SUM(tax_amount) FROM item_fact WHERE item_type = 'tax'

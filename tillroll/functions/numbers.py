@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
+WIDE = "decimal(38,4)"
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 # Fixed value: the longest numeric prefix MySQL reads from a text value
 # ("3x" -> 3, "-2.5e1z" -> -25, ".5" -> 0.5, "abc" -> nothing).
@@ -39,17 +41,21 @@ def mysql_number(c, dtype: str = "double") -> Column:
     """Text -> number the way MySQL's SUM/compare coerces it.
 
     Empty or non-numeric text is 0, a numeric prefix is kept, null stays null.
+    Integer targets truncate the number ("1e3" is 1000, "3.7" is 3).
     Decimal and integer targets first try a plain cast of well-formed text
     (the common case) and only fall back to the prefix pattern when it
     fails; a double target always uses the pattern (the JVM's double parser
-    also reads hex and "1d"-style text that MySQL does not).
+    also reads hex and "1d"-style text that MySQL does not).  A number that
+    the target cannot hold is an error (ANSI mode), never 0.
     """
     c = _col(c)
-    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1).try_cast(dtype)
-    if dtype.startswith("decimal") or dtype in ("bigint", "int", "long"):
-        prefix = F.coalesce(F.when(_whole_text_is_candidate(c), c.try_cast(dtype)), prefix)
+    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
+    if dtype == "double":
+        value = prefix.try_cast(dtype)
+        return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(F.coalesce(value, F.lit(0).cast(dtype)))
+    number = F.when(prefix == "", F.lit(0).cast(dtype)).otherwise(prefix.cast(WIDE).cast(dtype))
     return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(
-        F.coalesce(prefix, F.lit(0).cast(dtype)))
+        F.coalesce(F.when(_whole_text_is_candidate(c), c.try_cast(dtype)), number))
 
 
 def mysql_money(c) -> Column:
@@ -58,21 +64,28 @@ def mysql_money(c) -> Column:
 
 
 def mysql_signed(c) -> Column:
-    """CAST(text AS SIGNED): leading integer digits, else 0; null stays null."""
+    """CAST(text AS SIGNED): leading integer digits, else 0; null stays null;
+    more digits than a bigint holds give its nearest bound."""
     c = _col(c)
     prefix = F.regexp_extract(c, INTEGER_PREFIX, 1)
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).otherwise(
-        F.coalesce(prefix.try_cast("bigint"), F.lit(0).cast("bigint")))
+    bound = F.when(prefix.startswith("-"), F.lit(LONG_MIN)).otherwise(F.lit(LONG_MAX))
+    return F.when(c.isNull(), F.lit(None).cast("bigint")).when(prefix == "", F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(prefix.try_cast("bigint"), bound))
 
 
 def php_int(c) -> Column:
-    """PHP ``(int)`` / ``intval`` of a number: truncation toward zero."""
-    return _col(c).cast("decimal(38,4)").cast("bigint")
+    """PHP ``(int)`` / ``intval`` of a number: truncation toward zero; beyond
+    the bigint range the nearest bound."""
+    c = _col(c)
+    size = c.cast("double")
+    return (F.when(size >= F.lit(float(1 << 63)), F.lit(LONG_MAX)).when(size <= F.lit(float(LONG_MIN)), F.lit(LONG_MIN))
+            .otherwise(c.cast(WIDE).cast("bigint")))
 
 
 def absint(c) -> Column:
     """PHP ``absint``: abs of the truncated integer; null -> 0."""
-    return F.coalesce(F.abs(php_int(c)), F.lit(0).cast("bigint"))
+    value = php_int(c)
+    return F.coalesce(F.when(value == LONG_MIN, F.lit(LONG_MAX)).otherwise(F.abs(value)), F.lit(0).cast("bigint"))
 
 
 def ratio(num, den) -> Column:

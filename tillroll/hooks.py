@@ -39,8 +39,9 @@ POINTS = {
 
 
 def apply(hooks: Hooks | None, point: str, df: DataFrame, **context) -> DataFrame:
+    for name in hooks or ():
+        if name not in POINTS:
+            raise KeyError(f"unknown hook point {name!r}")
     if not hooks or point not in hooks:
         return df
-    if point not in POINTS:
-        raise KeyError(f"unknown hook point {point!r}")
     return hooks[point](df, **context)

@@ -6,8 +6,9 @@ per query).  Here all keys an entity needs are pivoted in ONE grouped
 aggregation: filter to the wanted keys (pushed to the scan), shuffle by the
 entity id with map-side partial aggregation, and emit one column per key.
 
-Duplicate rows of a key add up for numeric keys (what a one-key SUM does);
-text keys keep the greatest value.  A missing key is null.
+Duplicate rows of a key add up for amounts (what a one-key SUM does);
+identifiers (bigint keys) and text keys keep the greatest value.  A missing
+key is null.  ``duplicate_keys`` lists the rows that would add up.
 """
 
 from __future__ import annotations
@@ -30,7 +31,14 @@ def eav_pivot(meta: DataFrame, id_col: str, numeric: dict[str, tuple[str, str]]
     keys = list(numeric) + list(text)
     m = meta.filter(F.col(key_col).isin(keys))
     key, value = F.col(key_col), F.col(value_col)
-    aggs = [F.sum(F.when(key == k, mysql_number(value, dtype))).cast(dtype).alias(name)
+    aggs = [(F.max if dtype == "bigint" else F.sum)(F.when(key == k, mysql_number(value, dtype))).cast(dtype).alias(name)
             for k, (name, dtype) in numeric.items()]
     aggs += [F.max(F.when(key == k, value)).alias(name) for k, name in text.items()]
     return m.groupBy(F.col(id_col).alias(id_col)).agg(*aggs)
+
+
+def duplicate_keys(meta: DataFrame, id_col: str, keys: list[str], key_col: str = "meta_key") -> DataFrame:
+    """(id, key, n): the entities that have one of ``keys`` more than once.  The
+    original's joins multiply such rows; an export should have none."""
+    return (meta.filter(F.col(key_col).isin(list(keys))).groupBy(id_col, key_col)
+            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))

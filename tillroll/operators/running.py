@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import range_partitions
+
 
 def max_running_sum(df: DataFrame, group: list[str], order: list[str], values: list[str],
                     slice_by: Column | None = None, partitions: int | None = None) -> DataFrame:
@@ -35,7 +37,7 @@ def max_running_sum(df: DataFrame, group: list[str], order: list[str], values: l
     prefix is not counted: callers floor at their own start value.
     """
     if slice_by is None:
-        partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+        partitions = partitions or range_partitions(df.sparkSession)
         sliced = (df.repartitionByRange(partitions, *group, *order)
                   .withColumn("_slice", F.spark_partition_id()))
     else:

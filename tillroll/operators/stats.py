@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import range_partitions, write_table
+
 
 def house_median(value: Column, rn: Column, n: Column, null_when_two: bool) -> Column:
     """Aggregate expression over rows carrying their 1-based rank ``rn`` and
@@ -42,7 +44,9 @@ def global_rank(df: DataFrame, order: list[str], partitions: int) -> DataFrame:
     partition sizes (one row per partition, so that small window is bounded
     by ``partitions``, not by the data).
     """
-    ranged = df.repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id())
+    # written once and read for both branches: planned twice, the ranges would be
+    # sampled twice, and the offsets would belong to other partitions
+    ranged = write_table(df.repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id()), "ranked")
     local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +69,7 @@ def entity_stats(totals: DataFrame, name: str, value: str, tie: Column,
     """
     t = totals.select(F.col(name).alias("_name"), F.col(value).alias("_v"), tie.alias("_tie"))
     if partitions is None:
-        partitions = t.sparkSession.sparkContext.defaultParallelism
+        partitions = range_partitions(t.sparkSession)
     ranked = global_rank(t, ["_v", "_tie"], partitions)
     n = F.max("_n")
     return ranked.agg(

@@ -1,9 +1,10 @@
 """Category tree operators: closure and membership.
 
 The closure (ancestor, term, depth) — every term paired with itself and all
-its descendants — is a recursive CTE; Spark runs it as a loop of joins
-until no new pair appears, each step a distributed join over the category
-dimension.
+its descendants — grows by one level per step, a distributed join over the
+category dimension, until no new pair appears.  Every level is a written
+table.  A pair that is known already is not followed again, so a cycle ends,
+with the depth at which each pair was first reached.
 """
 
 from __future__ import annotations
@@ -18,18 +19,17 @@ _TREES: dict[int, tuple[DataFrame, DataFrame]] = {}
 
 def closure(categories: DataFrame) -> DataFrame:
     """(ancestor_id, term_id, depth): depth 0 pairs a term with itself."""
-    spark = categories.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(ancestor_id, term_id, depth) AS (
-          SELECT term_id, term_id, 0 FROM {cats}
-          UNION ALL
-          SELECT w.ancestor_id, c.term_id, w.depth + 1
-          FROM walk w JOIN {cats} c ON c.parent_id = w.term_id
-        )
-        SELECT ancestor_id, term_id, depth FROM walk
-        """,
-        cats=categories.select("term_id", "parent_id"))
+    edges = write_table(categories.select("term_id", "parent_id").filter(F.col("term_id").isNotNull()).distinct(), "category-edges")
+    known = level = write_table(
+        edges.select(F.col("term_id").alias("ancestor_id"), "term_id").distinct().withColumn("depth", F.lit(0)), "category-level")
+    below = edges.select(F.col("parent_id").alias("above"), F.col("term_id").alias("below"))
+    while True:
+        step = (level.join(below, level.term_id == below.above)
+                .select("ancestor_id", F.col("below").alias("term_id"), (F.col("depth") + 1).alias("depth")).distinct())
+        level = write_table(step.join(known, ["ancestor_id", "term_id"], "left_anti"), "category-level")
+        if level.isEmpty():
+            return known
+        known = known.unionByName(level)
 
 
 def materialized_closure(categories: DataFrame) -> DataFrame:

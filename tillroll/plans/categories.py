@@ -119,18 +119,20 @@ def category_closure(shop: Shop) -> DataFrame:
 def sales_rollup(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     """Year line-item sales by (root category, month) with row, column and
     grand totals: (category, month, sales, level) where level is the
-    grouping id (0 cell, 1 category total, 2 month total, 3 grand total)."""
+    grouping id (0 cell, 1 category total, 2 month total, 3 grand total).
+
+    A product belongs to the root above its terms at any depth, also when it
+    is a member of the root itself, and counts once per root: under two roots
+    it is in both and twice in the totals over roots.  Products without a term
+    are in no cell and no total."""
     orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
         "order_id", month_of(F.col("created")).alias("month"))
     lines = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, params.year))
     lines = lines.select("order_id", "product_id", "line_total").join(orders, "order_id")
     per = lines.groupBy("month", "product_id").agg(F.sum("line_total").alias("sales"))
-    roots = (shop.categories.filter(F.col("parent_id") == 0)
-             .select(F.col("term_id").alias("root_id"), F.col("name").alias("category")))
-    child_root = shop.categories.filter(F.col("parent_id") > 0).select("term_id", F.col("parent_id").alias("root_id"))
-    product_root = (shop.product_categories.join(child_root, "term_id").join(roots, "root_id")
-                    .select("product_id", "category").distinct())
-    cells = per.join(product_root, "product_id")
+    roots = shop.categories.filter(F.coalesce("parent_id", F.lit(0)) == 0).select("term_id", F.col("name").alias("category"))
+    product_root = members(roots.select("term_id"), materialized_closure(shop.categories), shop.product_categories)
+    cells = per.join(product_root, "product_id").join(roots, "term_id")
     cube = cells.cube("category", "month").agg(F.sum("sales").alias("sales"),
                                                F.grouping_id().alias("level"))
     return cube.select("category", F.col("month").cast("int"), F.col("sales").cast("double"),

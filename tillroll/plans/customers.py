@@ -20,7 +20,7 @@ def customer_guest_overview(shop: Shop, params: Params = DEFAULT, hooks=None) ->
     total_customer_orders, total_guest_orders, orders_per_customer).
 
     An order is a customer's when its customer key is > 0, a guest's when
-    it is 0; an order without the key is neither.  Customers are users with
+    it is 0; an order without that key, or without a total, is neither.  Customers are users with
     the ``customer`` role.  Everything is one global aggregation over a
     tagged union of the completed orders and the users; all values are null
     ("n/a") when not positive.
@@ -39,8 +39,8 @@ def customer_guest_overview(shop: Shop, params: Params = DEFAULT, hooks=None) ->
         is_g = (F.col("src") == 1) & (F.col("customer_id") == 0)
     agg = u.agg(
         F.count(F.when(F.col("src") == 3, F.lit(1))).alias("users"),
-        F.sum(F.when(is_c, F.col("total"))).alias("cs"), F.count(F.when(is_c, F.lit(1))).alias("co"),
-        F.sum(F.when(is_g, F.col("total"))).alias("gs"), F.count(F.when(is_g, F.lit(1))).alias("go"))
+        F.sum(F.when(is_c, F.col("total"))).alias("cs"), F.count(F.when(is_c, F.col("total"))).alias("co"),
+        F.sum(F.when(is_g, F.col("total"))).alias("gs"), F.count(F.when(is_g, F.col("total"))).alias("go"))
     users_n, co = F.col("users"), F.col("co")
     return agg.select(
         positive_or_null(users_n).cast("bigint").alias("total_customers"),
@@ -58,6 +58,12 @@ def signup_window(now: dt.datetime) -> tuple[dt.datetime, dt.date, int]:
     return start, start.date(), days
 
 
+def in_signup_window(registered, now: dt.datetime):
+    """After now - 30 days (a full timestamp) and not after now."""
+    start, _, _ = signup_window(now)
+    return (registered > ts_lit(start)) & (registered <= ts_lit(now))
+
+
 def customer_signups_daily(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     """(day, signups) for the 30 days before ``signup_now``.
 
@@ -65,8 +71,9 @@ def customer_signups_daily(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     so the first day is partial); a later day outside the pre-seeded 30
     (today) appears only when it has sign-ups.
     """
-    start, first_day, days = signup_window(params.signup_now)
-    users = shop.signups.filter((F.col("role") == "customer") & (F.col("user_registered") > ts_lit(start)))
+    _, first_day, days = signup_window(params.signup_now)
+    users = shop.signups.filter((F.col("role") == "customer")
+                                & in_signup_window(F.col("user_registered"), params.signup_now))
     per_day = users.groupBy(F.to_date("user_registered").alias("day")).agg(
         F.count(F.lit(1)).alias("signups"))
     spine = day_spine(shop.orders.sparkSession, first_day, days)

@@ -14,7 +14,8 @@ from .common import completed_orders, date_hint, items_of
 
 
 def orders_in_range(shop: Shop, params: Params, hooks=None) -> DataFrame:
-    o = completed_orders(shop).filter(after_start_before_end_day(F.col("created"), params.start, params.end))
+    o = completed_orders(shop).filter(after_start_before_end_day(F.col("created"), params.start, params.end)
+                                      & F.col("total").isNotNull())
     if shop.fanout:
         # the original groups this statement by order id: one row per order
         o = o.dropDuplicates(["order_id"])
@@ -23,7 +24,7 @@ def orders_in_range(shop: Shop, params: Params, hooks=None) -> DataFrame:
 
 
 def daily_sales(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
-    """(day date, orders bigint, amount double) per day.
+    """(day date, orders bigint, amount double) per day, in day order.
 
     The calendar is [start, end) (one day when start = end); a day outside it
     appears only when it has orders — that is how the end day shows up.
@@ -34,7 +35,7 @@ def daily_sales(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     spine = report_day_spine(shop.orders.sparkSession, params.start, params.end)
     out = gap_fill(spine, per_day, ["day"],
                    {"orders": F.lit(0).cast("bigint"), "amount": F.lit(0).cast(MONEY)}, how="full")
-    return out.select("day", F.col("orders").cast("bigint"), F.col("amount").cast("double"))
+    return out.select("day", F.col("orders").cast("bigint"), F.col("amount").cast("double")).orderBy("day")
 
 
 def daily_sales_summary(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:

@@ -43,7 +43,7 @@ def _monthly(shop: Shop, params: Params, hooks) -> DataFrame:
     u = u.select("src", month_of(F.col("created")).alias("month"), "total", "qty")
     aggs = []
     for m in range(1, n + 1):
-        aggs += [F.expr(f"count(CASE WHEN src = 1 AND month = {m} THEN 1 END) AS o{m}"),
+        aggs += [F.expr(f"count(CASE WHEN src = 1 AND month = {m} THEN total END) AS o{m}"),
                  F.expr(f"coalesce(sum(CASE WHEN src = 1 AND month = {m} THEN total END), 0) AS s{m}"),
                  F.expr(f"sum(CASE WHEN src = 2 AND month = {m} THEN qty END) AS q{m}")]
     stack = ", ".join(f"{m}, o{m}, s{m}, q{m}" for m in range(1, n + 1))

@@ -20,6 +20,7 @@ _ITEM_MONEY = ("qty", "line_total", "discount_amount", "tax_amount", "shipping_t
 def eav_pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders rebuilt from the raw export by one pivot of the order meta."""
     o = eav.raw_orders(eav.exported_raw(spark, sf_dir))
+    o = o.withColumn("order_id", eav.source_key(F.col("order_id")))
     return o.select("order_id", "post_type", "status", "created",
                     *[F.col(c).cast("double").alias(c) for c in _MONEY_OUT], "customer_id")
 
@@ -27,6 +28,7 @@ def eav_pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eav_pivot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items rebuilt from the raw export by one pivot of the item meta."""
     i = eav.raw_items(eav.exported_raw(spark, sf_dir))
+    i = i.withColumns({c: eav.source_key(F.col(c)) for c in ("order_id", "product_id")})
     return i.select("order_item_id", "order_id", "item_type", "item_name", "product_id",
                     *[F.col(c).cast("double").alias(c) for c in _ITEM_MONEY])
 
@@ -41,16 +43,15 @@ def customer_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals_ = meta.filter(F.col("meta_key") == "_order_total").select(
         F.col("post_id").alias("ID"), mysql_money(F.col("meta_value")).alias("total"))
     orders = posts.select("ID").join(totals_, "ID")
-    key = meta.filter(F.col("meta_key") == "_customer_user").select(
-        F.col("post_id").alias("ID"), mysql_number(F.col("meta_value")).alias("v"))
-    out = None
-    for group, cond in (("customer", F.col("v") > 0), ("guest", F.col("v") == 0)):
-        part = orders.join(key.filter(cond).select("ID"), "ID", "left_semi").agg(
-            F.count(F.lit(1)).alias("orders"), F.sum("total").alias("sales")).select(
-            F.lit(group).alias("customer_group"), F.col("orders").cast("bigint"),
-            F.col("sales").cast("double"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # one pass for both groups: per order whether it is IN either list
+    v = mysql_number(F.col("meta_value"))
+    lists = meta.filter(F.col("meta_key") == "_customer_user").groupBy(F.col("post_id").alias("ID")).agg(
+        F.max(v > 0).alias("customer"), F.max(v == 0).alias("guest"))
+    sums = orders.join(lists, "ID").agg(*[
+        a for g in ("customer", "guest") for a in (F.count(F.when(F.col(g), 1)).alias(f"{g}_n"),
+                                                   F.sum(F.when(F.col(g), F.col("total"))).alias(f"{g}_s"))])
+    return sums.selectExpr("stack(2, 'customer', customer_n, customer_s, 'guest', guest_n, guest_s) AS (customer_group, orders, sales)").select(
+        "customer_group", F.col("orders").cast("bigint"), F.col("sales").cast("double"))
 
 
 def mysql_number_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:

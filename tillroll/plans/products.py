@@ -16,11 +16,14 @@ from .common import completed_orders, date_hint, items_of, literal_ids
 TOP = 25
 
 
-def _range_lines(shop: Shop, params: Params, point: str, hooks) -> DataFrame:
+def _range_lines(shop: Shop, params: Params, point: str, measure: str, hooks) -> DataFrame:
+    """Lines in the range that have a product and the measure (the statements
+    join both keys, so a line without one of them has no row)."""
     orders = completed_orders(shop).filter(
         after_start_before_end_day(F.col("created"), params.start, params.end)).select("order_id")
     lines = date_hint(items_of(shop, "line_item"),
                       lambda c: after_start_before_end_day(c, params.start, params.end))
+    lines = lines.filter(F.col("product_id").isNotNull() & F.col(measure).isNotNull())
     lines = lines.select("order_id", "product_id", "qty", "line_total").join(orders, "order_id")
     return H.apply(hooks, point, lines, start=params.start, end=params.end)
 
@@ -35,7 +38,7 @@ def _ranked(per_product: DataFrame, measure: str, shop: Shop) -> DataFrame:
 def top_sellers(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(rank, product_id, title, quantity, bar_pct): 25 best by quantity in
     the range; bar = quantity / top quantity * 100 (0 when quantity <= 0)."""
-    lines = _range_lines(shop, params, "top_sellers.items", hooks)
+    lines = _range_lines(shop, params, "top_sellers.items", "qty", hooks)
     per_product = lines.groupBy("product_id").agg(F.sum("qty").alias("quantity"))
     ranked = _ranked(per_product, "quantity", shop)
     top = F.max("quantity").over(Window.partitionBy())
@@ -47,7 +50,7 @@ def top_sellers(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
 def top_earners(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(rank, product_id, title, line_total, bar_pct): 25 best by line totals;
     bar = round(total) / round(top total) * 100, null when the rounded top is 0."""
-    lines = _range_lines(shop, params, "top_earners.items", hooks)
+    lines = _range_lines(shop, params, "top_earners.items", "line_total", hooks)
     per_product = lines.groupBy("product_id").agg(F.sum("line_total").alias("line_total"))
     ranked = _ranked(per_product, "line_total", shop)
     top = F.max("line_total").over(Window.partitionBy())
@@ -73,7 +76,7 @@ def product_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
     """
     ids = chosen_with_children(shop, params.products)
     lines = items_of(shop, "line_item").select("order_id", "product_id", "qty", "line_total")
-    lines = lines.join(ids, "product_id", "left_semi")
+    lines = lines.filter(F.col("qty").isNotNull() & F.col("line_total").isNotNull()).join(ids, "product_id", "left_semi")
     lines = H.apply(hooks, "product_sales.items", lines, product_ids=params.products)
     orders = completed_orders(shop).select("order_id", "created")
     per_order = (lines.join(orders, "order_id")

@@ -15,6 +15,7 @@ def totals_overview(shop: Shop, hooks: H.Hooks | None = None) -> DataFrame:
     """One row: total_sales, total_orders, total_items, average_total,
     average_items, discounts, shippings.
 
+    Orders without a total are not counted (the statement joins the key).
     Orders and shipping/discounts count completed ``shop_order`` posts; the
     item count takes line items of every completed post (refunds included)
     and applies abs(int()) once to the grand sum.  Four independent totals
@@ -40,7 +41,7 @@ def totals_overview(shop: Shop, hooks: H.Hooks | None = None) -> DataFrame:
     one = (F.col("src") == 1)
     agg = u.agg(
         F.sum(F.when(one, F.col("total"))).alias("s"),
-        F.count(F.when(one, F.lit(1))).alias("n"),
+        F.count(F.when(one, F.col("total"))).alias("n"),
         F.sum(F.when(F.col("src").isin(1, 2), F.col("disc"))).alias("d"),
         F.sum(F.when(F.col("src").isin(1, 3), F.col("shipping"))).alias("sh"),
         F.sum(F.when(F.col("src") == 4, F.col("qty"))).alias("q"),

@@ -86,6 +86,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def range_partitions(spark: SparkSession) -> int:
+    """Range partitions of a written or ranked table: as many as a shuffle has
+    (set ``spark.sql.shuffle.partitions`` to the data), one per core at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_table(df, name: str):
     """Write ``df`` as parquet in the shared checkpoint folder and return a
     frame reading it: one job, lineage cut, and the rows survive the loss

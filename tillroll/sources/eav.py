@@ -15,8 +15,10 @@ Raw tables:
     term_relationships (object_id, term_id); category (term_id, parent_id, name)
     users        (user_id, role, user_registered)
 
-In the export products get ids ``PRODUCT_ID_OFFSET + part key`` so they
-never collide with order ids in the shared ``posts`` id space.
+Orders, products and coupons share the ``posts`` id space: in the export an
+id is the source key times ``ID_KINDS`` plus the kind, so kinds never meet
+whatever the keys.  Items are numbered by their line's rank in the whole
+table, ``ITEM_KINDS`` ids to a line.
 """
 
 from __future__ import annotations
@@ -30,11 +32,22 @@ from ..functions.numbers import MONEY
 from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
 from ..operators.stats import global_rank
-from ..session import scratch_path
+from ..session import range_partitions, scratch_path
 from . import star
 
-PRODUCT_ID_OFFSET = 1_000_000_000
-ITEM_ID_SPAN = 1_000_000  # item ids: order key * span + line number * 3 + kind
+ID_KINDS, ORDER_KIND, PRODUCT_KIND, COUPON_KIND = 4, 0, 1, 2
+ITEM_KINDS = 3
+
+
+def post_id(key, kind: int):
+    """The export's post id of a source key (a column or a number)."""
+    return key * ID_KINDS + kind
+
+
+def source_key(post):
+    """The source key of a post id (a column)."""
+    return F.floor(post / ID_KINDS).cast("bigint")
+
 
 ORDER_KEYS = {
     "_order_total": ("total", MONEY),
@@ -93,15 +106,29 @@ RAW_SCHEMAS = {
 CSV_OPTIONS = {"header": "true", "nullValue": "\\N"}
 
 
+def jdbc_options(prefix: str, name: str, options: dict) -> dict[str, str]:
+    """Reader options of one raw table in a database: its name, the declared
+    column types, and, with ``lowerBound``, ``upperBound`` and
+    ``numPartitions`` given, a parallel read split on the table's first id."""
+    schema = RAW_SCHEMAS[name]
+    opts = {**{k: str(v) for k, v in options.items()}, "dbtable": f"{prefix}{name}", "customSchema": schema}
+    if {"lowerBound", "upperBound", "numPartitions"} <= set(options):
+        opts["partitionColumn"] = schema.split()[0]
+    return opts
+
+
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> RawShop:
     """Load an export written as one folder/table per raw table (parquet,
-    CSV, JSON...; JDBC tables through ``spark.read.jdbc`` and ``RawShop``).
+    CSV, JSON...), or the tables of a database (``fmt="jdbc"``: ``path`` is the
+    table prefix, ``options`` has the url and driver; see ``jdbc_options``).
     Text formats get the declared schemas (no inference pass over the
     export) and, for CSV, MySQL's ``\\N`` null marker unless overridden."""
     text = fmt in ("csv", "json")
     opts = {**(CSV_OPTIONS if fmt == "csv" else {}), **options}
 
     def load(name: str) -> DataFrame:
+        if fmt == "jdbc":
+            return spark.read.format("jdbc").options(**jdbc_options(path, name, options)).load()
         reader = spark.read.format(fmt).options(**opts)
         if text:
             reader = reader.schema(RAW_SCHEMAS[name])
@@ -188,45 +215,33 @@ def _meta(df: DataFrame, id_col: str, pairs: dict[str, str], out_id: str) -> Dat
             .filter(F.col("meta_value").isNotNull()))
 
 
-def number_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name`` = 1-based row number within each ``key`` in
-    ``order`` (what ROW_NUMBER() OVER (PARTITION BY key ORDER BY order)
-    gives), without a window over a whole key: one key may hold a third of
-    all rows.  Rows get global ranks from range partitions, and each key's
-    first rank (a grouped min, joined back on the key) is subtracted."""
-    ranked = global_rank(df, list(dict.fromkeys([key, *order])),
-                         df.sparkSession.sparkContext.defaultParallelism)
-    first = ranked.groupBy(key).agg(F.min("_rn").alias("_first"))
-    return (ranked.join(first, key).withColumn(name, F.col("_rn") - F.col("_first") + 1)
-            .drop("_rn", "_n", "_first"))
-
-
 def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
     typed = star.load_shop(spark, sf_dir)
-    orders = typed.orders
+    orders = typed.orders.withColumn("order_id", post_id(F.col("order_id"), ORDER_KIND))
     order_posts = orders.select(
         F.col("order_id").alias("ID"), "post_type", F.col("status").alias("post_status"),
         F.col("created").alias("post_date"),
-        F.concat(F.lit("Order #"), F.col("order_id").cast("string")).alias("post_title"),
+        F.concat(F.lit("Order #"), source_key(F.col("order_id")).cast("string")).alias("post_title"),
         F.lit(0).cast("bigint").alias("post_parent"))
     order_meta = _meta(orders, "order_id", {k: v[0] for k, v in ORDER_KEYS.items()}, "post_id")
 
-    products = typed.products.withColumn("ID", F.col("product_id") + PRODUCT_ID_OFFSET)
+    products = typed.products.withColumn("ID", post_id(F.col("product_id"), PRODUCT_KIND))
     product_posts = products.select(
         "ID", "post_type", "post_status", F.lit(None).cast("timestamp_ntz").alias("post_date"),
         F.col("title").alias("post_title"),
-        F.coalesce(F.col("parent_id") + PRODUCT_ID_OFFSET, F.lit(0).cast("bigint")).alias("post_parent"))
+        F.coalesce(post_id(F.col("parent_id"), PRODUCT_KIND), F.lit(0).cast("bigint")).alias("post_parent"))
     product_meta = _meta(products, "ID", PRODUCT_TEXT_KEYS, "post_id")
     coupon_posts = typed.coupons.select(
-        F.col("coupon_id").alias("ID"), F.lit("shop_coupon").alias("post_type"), "post_status",
+        post_id(F.col("coupon_id"), COUPON_KIND).alias("ID"), F.lit("shop_coupon").alias("post_type"), "post_status",
         F.lit(None).cast("timestamp_ntz").alias("post_date"), F.col("title").alias("post_title"),
         F.lit(0).cast("bigint").alias("post_parent"))
 
     lineitem = star.read_table(spark, sf_dir, "lineitem")
-    numbered = number_within(lineitem, "l_orderkey", lineitem.columns, "line_no")
-    base = F.col("l_orderkey") * ITEM_ID_SPAN + F.col("line_no") * 3
-    items = (star.item_fact(numbered, item_id=base)
-             .withColumn("product_id", F.col("product_id") + PRODUCT_ID_OFFSET))
+    order = list(dict.fromkeys(["l_orderkey", *lineitem.columns]))
+    numbered = global_rank(lineitem, order, range_partitions(spark))
+    items = star.item_fact(numbered, item_id=F.col("_rn") * ITEM_KINDS)
+    items = items.withColumns({"order_id": post_id(F.col("order_id"), ORDER_KIND),
+                               "product_id": post_id(F.col("product_id"), PRODUCT_KIND)})
     order_items = items.select(
         "order_item_id", "order_id", F.col("item_type").alias("order_item_type"),
         F.col("item_name").alias("order_item_name"))
@@ -234,7 +249,7 @@ def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
 
     cats = typed.categories
     rels = typed.product_categories.select(
-        (F.col("product_id") + PRODUCT_ID_OFFSET).alias("object_id"), "term_id")
+        post_id(F.col("product_id"), PRODUCT_KIND).alias("object_id"), "term_id")
     return RawShop(
         posts=order_posts.unionByName(product_posts).unionByName(coupon_posts),
         postmeta=order_meta.unionByName(product_meta),

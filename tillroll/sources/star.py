@@ -45,19 +45,18 @@ def _money(c) -> F.Column:
 
 
 def _price(c: str) -> F.Column:
-    """A line amount as DECIMAL(12,2): products with a rate then have
-    precision 17 and stay on Spark's 64-bit decimal path (a line of 10^10
-    or more fails loudly under ANSI instead of losing digits)."""
-    return F.col(c).cast("decimal(12,2)")
+    """A line amount as DECIMAL(18,2), like every amount of the model."""
+    return F.col(c).cast("decimal(18,2)")
 
 
 def _rate(c: str) -> F.Column:
-    """A rate in [0, 1) (discount, tax) as DECIMAL(4,2)."""
-    return F.col(c).cast("decimal(4,2)")
+    """A rate (discount, tax) as DECIMAL(10,6): 0.075 keeps its digits."""
+    return F.col(c).cast("decimal(10,6)")
 
 
 def _pct(c: str) -> F.Column:
-    return (F.col(c).cast("decimal(4,2)") * 100).cast("int")
+    """The whole percent of a rate, for names; the amount uses the rate."""
+    return F.floor(_rate(c) * 100).cast("int")
 
 
 def order_core(orders: DataFrame) -> DataFrame:
@@ -251,7 +250,8 @@ def user_dim(customer: DataFrame) -> DataFrame:
 
 
 def signup_dim(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_type") == "signup").select(
+    # an event that arrives twice is one sign-up, as in the stream
+    return events.filter(F.col("event_type") == "signup").dropDuplicates(["event_id"]).select(
         F.col("user_id"), F.lit("customer").alias("role"), F.col("ts").alias("user_registered"))
 
 

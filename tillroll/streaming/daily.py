@@ -4,14 +4,18 @@ The original recomputes the daily report from scratch on a schedule.  Here
 new order files are picked up incrementally:
 
     file source -> typed projection -> range filter
-      -> event time (TIMESTAMP, UTC session) -> watermark
-      -> dropDuplicatesWithinWatermark(order id)
-      -> tumbling 1-day window count/sum  (state: one row per open day)
+      -> dropDuplicates(order id)   (state: the orders of the report range)
+      -> count/sum per day          (state: one row per day of the range)
       -> update mode -> foreachBatch upsert log
 
-Late data: the original always counts late rows, so the watermark must be
-longer than the history being back-filled (default 3650 days).  A short
-watermark silently drops rows that arrive behind it.
+Late data: the original recomputes from scratch and so always counts late
+rows.  There is no watermark here: a row counts however late it comes, and
+the range filter, not time, bounds the state.
+
+A table is one file, several, or a folder of part files: the source is a
+path pattern, read through Spark's own file systems.  The sink starts with an
+empty batch of the result's schema, so a stream that has seen no row reads as
+an empty one wherever the sink lies.
 
 The sink is an upsert log in the shared checkpoint folder: batch ``b``
 writes its changed days to ``<sink>/batch=b`` with overwrite, so a batch
@@ -27,14 +31,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import after_start_before_end_day, ts_lit
+from ..functions.dates import after_start_before_end_day
 from ..model import COMPLETED, DEFAULT, SHOP_ORDER, Params
 from ..operators.calendar import day_spine, gap_fill, report_day_spine
-from ..plans.customers import signup_window
+from ..plans.customers import in_signup_window, signup_window
 from ..session import scratch_path
 from ..sources.star import order_core
 
-LONG_WATERMARK = "3650 days"
+EMPTY_BATCH = -1
 
 
 @dataclass(frozen=True)
@@ -49,12 +53,15 @@ def new_paths(spark: SparkSession, name: str) -> StreamPaths:
 
 
 def _file_stream(spark: SparkSession, source_dir: str, glob: str, max_files: int | None) -> DataFrame:
-    # the schema comes from the files' footers (no data is read here)
-    schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    # the pattern matches files and folders of part files alike; the schema
+    # comes from the files' footers (no data is read here)
+    if not any(c in glob for c in "*?[{"):
+        glob = f"{glob[:-1]}[{glob[-1]}]"  # a plain name would have to be a folder
+    pattern = f"{source_dir.rstrip('/')}/{glob}"
+    reader = spark.readStream.schema(spark.read.parquet(pattern).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(source_dir)
+    return reader.parquet(pattern)
 
 
 def _upsert_log(sink: str):
@@ -64,6 +71,8 @@ def _upsert_log(sink: str):
 
 
 def _run(agg: DataFrame, paths: StreamPaths, name: str, available_now: bool = True):
+    empty = agg.sparkSession.createDataFrame([], agg.schema)
+    empty.write.mode("ignore").parquet(f"{paths.sink}/batch={EMPTY_BATCH}")
     writer = (agg.writeStream.queryName(name).outputMode("update")
               .option("checkpointLocation", paths.checkpoint)
               .foreachBatch(_upsert_log(paths.sink)))
@@ -74,24 +83,21 @@ def _run(agg: DataFrame, paths: StreamPaths, name: str, available_now: bool = Tr
     return query
 
 
-def daily_sales_aggregate(orders_stream: DataFrame, params: Params = DEFAULT,
-                          watermark: str = LONG_WATERMARK) -> DataFrame:
+def daily_sales_aggregate(orders_stream: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The streaming plan over a stream of raw driver order rows."""
     o = order_core(orders_stream)
     o = o.filter((F.col("status") == COMPLETED) & (F.col("post_type") == SHOP_ORDER)
                  & after_start_before_end_day(F.col("created"), params.start, params.end))
-    o = o.withColumn("event_time", F.col("created").cast("timestamp"))
-    o = o.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["order_id"])
-    return (o.groupBy(F.window("event_time", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("orders"), F.sum("total").alias("amount"))
-            .select(F.to_date(F.col("w.start")).alias("day"), "orders", "amount"))
+    o = o.filter(F.col("total").isNotNull()).dropDuplicates(["order_id"])
+    return o.groupBy(F.to_date("created").alias("day")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total").alias("amount"))
 
 
 def run_daily_sales_stream(spark: SparkSession, source_dir: str, params: Params = DEFAULT,
                            paths: StreamPaths | None = None, glob: str = "orders*.parquet",
-                           max_files: int | None = None, watermark: str = LONG_WATERMARK) -> StreamPaths:
+                           max_files: int | None = None) -> StreamPaths:
     paths = paths or new_paths(spark, "daily-sales-stream")
-    agg = daily_sales_aggregate(_file_stream(spark, source_dir, glob, max_files), params, watermark)
+    agg = daily_sales_aggregate(_file_stream(spark, source_dir, glob, max_files), params)
     _run(agg, paths, f"daily_sales_{os.path.basename(paths.sink.rstrip('/'))}")
     return paths
 
@@ -105,31 +111,24 @@ def _latest(log: DataFrame, key: str) -> DataFrame:
 def read_daily_sales(spark: SparkSession, paths: StreamPaths, params: Params = DEFAULT) -> DataFrame:
     """(day, orders, amount) exactly as the batch daily report."""
     spine = report_day_spine(spark, params.start, params.end)
-    if not os.path.exists(paths.sink) and "://" not in paths.sink:
-        per_day = spine.select("day", F.lit(0).cast("bigint").alias("orders"),
-                               F.lit(0).cast("decimal(28,4)").alias("amount")).filter(F.lit(False))
-    else:
-        per_day = _latest(spark.read.parquet(paths.sink), "day")
+    per_day = _latest(spark.read.parquet(paths.sink), "day")
     out = gap_fill(spine, per_day, ["day"], {"orders": F.lit(0).cast("bigint"), "amount": F.lit(0)}, how="full")
-    return out.select("day", F.col("orders").cast("bigint"), F.col("amount").cast("double"))
+    return out.select("day", F.col("orders").cast("bigint"), F.col("amount").cast("double")).orderBy("day")
 
 
-def signups_aggregate(events_stream: DataFrame, params: Params = DEFAULT,
-                      watermark: str = LONG_WATERMARK) -> DataFrame:
-    start, _, _ = signup_window(params.signup_now)
-    e = events_stream.filter((F.col("event_type") == "signup") & (F.col("ts") > ts_lit(start)))
-    e = e.withColumn("event_time", F.col("ts").cast("timestamp"))
-    e = e.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return (e.groupBy(F.window("event_time", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("signups"))
-            .select(F.to_date(F.col("w.start")).alias("day"), "signups"))
+def signups_aggregate(events_stream: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Sign-ups per day; like the batch report, an event counts once and the
+    range ends with the report's moment, which bounds the state."""
+    e = events_stream.filter((F.col("event_type") == "signup") & in_signup_window(F.col("ts"), params.signup_now))
+    return (e.dropDuplicates(["event_id"]).groupBy(F.to_date("ts").alias("day"))
+            .agg(F.count(F.lit(1)).alias("signups")))
 
 
 def run_signups_stream(spark: SparkSession, source_dir: str, params: Params = DEFAULT,
                        paths: StreamPaths | None = None, glob: str = "events*.parquet",
-                       max_files: int | None = None, watermark: str = LONG_WATERMARK) -> StreamPaths:
+                       max_files: int | None = None) -> StreamPaths:
     paths = paths or new_paths(spark, "signups-stream")
-    agg = signups_aggregate(_file_stream(spark, source_dir, glob, max_files), params, watermark)
+    agg = signups_aggregate(_file_stream(spark, source_dir, glob, max_files), params)
     _run(agg, paths, f"signups_{os.path.basename(paths.sink.rstrip('/'))}")
     return paths
 
@@ -137,9 +136,6 @@ def run_signups_stream(spark: SparkSession, source_dir: str, params: Params = DE
 def read_signups(spark: SparkSession, paths: StreamPaths, params: Params = DEFAULT) -> DataFrame:
     _, first_day, days = signup_window(params.signup_now)
     spine = day_spine(spark, first_day, days)
-    if not os.path.exists(paths.sink) and "://" not in paths.sink:
-        per_day = spine.select("day", F.lit(0).cast("bigint").alias("signups")).filter(F.lit(False))
-    else:
-        per_day = _latest(spark.read.parquet(paths.sink), "day")
+    per_day = _latest(spark.read.parquet(paths.sink), "day")
     return gap_fill(spine, per_day, ["day"], {"signups": F.lit(0).cast("bigint")}, how="full").select(
-        "day", F.col("signups").cast("bigint"))
+        "day", F.col("signups").cast("bigint")).orderBy("day")
