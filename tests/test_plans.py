@@ -34,7 +34,13 @@ def test_range_report_prunes_items_and_orders(spark):
     assert "PartitionFilters: [isnotnull(item_type" in plan and "= line_item)" in plan
     assert "GreaterThan(order_created,1998-03-01T00:00)" in plan
     assert "LessThan(order_created,1998-04-01T00:00)" in plan
-    assert "GreaterThan(created,1998-03-01T00:00)" in plan
+    assert "EqualTo(order_status,wc-completed)" in plan
+
+
+@pytest.mark.parametrize("key", ["totals_overview", "top_sellers", "coupons_most_used", "monthly_taxes_by_rate", "category_sales_monthly"])
+def test_items_are_not_shuffled_to_look_up_their_orders(spark, key):
+    plan = _plan(QUERIES[key](spark, SF0001))
+    assert "hashpartitioning(order_id" not in plan
 
 
 def test_scans_read_only_needed_columns(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import DEFAULT
 from .oracle import with_model
-from .session import scratch_path
+from .session import range_partitions, scratch_path
 from .sources.star import item_rows_one_pass, load_shop, read_table, store_shop
 
 P = DEFAULT
@@ -50,17 +50,14 @@ _SHOPS: dict[tuple[str, str], object] = {}
 
 
 def shop(spark: SparkSession, sf_dir: str):
-    """The typed model of ``sf_dir``: mapped from the driver tables and
-    stored once per session as parquet tables in the shared checkpoint
-    folder (see ``store_shop``); every report then queries those tables,
-    as the original's reports query the shop database."""
+    """The typed model of ``sf_dir``: mapped from the driver tables, each frame
+    stored in the shared checkpoint folder when a report of the session first
+    reads it (see ``StoredShop``), as the original's reports query the shop
+    database."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SHOPS:
-        # one write task per core; large files are still read in parallel,
-        # split by row group (spark.sql.files.maxPartitionBytes)
-        partitions = spark.sparkContext.defaultParallelism
         one_pass = item_rows_one_pass(read_table(spark, sf_dir, "lineitem"))
-        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), partitions,
+        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), range_partitions(spark),
                                  items=one_pass)
     return _SHOPS[key]
 

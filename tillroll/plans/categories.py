@@ -26,7 +26,7 @@ from ..model import DEFAULT, Params, Shop
 from ..operators.stats import entity_stats
 from ..operators.taxonomy import (expand_with_descendants, materialized_closure, members,
                                   without_included_ancestor)
-from .common import completed_orders, date_hint, items_of, month_sums
+from .common import items_of_orders, month_sums, shop_order
 
 
 def chosen_categories(shop: Shop, params: Params) -> DataFrame:
@@ -35,10 +35,9 @@ def chosen_categories(shop: Shop, params: Params) -> DataFrame:
 
 def _month_product_sales(shop: Shop, params: Params, hooks) -> DataFrame:
     shown = matrix_months(params.year, params.now)
-    orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
-        "order_id", month_of(F.col("created")).alias("month"))
-    lines = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, params.year))
-    lines = lines.select("order_id", "product_id", "line_total").join(orders, "order_id")
+    lines = items_of_orders(shop, "line_item", shop_order() & in_year(F.col("created"), params.year),
+                            ["order_id", "product_id", "line_total"], month=month_of(F.col("created")))
+    lines = lines.filter(F.col("product_id").isNotNull() & F.col("line_total").isNotNull())
     lines = H.apply(hooks, "categories.items", lines, year=params.year)
     return (lines.filter(F.col("month") <= shown)
             .groupBy("month", "product_id").agg(F.sum("line_total").alias("sales")))
@@ -125,10 +124,9 @@ def sales_rollup(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     is a member of the root itself, and counts once per root: under two roots
     it is in both and twice in the totals over roots.  Products without a term
     are in no cell and no total."""
-    orders = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
-        "order_id", month_of(F.col("created")).alias("month"))
-    lines = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, params.year))
-    lines = lines.select("order_id", "product_id", "line_total").join(orders, "order_id")
+    lines = items_of_orders(shop, "line_item", shop_order() & in_year(F.col("created"), params.year),
+                            ["order_id", "product_id", "line_total"], month=month_of(F.col("created")))
+    lines = lines.filter(F.col("product_id").isNotNull() & F.col("line_total").isNotNull())
     per = lines.groupBy("month", "product_id").agg(F.sum("line_total").alias("sales"))
     roots = shop.categories.filter(F.coalesce("parent_id", F.lit(0)) == 0).select("term_id", F.col("name").alias("category"))
     product_root = members(roots.select("term_id"), materialized_closure(shop.categories), shop.product_categories)

@@ -12,6 +12,11 @@ def completed() -> Column:
     return F.col("status") == COMPLETED
 
 
+def shop_order() -> Column:
+    """A completed post of the order type."""
+    return completed() & (F.col("post_type") == SHOP_ORDER)
+
+
 def completed_orders(shop: Shop, with_type: bool = True) -> DataFrame:
     """Completed posts; ``with_type`` keeps only ``shop_order`` (some of the
     original statements omit the post-type test, so refunds count there)."""
@@ -35,9 +40,22 @@ def date_hint(items: DataFrame, predicate) -> DataFrame:
     return items
 
 
-def items_with_orders(items: DataFrame, orders: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Items joined to the orders they belong to (shuffle on order_id)."""
-    return items.join(orders.select("order_id", *order_cols), "order_id")
+#: Order columns that the stored model's items carry.
+CARRIED = {"status": "order_status", "post_type": "order_post_type", "created": "order_created"}
+
+
+def items_of_orders(shop: Shop, item_type: str, condition: Column, columns: list[str], **keep: Column) -> DataFrame:
+    """``columns`` of the items whose order meets ``condition`` and, by name,
+    ``keep``; both are expressions over an order's status, post_type and created.
+
+    The stored model's items carry those three, so nothing is shuffled to look
+    them up.  Other models, and orders repeated per term, are joined."""
+    items = items_of(shop, item_type)
+    if not shop.fanout and set(CARRIED.values()) <= set(items.columns):
+        rows = items.select(*columns, *[F.col(c).alias(name) for name, c in CARRIED.items()])
+        return rows.filter(condition).select(*columns, *[c.alias(name) for name, c in keep.items()])
+    orders = shop.orders.filter(condition).select("order_id", *[c.alias(name) for name, c in keep.items()])
+    return items.select(*columns).join(orders, "order_id").select(*columns, *keep)
 
 
 def tagged_union(frames: dict[int, DataFrame], columns: dict[str, str]) -> DataFrame:

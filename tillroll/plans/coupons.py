@@ -15,7 +15,7 @@ from ..functions.numbers import positive_or_null, round2_percent
 from ..model import DEFAULT, Params, Shop
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.stats import entity_stats
-from .common import completed, date_hint, items_of, month_sums
+from .common import completed, date_hint, items_of, items_of_orders, month_sums
 
 TOP = 15
 
@@ -38,6 +38,12 @@ def _coupon_items(shop: Shop, hint=None) -> DataFrame:
         "order_id", F.col("item_name").alias("coupon"), "discount_amount")
 
 
+def _items_of_posts(shop: Shop, condition, **keep) -> DataFrame:
+    """(order_id, coupon, discount_amount) of completed posts that meet the condition."""
+    items = items_of_orders(shop, "coupon", completed() & condition, ["order_id", "item_name", "discount_amount"], **keep)
+    return items.filter(F.col("discount_amount").isNotNull()).withColumnRenamed("item_name", "coupon")
+
+
 def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(order_count, coupon_orders, coupon_pct, total_discount).
 
@@ -65,8 +71,11 @@ def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
 
 
 def _named_in_range(shop: Shop, params: Params, hooks) -> DataFrame:
-    posts = _posts_in_range(shop, params, hooks)
-    items = _coupon_items(shop, _range(params)).filter(F.col("coupon") != "").join(posts, "order_id")
+    if hooks and "coupons.orders" in hooks:
+        items = _coupon_items(shop, _range(params)).join(_posts_in_range(shop, params, hooks), "order_id")
+    else:
+        items = _items_of_posts(shop, _range(params)(F.col("created")))
+    items = items.filter(F.col("coupon") != "")
     return H.apply(hooks, "coupons.items", items, start=params.start, end=params.end)
 
 
@@ -115,9 +124,7 @@ def _chosen(items: DataFrame, coupons) -> DataFrame:
 
 def _year_items(shop: Shop, params: Params, hooks) -> DataFrame:
     """(coupon, month, discount_amount): the year's items of chosen coupons."""
-    posts = shop.orders.filter(completed() & in_year(F.col("created"), params.year)).select(
-        "order_id", month_of(F.col("created")).alias("month"))
-    items = _chosen(_coupon_items(shop, lambda c: in_year(c, params.year)), params.coupons).join(posts, "order_id")
+    items = _chosen(_items_of_posts(shop, in_year(F.col("created"), params.year), month=month_of(F.col("created"))), params.coupons)
     return H.apply(hooks, "coupons.monthly", items, year=params.year)
 
 

@@ -9,7 +9,7 @@ from .. import hooks as H
 from ..functions.dates import in_year, month_of, months_started_by
 from ..functions.numbers import MONEY, absint, positive_or_null, round2_ratio
 from ..model import DEFAULT, SHOP_ORDER, Params, Shop
-from .common import completed, completed_orders, date_hint, items_of, tagged_union
+from .common import completed, completed_orders, items_of_orders, tagged_union
 
 
 def monthly_sales(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
@@ -32,9 +32,8 @@ def _monthly(shop: Shop, params: Params, hooks) -> DataFrame:
     year = params.year
     orders = completed_orders(shop).filter(in_year(F.col("created"), year))
     orders = H.apply(hooks, "monthly.orders", orders, year=year)
-    posts = shop.orders.filter(completed() & in_year(F.col("created"), year)).select("order_id", "created")
-    items = date_hint(items_of(shop, "line_item"), lambda c: in_year(c, year))
-    items = items.select("order_id", "qty").join(posts, "order_id")
+    items = items_of_orders(shop, "line_item", completed() & in_year(F.col("created"), year), ["order_id", "qty"],
+                            created=F.col("created"))
     items = H.apply(hooks, "monthly.items", items, year=year)
     u = tagged_union({1: orders.select("created", "total"), 2: items.select("created", "qty")},
                      {"created": "timestamp_ntz", "total": MONEY, "qty": MONEY})

@@ -11,7 +11,7 @@ from ..functions.numbers import share_of_max
 from ..model import DEFAULT, Params, Shop
 from ..operators.ranking import lookup_bounded, top_k
 from ..operators.running import max_running_sum
-from .common import completed_orders, date_hint, items_of, literal_ids
+from .common import items_of_orders, literal_ids, shop_order
 
 TOP = 25
 
@@ -19,12 +19,9 @@ TOP = 25
 def _range_lines(shop: Shop, params: Params, point: str, measure: str, hooks) -> DataFrame:
     """Lines in the range that have a product and the measure (the statements
     join both keys, so a line without one of them has no row)."""
-    orders = completed_orders(shop).filter(
-        after_start_before_end_day(F.col("created"), params.start, params.end)).select("order_id")
-    lines = date_hint(items_of(shop, "line_item"),
-                      lambda c: after_start_before_end_day(c, params.start, params.end))
+    in_range = shop_order() & after_start_before_end_day(F.col("created"), params.start, params.end)
+    lines = items_of_orders(shop, "line_item", in_range, ["order_id", "product_id", "qty", "line_total"])
     lines = lines.filter(F.col("product_id").isNotNull() & F.col(measure).isNotNull())
-    lines = lines.select("order_id", "product_id", "qty", "line_total").join(orders, "order_id")
     return H.apply(hooks, point, lines, start=params.start, end=params.end)
 
 
@@ -75,12 +72,11 @@ def product_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
     the month's final total when later lines are negative).
     """
     ids = chosen_with_children(shop, params.products)
-    lines = items_of(shop, "line_item").select("order_id", "product_id", "qty", "line_total")
+    lines = items_of_orders(shop, "line_item", shop_order(), ["order_id", "product_id", "qty", "line_total"],
+                            created=F.col("created"))
     lines = lines.filter(F.col("qty").isNotNull() & F.col("line_total").isNotNull()).join(ids, "product_id", "left_semi")
     lines = H.apply(hooks, "product_sales.items", lines, product_ids=params.products)
-    orders = completed_orders(shop).select("order_id", "created")
-    per_order = (lines.join(orders, "order_id")
-                 .groupBy("order_id", "created")
+    per_order = (lines.groupBy("order_id", "created")
                  .agg(F.sum("qty").alias("qty"), F.sum("line_total").alias("total"))
                  .filter(~((F.col("qty") == 0) & (F.col("total") == 0))))
     per_month = max_running_sum(

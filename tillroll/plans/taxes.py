@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import in_year, month_of, months_started_by
 from ..functions.numbers import positive_or_null
 from ..model import DEFAULT, Params, Shop
-from .common import completed_orders, date_hint, items_of, month_sums
+from .common import completed_orders, items_of_orders, month_sums, shop_order
 
 _MEASURES = ("gross", "shipping", "order_tax", "shipping_tax")
 
@@ -70,16 +70,15 @@ def monthly_taxes_by_rate(shop: Shop, params: Params = DEFAULT) -> DataFrame:
     from it.
     """
     shown = months_started_by(params.year, params.now)
-    posts = completed_orders(shop).filter(in_year(F.col("created"), params.year)).select(
-        "order_id", month_of(F.col("created")).alias("month"))
-    items = date_hint(items_of(shop, "tax"), lambda c: in_year(c, params.year)).filter(
-        F.col("tax_amount").isNotNull() & F.col("shipping_tax_amount").isNotNull())
-    lines = items.join(posts, "order_id").filter(F.col("month") <= shown)
+    lines = items_of_orders(shop, "tax", shop_order() & in_year(F.col("created"), params.year),
+                            ["order_id", "item_name", "tax_amount", "shipping_tax_amount"], month=month_of(F.col("created")))
+    lines = lines.filter(F.col("tax_amount").isNotNull() & F.col("shipping_tax_amount").isNotNull()
+                         & (F.col("month") <= shown))
     sums = (month_sums("tax_amount", shown, "t", zero=True)
             + month_sums("shipping_tax_amount", shown, "s", zero=True)
             + month_sums("tax_amount + shipping_tax_amount", shown, "a", zero=True))
     if not sums:
-        return posts.sparkSession.createDataFrame(
+        return lines.sparkSession.createDataFrame(
             [], "month int, rate string, tax double, shipping_tax double, total_tax double")
     rates = lines.groupBy(F.col("item_name").alias("rate")).agg(*sums)
     some_month_positive = F.expr("greatest(" + ", ".join(f"a{m}" for m in range(1, shown + 1)) + ", 0) > 0")

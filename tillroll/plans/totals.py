@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import hooks as H
 from ..functions.numbers import MONEY, absint, ratio, round2_ratio
 from ..model import Shop
-from .common import completed, completed_orders, items_of, tagged_union
+from .common import completed, completed_orders, items_of_orders, tagged_union
 
 
 def totals_overview(shop: Shop, hooks: H.Hooks | None = None) -> DataFrame:
@@ -26,8 +26,7 @@ def totals_overview(shop: Shop, hooks: H.Hooks | None = None) -> DataFrame:
     sales = H.apply(hooks, "totals.orders", orders)
     discounts = H.apply(hooks, "totals.discounts", orders)
     shipping = H.apply(hooks, "totals.shipping", orders)
-    posts = shop.orders.filter(completed()).select("order_id")
-    items = items_of(shop, "line_item").join(posts, "order_id").select("qty")
+    items = items_of_orders(shop, "line_item", completed(), ["order_id", "qty"]).select("qty")
     items = H.apply(hooks, "totals.items", items)
 
     disc = (F.coalesce("order_discount", F.lit(0)) + F.coalesce("cart_discount", F.lit(0))).alias("disc")
