@@ -111,3 +111,13 @@ def test_stream_without_rows_reads_as_empty(spark):
     _orders(spark, f"{top}/orders.parquet", [(1, "2011-05-01")])
     paths = streams.run_daily_sales_stream(spark, top, glob="orders.parquet")
     assert streams.read_daily_sales(spark, paths).agg(F.sum("orders")).first()[0] == 0
+
+
+def test_scratch_is_dropped(spark, tmp_path, monkeypatch):
+    from tillroll import session
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    kept = session.write_table(spark.range(3), "gone")
+    (folder,) = session._SCRATCH
+    assert kept.count() == 3 and session.drop_scratch(spark) == 1 and session._SCRATCH == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)

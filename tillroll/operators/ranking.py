@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 
 def top_k(df: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
     best = df.orderBy(*order).limit(k)
@@ -19,14 +21,12 @@ def top_k(df: DataFrame, k: int, order: list[Column], rank: str = "rank") -> Dat
 
 
 def lookup_bounded(keys: DataFrame, dim: DataFrame, on: str, cols: list[str]) -> DataFrame:
-    """Left-join dimension columns onto a frame of at most a few rows
-    (missing dimension rows give nulls).
-
-    The preserved side of an outer join cannot be broadcast, and using the
-    key frame twice (broadcast keys into an inner join, then join back)
-    would run the pipeline that produced it twice.  So this is one plain
-    left join: the dimension is read once and shuffled on the key (AQE
-    picks a shuffled hash join with the tiny side as build table), and only
-    the dimension's key and wanted columns travel.
-    """
-    return keys.join(dim.select(on, *cols), on, "left")
+    """Left-join dimension columns onto a frame of at most a few rows (a top-k;
+    missing dimension rows give nulls).
+
+    The keys are a written table, so the pipeline that found them runs once.
+    Broadcast (their number is the caller's k), they pick their rows out of the
+    dimension's scan: the dimension is read once and not shuffled."""
+    keys = write_table(keys, "lookup-keys")
+    wanted = dim.select(on, *cols).join(F.broadcast(keys.select(on)), on, "left_semi")
+    return keys.join(wanted, on, "left")

@@ -65,7 +65,7 @@ def _stack_months(shown: int) -> str:
 
 def category_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(category, is_child, month, sales): one row per kept category and matrix
-    month (0 when no sales) plus its row total (month null)."""
+    month (0 when no sales) plus its row total (month null), by name and month."""
     _, included, rows = _category_rows(shop, params, hooks)
     shown = matrix_months(params.year, params.now)
     cats = shop.categories.join(included, "term_id", "left_semi").select(
@@ -75,7 +75,8 @@ def category_sales_monthly(shop: Shop, params: Params = DEFAULT, hooks=None) ->
     row_totals = kept.select("category", "is_child", F.lit(None).cast("int").alias("month"),
                              F.col("total").alias("sales"))
     out = dense.unionByName(row_totals)
-    return out.select("category", "is_child", F.col("month").cast("int"), F.col("sales").cast("double"))
+    return out.select("category", "is_child", F.col("month").cast("int"), F.col("sales").cast("double")).orderBy(
+        "category", F.col("month").asc_nulls_last())
 
 
 def category_sales_totals(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:

@@ -105,10 +105,9 @@ def coupons_greatest_discount(shop: Shop, params: Params = DEFAULT, hooks=None)
 
 
 def used_coupons(shop: Shop, hooks=None) -> DataFrame:
-    """Every coupon name used on a completed post (all time)."""
-    posts = shop.orders.filter(completed()).select("order_id")
-    items = _coupon_items(shop).filter(F.col("coupon") != "").join(posts, "order_id")
-    return H.apply(hooks, "coupons.used", items.select("coupon").distinct())
+    """Every coupon name used on a completed post (all time), by name."""
+    items = _items_of_posts(shop, F.lit(True)).filter(F.col("coupon") != "")
+    return H.apply(hooks, "coupons.used", items.select("coupon").distinct()).orderBy("coupon")
 
 
 def used_coupon_lookup(shop: Shop) -> DataFrame:
