@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,17 +227,19 @@ def _curve(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits on a bounded sample of the documents that ``labels`` marks 0 or 1
-    (others and null labels are left out), drawn by a hash of the text."""
+    (others and null labels are left out; of several labels the larger counts),
+    drawn by a hash of the id; only the sample's texts leave their tasks."""
     small_batches(docs.sparkSession)
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).groupBy("__id").agg(F.max("label").alias("label"))
-    text = F.col(text_col).cast("string")
-    rows_of = docs.select(F.col(id_col).alias("__id"), F.substring(text, 1, chars).alias("text"),
-                          F.xxhash64(text).alias("h")).where(F.length("text") > 0).join(marked, "__id")
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
+        F.max(F.col(label_col).cast("int")).alias("label"))
     share = marked.agg(F.avg("label")).first()[0]
-    order = Window.partitionBy("label").orderBy("h", "text")
-    taken = rows_of.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    found = taken.select("text", "label").orderBy("label", "rank").collect()
+    text = F.col(text_col).cast("string")
+    there = docs.where(F.length(text) > 0).select(F.col(id_col).alias("__id")).distinct().join(marked, "__id")
+    order = F.xxhash64("__id")
+    drawn = [there.where(F.col("label") == v).orderBy(order, "__id").limit(rows) for v in (0, 1)]
+    sampled = docs.select(F.col(id_col).alias("__id"), F.substring(text, 1, chars).alias("text")).where(F.length("text") > 0).join(
+        F.broadcast(drawn[0].union(drawn[1])), "__id")  # at most 2 * rows ids
+    found = sampled.dropDuplicates(["__id"]).select("text", "label").orderBy("label", F.xxhash64("text")).collect()
     return fit([r["text"].encode("utf-8", "surrogatepass") for r in found],
                np.array([r["label"] for r in found], np.int64), 0.5 if share is None else float(share))
 
