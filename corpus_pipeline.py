@@ -24,7 +24,8 @@ from tillroll.llm.queries import not_held_out
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a score of 0.7 or more; rows without text go."""
+    """Keeps documents with a score of 0.7 or more; rows without text have the
+    training documents' share of good ones as their score."""
     model = quality.train(docs, read(spark, sf_dir, "labels").where(not_held_out("doc_id", 4, 2)))
     scored = quality.score(docs, model, score_col="__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
