@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillroll.session import scratch_path, write_table
 
@@ -85,7 +84,3 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         change[0] = True
         last = tuple(cols[k][-1] for k in keys)
         yield cols, np.flatnonzero(change), continues
-
-
-def table_rows(df: DataFrame) -> int:
-    return df.agg(F.count(F.lit(1))).first()[0]
