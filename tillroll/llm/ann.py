@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import small_batches, stream_groups, write_table
 
-SAMPLE_ROWS, TREES, LEAF = 20_000, 40, 64
+SAMPLE_ROWS, TREES, LEAF = 20_000, 16, 128
 #: Share of all rows, counted once for every tree in which they turn up, that a query opens.
-PROBE = 1.1
+PROBE = 1.8
 BLOCK = 4096
 
 
@@ -123,10 +123,12 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): the rows that take part, vectors as arrays of doubles."""
-    v = F.col(vec_col).cast("array<double>")
+    """(id, v): the rows that take part; floats stay floats, which halves what is
+    moved, other numbers become doubles.  Distances are taken in doubles."""
+    kind = df.schema[vec_col].dataType.elementType.typeName()
+    v = F.col(vec_col) if kind == "float" else F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    rows = rows.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+    rows = rows.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(double(x)) < double('Infinity')) AND exists(v, x -> x <> 0)")
     return rows
 
 
@@ -151,27 +153,25 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     forest = plant(np.array([r["v"] for r in sample], float).reshape(-1, dims), trees, leaf)
     shared = spark.sparkContext.broadcast(forest)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaf_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = shared.value.leaves(_matrix(batch.column(0), dims))
-            for t in range(at.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, t]), *batch.columns], names=["leaf", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.leaves(_matrix(batch.column(0), dims)).ravel())], names=["leaf"])
 
-    dealt = write_table(entries.select("v", "ids").mapInArrow(deal, "leaf int, v array<double>, ids array<long>"), "ann-leaves")
     counts = np.zeros(forest.n_leaves, np.int64)  # bounded by the sample
-    for r in dealt.groupBy("leaf").count().collect():
+    for r in entries.select("v").mapInArrow(leaf_numbers, "leaf int").groupBy("leaf").count().collect():
         counts[r["leaf"]] = r["count"]
     blocks = spark.sparkContext.broadcast(np.maximum(1, -(-counts // BLOCK)))
     held = spark.sparkContext.broadcast(counts)
 
-    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf_no = batch.column(0).to_numpy(zero_copy_only=False)
-            salt = batch.column(3).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array((salt % blocks.value[leaf_no]).astype(np.int32)),
-                 pa.array(np.zeros(len(leaf_no), np.int32)), pa.nulls(len(leaf_no), pa.int64()), batch.column(1), batch.column(2)],
-                names=["leaf", "block", "kind", "query_id", "v", "ids"])
+            at, n = shared.value.leaves(_matrix(batch.column(0), dims)), batch.num_rows
+            salt = batch.column(2).to_numpy(zero_copy_only=False)
+            for t in range(at.shape[1]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[:, t]), pa.array((salt % blocks.value[at[:, t]]).astype(np.int32)),
+                     pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), batch.column(0), batch.column(1)],
+                    names=["leaf", "block", "kind", "query_id", "v", "ids"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +188,8 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
                      batch.column(1).take(pa.array(np.full(m, i))), pa.nulls(m, pa.list_(pa.int64()))],
                     names=["leaf", "block", "kind", "query_id", "v", "ids"])
 
-    schema = "leaf int, block int, kind int, query_id long, v array<double>, ids array<long>"
-    index = dealt.select("leaf", "v", "ids", F.abs(F.hash("v")).cast("long").alias("salt")).mapInArrow(block_of, schema)
+    schema = f"leaf int, block int, kind int, query_id long, v {rows.schema['v'].dataType.simpleString()}, ids array<long>"
+    index = entries.select("v", "ids", F.abs(F.hash("v").cast("long")).alias("salt")).mapInArrow(deal, schema)
     # by number: a query's row is small, its search is not
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = rows.where(queries).select("id", "v").repartition(tasks, "id").mapInArrow(search, schema)
