@@ -5,8 +5,9 @@ space as single spaces.  An item of ``m`` bytes that occurs with at most ``k``
 edits shares at least ``m + 1 - q (k + 1)`` of its q-grams with the place, all
 within ``k + 1`` neighbouring diagonals (text position minus item position).  So
 shared q-grams are counted in overlapping bands of diagonals, wide enough that any
-such run lies in one band; a band that reaches the bound is verified by an
-alignment of the item within the band's diagonals.  ``k`` is ``edit_rate`` of the
+such run lies in one band.  A band that reaches the bound, and reaches it with
+different q-grams of the item, is verified by an alignment of the item within the
+band's diagonals, given up when no way in the band keeps the budget.  ``k`` is ``edit_rate`` of the
 item's length, less for items so short that the bound would not be positive.
 
 The items are broadcast in slices of at most ``SLICE_BYTES``; a larger benchmark
@@ -34,8 +35,8 @@ from tillroll.llm.common import small_batches
 GRAM, EDIT_RATE = 8, 0.1
 SLICE_BYTES = 8 << 20
 BLOCK = 1 << 20
-#: Diagonals by which bands are apart.
-STRIDE = 128
+#: Diagonals by which bands are apart, or the largest edit budget if that is more.
+STRIDE = 64
 
 _FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -44,18 +45,25 @@ def folded(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
-def align(item: bytes, text: bytes, diagonals: int) -> tuple[int, int]:
+def align(item: bytes, text: bytes, diagonals: int, limit: int | None = None) -> tuple[int, int]:
     """(edits, end): the fewest edits that turn ``item`` into a piece of ``text``
-    on the diagonals 0 to ``diagonals``, and where that piece ends."""
+    on the diagonals 0 to ``diagonals``, and where that piece ends.  Above
+    ``limit`` edits some number above it."""
     n, t = len(item), np.zeros(len(item) + diagonals + 1, np.uint8)
     raw = np.frombuffer(text[:len(t)], np.uint8)
     t[:len(raw)] = raw
-    steps = np.arange(diagonals + 1)
-    row = np.zeros(diagonals + 1, np.int64)
-    for i in range(n):
-        down = np.append(row[1:], n) + 1
-        row = np.minimum(row + (t[i:i + diagonals + 1] != item[i]), down)
-        row = np.minimum.accumulate(row - steps) + steps
+    limit = n if limit is None else limit
+    steps = np.arange(diagonals + 1, dtype=np.int32)
+    row, down = np.zeros(diagonals + 1, np.int32), np.full(diagonals + 1, n + 1, np.int32)
+    for i, c in enumerate(item):
+        np.add(row[1:], 1, out=down[:-1])
+        row += t[i:i + diagonals + 1] != c
+        np.minimum(row, down, out=row)
+        row -= steps
+        np.minimum.accumulate(row, out=row)
+        row += steps
+        if not i & 7 and row.min() > limit:
+            return limit + 1, n
     d = int(row.argmin())
     return int(row[d]), n + d
 
@@ -72,6 +80,7 @@ class Screen:
         self.bound = m + 1 - gram * (self.edits + 1)
         self.short = [i for i in range(len(items)) if len(items[i]) < gram]
         self.reach = int(self.edits.max(initial=0))
+        self.stride = max(STRIDE, self.reach)
         self.longest = int(m.max(initial=0))
         codes, owner, place = [], [], []
         for i, x in enumerate(items):
@@ -108,21 +117,25 @@ class Screen:
             return
         inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         hit = np.repeat(self.first[where], n) + inner
-        item = self.owner[hit]
-        diagonal = np.repeat(at, n) - self.place[hit] + self.longest  # not below zero
-        band = diagonal // STRIDE
-        again = (diagonal % STRIDE < self.reach) & (band > 0)
+        item, place = self.owner[hit], self.place[hit]
+        diagonal = np.repeat(at, n) - place + self.longest  # not below zero
+        band = diagonal // self.stride
+        again = (diagonal % self.stride < self.edits[item]) & (band > 0)
         key = np.concatenate([item * (1 << 32) + band, item[again] * (1 << 32) + band[again] - 1])
+        place = np.concatenate([place, place[again]])
         width = int(band.max()) + 1
         if len(self.items) * width <= 1 << 22:
             counts = np.bincount((key >> 32) * width + (key & 0xFFFFFFFF), minlength=len(self.items) * width).reshape(-1, width)
-            found = np.argwhere(counts >= np.maximum(self.bound, 1)[:, None])
+            enough = counts >= np.maximum(self.bound, 1)[:, None]
+            left = enough[key >> 32, key & 0xFFFFFFFF]
         else:
-            keys, times = np.unique(key, return_counts=True)
-            keys = keys[times >= np.maximum(self.bound, 1)[keys >> 32]]
-            found = np.column_stack([keys >> 32, keys & 0xFFFFFFFF])
-        for i, b in found.tolist():
-            yield i, b * STRIDE - self.longest
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            left = times[back] >= np.maximum(self.bound, 1)[key >> 32]
+        # a way through the band uses every q-gram of the item once at most
+        both = np.unique(np.column_stack([key[left], place[left]]), axis=0)
+        keys, times = np.unique(both[:, 0], return_counts=True)
+        for k in keys[times >= np.maximum(self.bound, 1)[keys >> 32]].tolist():
+            yield k >> 32, (k & 0xFFFFFFFF) * self.stride - self.longest
 
     def matches(self, texts: list[bytes]) -> list[dict[int, tuple[int, int]]]:
         """For each folded text: item -> (edits, end of the best piece)."""
@@ -131,7 +144,7 @@ class Screen:
             joined = b"\n".join(texts[first:last])
             starts = np.cumsum([0] + [len(t) + 1 for t in texts[first:last]])
             data = np.frombuffer(joined, np.uint8)
-            overlap = 2 * (self.longest + self.reach) + STRIDE
+            overlap = 2 * (self.longest + self.reach) + self.stride
             for a in range(0, max(1, len(data) - overlap), BLOCK):
                 part = data[a:a + BLOCK + overlap]
                 if len(part) < self.gram:
@@ -160,19 +173,19 @@ class Screen:
     def _verify(self, i: int, diagonal: int, joined: bytes, starts: np.ndarray, first: int,
                 out: list[dict[int, tuple[int, int]]]) -> None:
         item, k = self.items[i], int(self.edits[i])
-        low = max(0, diagonal - k)
-        high = diagonal + STRIDE + self.reach + k
+        low, high = diagonal - k, diagonal + self.stride + 2 * k
         end = min(len(joined), high + len(item) + 1)
-        doc = int(np.searchsorted(starts, low, side="right")) - 1
+        doc = int(np.searchsorted(starts, max(0, low), side="right")) - 1
         while doc < len(starts) - 1 and starts[doc] <= high:
             s, e = max(low, int(starts[doc])), min(end, int(starts[doc + 1]) - 1)
             found = out[first + doc]
             if e - s >= len(item) - k and not (i in found and found[i][0] == 0):
-                region = joined[s:e]
+                # bytes that match nothing stand for diagonals that begin before the document
+                region = bytes(s - low) + joined[s:e]
                 spot = region.find(item)
-                edits, stop = (0, spot + len(item)) if spot >= 0 else align(item, region, high - s)
+                edits, stop = (0, spot + len(item)) if spot >= 0 else align(item, region, high - low, k)
                 if edits <= k and (i not in found or edits < found[i][0]):
-                    found[i] = (edits, s - int(starts[doc]) + stop)
+                    found[i] = (edits, low - int(starts[doc]) + stop)
             doc += 1
 
 
