@@ -19,6 +19,8 @@ REPORT_OF = {
     "top_sellers.items": products.top_sellers, "top_earners.items": products.top_earners,
     "product_sales.items": products.product_sales_monthly,
     "coupons.orders": coupons.coupon_usage_overview, "coupons.items": coupons.coupons_most_used,
+    "coupons.totals": coupons.coupon_usage_overview, "coupons.most_used": coupons.coupons_most_used,
+    "coupons.greatest_discount": coupons.coupons_greatest_discount,
     "coupons.used": coupons.used_coupons, "coupons.monthly": coupons.coupon_discounts_monthly,
     "customers.customer_orders": customers.customer_guest_overview,
     "customers.guest_orders": customers.customer_guest_overview,

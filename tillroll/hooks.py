@@ -29,6 +29,9 @@ POINTS = {
     "product_sales.items": "line items of the chosen products (context: product_ids)",
     "coupons.orders": "completed posts in range (context: start, end)",
     "coupons.items": "coupon items in range (context: start, end)",
+    "coupons.totals": "coupon items of the usage overview (context: start, end)",
+    "coupons.most_used": "coupon items of the most used list (context: start, end)",
+    "coupons.greatest_discount": "coupon items of the greatest discount list (context: start, end)",
     "coupons.used": "coupon names ever used",
     "coupons.monthly": "coupon items of the year (context: year)",
     "customers.customer_orders": "orders with a customer",

@@ -54,6 +54,7 @@ def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
     """
     posts = _posts_in_range(shop, params, hooks)
     items = H.apply(hooks, "coupons.items", _coupon_items(shop, _range(params)), start=params.start, end=params.end)
+    items = H.apply(hooks, "coupons.totals", items, start=params.start, end=params.end)
     per_order = items.groupBy("order_id").agg(
         F.count("discount_amount").alias("k"), F.sum("discount_amount").alias("d"))
     per_post = posts.join(per_order, "order_id", "left")
@@ -70,13 +71,16 @@ def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> D
         positive_or_null(F.col("d")).cast("double").alias("total_discount"))
 
 
-def _named_in_range(shop: Shop, params: Params, hooks) -> DataFrame:
+def _named_in_range(shop: Shop, params: Params, hooks, point: str) -> DataFrame:
+    """Named coupon items in range; ``point`` is the list's own hook, after the
+    one that all coupon lists share."""
     if hooks and "coupons.orders" in hooks:
         items = _coupon_items(shop, _range(params)).join(_posts_in_range(shop, params, hooks), "order_id")
     else:
         items = _items_of_posts(shop, _range(params)(F.col("created")))
     items = items.filter(F.col("coupon") != "")
-    return H.apply(hooks, "coupons.items", items, start=params.start, end=params.end)
+    items = H.apply(hooks, "coupons.items", items, start=params.start, end=params.end)
+    return H.apply(hooks, point, items, start=params.start, end=params.end)
 
 
 def coupon_lookup(shop: Shop) -> DataFrame:
@@ -89,7 +93,7 @@ def coupon_lookup(shop: Shop) -> DataFrame:
 def coupons_most_used(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(rank, coupon, uses, coupon_id): 15 most used names in the range
     (ties: name ascending)."""
-    per = _named_in_range(shop, params, hooks).groupBy("coupon").agg(F.count(F.lit(1)).alias("uses"))
+    per = _named_in_range(shop, params, hooks, "coupons.most_used").groupBy("coupon").agg(F.count(F.lit(1)).alias("uses"))
     best = top_k(per, TOP, [F.col("uses").desc(), F.col("coupon").asc()])
     return lookup_bounded(best, coupon_lookup(shop), "coupon", ["coupon_id"]).select(
         "rank", "coupon", F.col("uses").cast("bigint"), "coupon_id")
@@ -97,7 +101,7 @@ def coupons_most_used(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataF
 
 def coupons_greatest_discount(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(rank, coupon, amount, coupon_id): 15 names with the largest discount."""
-    per = _named_in_range(shop, params, hooks).groupBy("coupon").agg(
+    per = _named_in_range(shop, params, hooks, "coupons.greatest_discount").groupBy("coupon").agg(
         F.sum("discount_amount").alias("amount"))
     best = top_k(per, TOP, [F.col("amount").desc(), F.col("coupon").asc()])
     return lookup_bounded(best, coupon_lookup(shop), "coupon", ["coupon_id"]).select(
