@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import os
+import random
+import string
 import zlib
 
 import pytest
@@ -75,6 +77,35 @@ def test_false_magic_and_damage(spark, tmp_path):
         assert sorted(page(r["record_id"]) for r in got) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("range_bytes", [5000, 1 << 23])
+def test_long_urls(spark, tmp_path, range_bytes):
+    """A header may be of any length, easy to compress or not."""
+    rng = random.Random(1)
+    any_kind = lambda n: "data:," + "".join(rng.choices(string.ascii_letters + string.digits + "é-_%", k=n))
+    urls = ["u", "x" * 66_000, any_kind(70_000), any_kind(200_000), "y" * 3_000_000, "é" * 40_000, "v"]
+    body = "same payload " * 20
+    pages = spark.createDataFrame([(i, u, body if i in (3, 5, 6) else f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = warc.write_warc(pages.repartition(2), str(tmp_path / "w"))
+    rows = warc.read_warc(spark, manifest, range_bytes).collect()
+    assert len(rows) == sum(r["records"] for r in manifest.collect()) == len(urls)
+    assert {page(r["record_id"]): r["target_uri"] for r in rows} == dict(enumerate(urls))
+    assert {page(r["record_id"]): page(r["refers_to"]) for r in rows if r["record_type"] == "revisit"} == {5: 3, 6: 3}
+
+
+def test_records_that_are_not_found_are_an_error(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 300)
+    manifest = warc.write_warc(pages.repartition(2), str(tmp_path / "w"))
+    for r in manifest.collect():
+        assert sum(r["begin"]) == r["records"] and len(r["begin"]) == -(-r["bytes"] // 300)
+    assert warc.read_warc(spark, manifest, 900).count() == warc.read_warc(spark, manifest, 300).count() == 16
+    path = manifest.first()["path"]
+    data = bytearray(open(path, "rb").read())
+    data[-20] ^= 0xFF
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="records begin in bytes"):
+        warc.read_warc(spark, manifest, 300).count()
+
+
 def test_empty(spark, pages, tmp_path):
     manifest = warc.write_warc(pages.where("false"), str(tmp_path / "w"))
     assert manifest.count() == 0 and warc.read_warc(spark, manifest).count() == 0

@@ -9,9 +9,11 @@ to it and carry no payload.
 
 The reader cuts the files into byte ranges.  A task scans its range for gzip
 magic, takes a candidate only if the bytes there inflate to a complete WARC
-header, and owns the records whose first byte lies inside its range, also when
-they end outside.  After a record the next one is expected at its end, so only
-the start of a range and damaged places are scanned.
+header of any length, and owns the records whose first byte lies inside its
+range, also when they end outside.  After a record the next one is expected at
+its end, so only the start of a range and damaged places are scanned.  The
+manifest has the number of records that begin in every ``RANGE_BYTES`` of a file;
+a task that finds another number fails.
 
 Files are opened through ``pyarrow.fs`` by URI: any store that driver and
 executors share.
@@ -43,8 +45,8 @@ MIN_REVISIT = 100
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: A record's header must end within so many bytes.
-HEADER_BYTES = 1 << 16
+#: Bytes of a header that are inflated at once.
+HEADER_PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ENDS = re.compile(r"[\r\n]")
@@ -89,7 +91,8 @@ def plan_records(pages: DataFrame, id_col: str, payload: Column, min_revisit: in
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
                payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Writes a record per row under ``folder`` and returns the manifest (path,
-    bytes, records).  Record ids are ``urn:page:<id>``."""
+    bytes, records, and the records that begin in every ``RANGE_BYTES``).  Record
+    ids are ``urn:page:<id>``."""
     spark = pages.sparkSession
     small_batches(spark)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -103,6 +106,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         task = TaskContext.get()
         name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         out, size, n = None, 0, 0
+        begin: list[int] = []
         for batch in batches:
             if out is None and batch.num_rows:
                 fs, path = _open(name)
@@ -114,12 +118,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 z = zlib.compressobj(3, zlib.DEFLATED, 31)
                 data = z.compress(record(rid, urls[i], value.as_py(), digests[i], refs[i] and f"urn:page:{refs[i]}")) + z.flush()
                 out.write(data)
+                begin += [0] * (size // RANGE_BYTES + 1 - len(begin))
+                begin[-1] += 1
                 size, n = size + len(data), n + 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
+            begin += [0] * ((size - 1) // RANGE_BYTES + 1 - len(begin))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([n]), pa.array([begin], pa.list_(pa.int64()))],
+                                             names=["path", "bytes", "records", "begin"])
 
-    return write_table(rows.mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
+    return write_table(rows.mapInArrow(run, "path string, bytes long, records long, begin array<long>"), "warc-manifest")
 
 
 class _Source:
@@ -150,15 +158,22 @@ def _header(data: bytes) -> dict[str, str] | None:
 
 
 def _is_record(source: _Source, at: int) -> bool:
-    """Whether the bytes there inflate to a complete WARC header."""
-    z, got, spot = zlib.decompressobj(31), b"", at
+    """Whether the bytes there inflate to a complete WARC header, however long."""
+    z, got, piece, spot = zlib.decompressobj(31), bytearray(), b"", at
     try:
-        while spot < source.size and len(got) < HEADER_BYTES and not z.eof:
-            piece = source.at(spot, min(4096, source.size - spot))
-            got += z.decompress(piece, HEADER_BYTES)
-            if b"\r\n\r\n" in got:
-                return _header(got) is not None
-            spot += len(piece)
+        while not z.eof:
+            if not piece:
+                piece = source.at(spot, min(4096, source.size - spot))
+                if not piece:
+                    return False
+                spot += len(piece)
+            seen = max(0, len(got) - 3)
+            got += z.decompress(piece, HEADER_PIECE)
+            piece = z.unconsumed_tail
+            if not b"WARC/".startswith(got[:5]):
+                return False
+            if got.find(b"\r\n\r\n", seen) >= 0:
+                return _header(bytes(got)) is not None
     except zlib.error:
         return False
     return False
@@ -204,18 +219,24 @@ def _bare(value: str | None) -> str | None:
 
 def read_warc(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of the files in ``manifest`` (path, bytes), one row each; of
-    a revisit ``payload`` is null, its length and digest are the full payload's."""
-    ranges = (manifest.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start"))
-              .withColumn("end", F.least(F.col("start") + range_bytes, "bytes")))
+    a revisit ``payload`` is null, its length and digest are the full payload's.
+    If the manifest has ``begin`` and ranges are multiples of ``RANGE_BYTES``, a
+    range with another number of records than written is an error."""
+    told, rest = divmod(range_bytes, RANGE_BYTES)
+    known = "begin" in manifest.columns and not rest
+    due = F.expr(f"aggregate(slice(begin, int(start div {RANGE_BYTES}) + 1, {told}), 0L, (a, x) -> a + x)") if known else F.lit(None).cast("long")
+    ranges = (manifest.select("*", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {range_bytes}L)")).alias("start"))
+              .select("path", "bytes", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end"), due.alias("due")))
     # by number: the rows are small, what they stand for is not
     tasks = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0]
     dealt = ranges.repartition(max(1, int(tasks or 0)), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, held = [], 0
+            for path, size, start, end, due in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, held, n = [], 0, 0
                 for at, head, block in _records(path, size, start, end):
+                    n += 1
                     cut = block.find(b"\r\n\r\n") + 4
                     http, payload = block[:cut], block[cut:]
                     kind = head["warc-type"]
@@ -230,6 +251,8 @@ def read_warc(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE
                     if held > 4 << 20:
                         yield _rows(rows)
                         rows, held = [], 0
+                if due is not None and n != due:
+                    raise ValueError(f"{path}: {n} records begin in bytes {start} to {end}, {due} were written")
                 if rows:
                     yield _rows(rows)
 
