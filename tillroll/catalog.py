@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import DEFAULT
 from .oracle import with_model
-from .session import range_partitions, scratch_path
+from .session import range_partitions, registry, scratch_path
 from .sources.star import item_rows_one_pass, load_shop, read_table, store_shop
 
 P = DEFAULT
@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-_SHOPS: dict[tuple[str, str], object] = {}
+_SHOPS: dict[tuple[str, str], object] = registry()
 
 
 def shop(spark: SparkSession, sf_dir: str):

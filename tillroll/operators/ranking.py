@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import write_table
-
 
 def top_k(df: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
     best = df.orderBy(*order).limit(k)
@@ -24,9 +22,9 @@ def lookup_bounded(keys: DataFrame, dim: DataFrame, on: str, cols: list[str]) ->
     """Left-join dimension columns onto a frame of at most a few rows (a top-k;
     missing dimension rows give nulls).
 
-    The keys are a written table, so the pipeline that found them runs once.
-    Broadcast (their number is the caller's k), they pick their rows out of the
-    dimension's scan: the dimension is read once and not shuffled."""
-    keys = write_table(keys, "lookup-keys")
+    Broadcast (their number is the caller's k), the keys pick their rows out of
+    the dimension's scan, which is read once and not shuffled; those rows, one a
+    key (``dim`` is unique on it), are broadcast back.  The keys stand in the plan
+    twice; their exchange is reused, so what found them runs once."""
     wanted = dim.select(on, *cols).join(F.broadcast(keys.select(on)), on, "left_semi")
-    return keys.join(wanted, on, "left")
+    return keys.join(F.broadcast(wanted), on, "left")

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import write_table
+from ..session import registry, write_table
 
-_TREES: dict[int, tuple[DataFrame, DataFrame]] = {}
+_TREES: dict[int, tuple[DataFrame, DataFrame]] = registry()
 
 
 def closure(categories: DataFrame) -> DataFrame:

@@ -105,7 +105,8 @@ coupon_dim AS (
 user_dim AS (
   SELECT c_custkey AS user_id, 'customer' AS role, CAST(NULL AS TIMESTAMP) AS user_registered FROM customer),
 signup_dim AS (
-  SELECT user_id, 'customer' AS role, ts AS user_registered FROM events WHERE event_type = 'signup')""",
+  SELECT user_id, 'customer' AS role, ts AS user_registered FROM events WHERE event_type = 'signup'
+  QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY ts, user_id) = 1)""",
 }
 
 DEPENDS = {"order_fact": ["order_money"], "coupon_dim": ["item_fact"]}

@@ -59,9 +59,9 @@ def signup_window(now: dt.datetime) -> tuple[dt.datetime, dt.date, int]:
 
 
 def in_signup_window(registered, now: dt.datetime):
-    """After now - 30 days (a full timestamp) and not after now."""
+    """After now - 30 days (a full timestamp); there is no upper bound."""
     start, _, _ = signup_window(now)
-    return (registered > ts_lit(start)) & (registered <= ts_lit(now))
+    return registered > ts_lit(start)
 
 
 def customer_signups_daily(shop: Shop, params: Params = DEFAULT) -> DataFrame:
@@ -69,7 +69,7 @@ def customer_signups_daily(shop: Shop, params: Params = DEFAULT) -> DataFrame:
 
     Registrations count when strictly after now - 30 days (a full timestamp,
     so the first day is partial); a later day outside the pre-seeded 30
-    (today) appears only when it has sign-ups.
+    (today, or one after it) appears only when it has sign-ups.
     """
     _, first_day, days = signup_window(params.signup_now)
     users = shop.signups.filter((F.col("role") == "customer")

@@ -58,6 +58,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return configure(spark)
 
 
+#: Temporary folders of local sessions without a checkpoint folder.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
@@ -75,13 +79,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError(
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/...) "
             "before running streams or lineage cuts on a cluster")
-    local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+        spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[application])
+    return _LOCAL_DIRS[application]
 
 
 _SCRATCH: list[str] = []
+_REGISTRIES: list[dict] = []
+
+
+def registry() -> dict:
+    """A dict of frames kept for the session, emptied when their folders go."""
+    _REGISTRIES.append({})
+    return _REGISTRIES[-1]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -93,15 +105,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the scratch folders this process made, when their frames are no
-    longer read; returns how many there were.  Works on any shared store."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    longer read; returns how many there were.  Works on any shared store.  Frames
+    kept for the session are forgotten: the next report stores its own anew."""
+    for registry in _REGISTRIES:
+        registry.clear()
     gone = 0
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+        folder = _SCRATCH.pop()
+        fs, path = file_system(spark, folder)
+        gone += bool(fs.delete(path(folder), True))
     return gone
 
 
+def file_system(spark: SparkSession, folder: str):
+    """(the store that holds ``folder``, the function that makes its paths)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def publish(spark: SparkSession, folder: str, number: int, text: str) -> bool:
+    """Make ``text`` the pointer ``number`` of ``folder``: written aside, then put in
+    place by one rename.  False if that number was published before."""
+    fs, path = file_system(spark, folder)
+    target, aside = path(f"{folder}/{number}"), path(f"{folder}/_{uuid.uuid4().hex}")
+    if fs.exists(target):
+        return False
+    fs.mkdirs(path(folder))
+    out = fs.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, target):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
+def published(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """(number, text) of the greatest pointer of ``folder``; (-1, None) without one."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path(folder)):
+        return -1, None
+    names = [status.getPath().getName() for status in fs.listStatus(path(folder))]
+    numbers = [int(name) for name in names if name.isdigit()]
+    if not numbers:
+        return -1, None
+    source = fs.open(path(f"{folder}/{max(numbers)}"))
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    source.close()
+    return max(numbers), text
+
+
 def range_partitions(spark: SparkSession) -> int:
     """Range partitions of a written or ranked table: as many as a shuffle has
     (set ``spark.sql.shuffle.partitions`` to the data), one per core at least."""

@@ -32,7 +32,7 @@ from ..functions.numbers import MONEY
 from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
 from ..operators.stats import global_rank
-from ..session import range_partitions, scratch_path
+from ..session import range_partitions, registry, scratch_path
 from . import star
 
 ID_KINDS, ORDER_KIND, PRODUCT_KIND, COUPON_KIND = 4, 0, 1, 2
@@ -142,7 +142,7 @@ def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwr
         getattr(raw, name).write.format(fmt).options(**opts).mode(mode).save(f"{path.rstrip('/')}/{name}")
 
 
-_EXPORTS: dict[tuple[str, str], RawShop] = {}
+_EXPORTS: dict[tuple[str, str], RawShop] = registry()
 
 
 def exported_raw(spark: SparkSession, sf_dir: str) -> RawShop:

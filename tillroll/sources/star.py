@@ -61,7 +61,8 @@ def _pct(c: str) -> F.Column:
     return F.floor(_rate(c) * 100).cast("int")
 
 
-def order_core(orders: DataFrame) -> DataFrame:
+def order_core(orders: DataFrame, *others: F.Column) -> DataFrame:
+    """The order columns that need no item, and ``others``."""
     key = F.col("o_orderkey")
     priority = F.substring("o_orderpriority", 1, 1)
     shipping = (F.when(priority == "1", F.lit(25)).when(priority == "2", F.lit(15))
@@ -79,6 +80,7 @@ def order_core(orders: DataFrame) -> DataFrame:
         (shipping * F.lit(0.08).cast("decimal(4,2)")).cast(MONEY).alias("shipping_tax"),
         F.when(F.col("o_custkey") % 10 == 0, F.lit(0).cast("bigint"))
          .otherwise(F.col("o_custkey")).alias("customer_id"),
+        *others,
     )
 
 
@@ -252,9 +254,12 @@ def user_dim(customer: DataFrame) -> DataFrame:
 
 
 def signup_dim(events: DataFrame) -> DataFrame:
-    # an event that arrives twice is one sign-up, as in the stream
-    return events.filter(F.col("event_type") == "signup").dropDuplicates(["event_id"]).select(
-        F.col("user_id"), F.lit("customer").alias("role"), F.col("ts").alias("user_registered"))
+    # an event that arrives twice is one sign-up, as in the stream; without an id each row is one
+    signups = events.filter(F.col("event_type") == "signup")
+    once = signups.filter(F.col("event_id").isNotNull()).groupBy("event_id").agg(
+        F.min(F.struct("ts", "user_id")).alias("e")).select("e.user_id", "e.ts")
+    every = once.unionByName(signups.filter(F.col("event_id").isNull()).select("user_id", "ts"))
+    return every.select("user_id", F.lit("customer").alias("role"), F.col("ts").alias("user_registered"))
 
 
 def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
