@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import DEFAULT
 from .oracle import with_model
-from .session import range_partitions, registry, scratch_path
-from .sources.star import item_rows_one_pass, load_shop, read_table, store_shop
+from .session import fingerprint, range_partitions, registry, scratch_path
+from .sources.star import TABLES, coupon_dim, item_rows_one_pass, load_shop, read_table
+from .sources.stored import store_shop
 
 P = DEFAULT
 START, END = P.start.isoformat(), P.end.isoformat()
@@ -46,20 +47,21 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-_SHOPS: dict[tuple[str, str], object] = registry()
+_SHOPS: dict[tuple[str, str], tuple[str, object]] = registry()
 
 
 def shop(spark: SparkSession, sf_dir: str):
     """The typed model of ``sf_dir``: mapped from the driver tables, each frame
     stored in the shared checkpoint folder when a report of the session first
     reads it (see ``StoredShop``), as the original's reports query the shop
-    database."""
+    database.  When the tables' files have changed since, it is mapped anew."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _SHOPS:
+    now = fingerprint(spark, [f"{key[1]}/{name}.parquet" for name in TABLES])
+    if key not in _SHOPS or _SHOPS[key][0] != now:
         one_pass = item_rows_one_pass(read_table(spark, sf_dir, "lineitem"))
-        _SHOPS[key] = store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), range_partitions(spark),
-                                 items=one_pass)
-    return _SHOPS[key]
+        _SHOPS[key] = now, store_shop(load_shop(spark, sf_dir), scratch_path(spark, "shop"), range_partitions(spark),
+                                      items=one_pass, coupons=coupon_dim)
+    return _SHOPS[key][1]
 
 
 # -- oracle fragments shared by several queries ------------------------------

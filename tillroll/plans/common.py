@@ -33,7 +33,7 @@ def items_of(shop: Shop, item_type: str) -> DataFrame:
 def date_hint(items: DataFrame, predicate) -> DataFrame:
     """Repeat an orders date predicate on the items' ``order_created``
     clustering column when the stored model has it (see
-    ``sources.star.store_shop``), so the scan skips data outside the range.
+    ``sources.stored``), so the scan skips data outside the range.
     Only a pruning hint: the join to the filtered orders still decides."""
     if "order_created" in items.columns:
         return items.filter(predicate(F.col("order_created")))

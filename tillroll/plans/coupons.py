@@ -47,17 +47,22 @@ def _items_of_posts(shop: Shop, condition, **keep) -> DataFrame:
 def coupon_usage_overview(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """(order_count, coupon_orders, coupon_pct, total_discount).
 
-    Coupon items are reduced to one row per order first (map-side combine,
-    so an order with very many coupon lines cannot skew the join), then
-    left-joined to the range's completed posts and summed globally.  The
+    The stored model's orders carry the number and sum of their coupon items.
+    Otherwise coupon items are reduced to one row per order first (map-side
+    combine, so an order with very many coupon lines cannot skew the join), then
+    left-joined to the range's completed posts.  All is summed globally; the
     last three are null ("n/a") when not positive.
     """
-    posts = _posts_in_range(shop, params, hooks)
-    items = H.apply(hooks, "coupons.items", _coupon_items(shop, _range(params)), start=params.start, end=params.end)
-    items = H.apply(hooks, "coupons.totals", items, start=params.start, end=params.end)
-    per_order = items.groupBy("order_id").agg(
-        F.count("discount_amount").alias("k"), F.sum("discount_amount").alias("d"))
-    per_post = posts.join(per_order, "order_id", "left")
+    if "coupon_uses" in shop.orders.columns and not set(hooks or ()) & {"coupons.orders", "coupons.items", "coupons.totals"}:
+        posts = shop.orders.filter(completed() & _range(params)(F.col("created")))
+        per_post = posts.select("order_id", F.col("coupon_uses").alias("k"), F.col("coupon_discount").alias("d"))
+    else:
+        posts = _posts_in_range(shop, params, hooks)
+        items = H.apply(hooks, "coupons.items", _coupon_items(shop, _range(params)), start=params.start, end=params.end)
+        items = H.apply(hooks, "coupons.totals", items, start=params.start, end=params.end)
+        per_order = items.groupBy("order_id").agg(
+            F.count("discount_amount").alias("k"), F.sum("discount_amount").alias("d"))
+        per_post = posts.join(per_order, "order_id", "left")
     if shop.fanout:
         # repeated posts: orders are counted once, the discount once per copy
         per_post = per_post.groupBy("order_id").agg(F.max("k").alias("k"), F.sum("d").alias("d"))

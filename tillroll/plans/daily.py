@@ -13,13 +13,13 @@ from ..operators.calendar import gap_fill, report_day_spine
 from .common import completed_orders, date_hint, items_of
 
 
-def orders_in_range(shop: Shop, params: Params, hooks=None) -> DataFrame:
+def orders_in_range(shop: Shop, params: Params, hooks=None, others=()) -> DataFrame:
     o = completed_orders(shop).filter(after_start_before_end_day(F.col("created"), params.start, params.end)
                                       & F.col("total").isNotNull())
     if shop.fanout:
         # the original groups this statement by order id: one row per order
         o = o.dropDuplicates(["order_id"])
-    return H.apply(hooks, "daily.orders", o.select("order_id", "created", "total"),
+    return H.apply(hooks, "daily.orders", o.select("order_id", "created", "total", *others),
                    start=params.start, end=params.end)
 
 
@@ -41,17 +41,21 @@ def daily_sales(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
 def daily_sales_summary(shop: Shop, params: Params = DEFAULT, hooks=None) -> DataFrame:
     """One row: total_sales, total_orders, total_items, average_total, average_items.
 
-    Items are abs(int()) of each order's quantity sum, then added up.  Line
-    quantities are summed per order before the join (map-side combine), so
-    one order with a huge number of lines is one row by the time it meets
-    the orders — the preserved side of a left join, which AQE could not
-    split for it.
+    Items are abs(int()) of each order's quantity sum, then added up.  The
+    stored model's orders carry that sum.  Otherwise line quantities are summed
+    per order before the join (map-side combine), so one order with a huge
+    number of lines is one row by the time it meets the orders — the preserved
+    side of a left join, which AQE could not split for it.
     """
-    o = orders_in_range(shop, params, hooks)
-    in_range = lambda c: after_start_before_end_day(c, params.start, params.end)
-    qty = (date_hint(items_of(shop, "line_item"), in_range)
-           .groupBy("order_id").agg(F.sum("qty").alias("qty")))
-    per_order = o.join(qty, "order_id", "left").select("order_id", "total", "qty")
+    carried = "line_qty" in shop.orders.columns and not (hooks and "daily.orders" in hooks)
+    o = orders_in_range(shop, params, hooks, ["line_qty"] if carried else [])
+    if carried:
+        per_order = o.select("order_id", "total", F.col("line_qty").alias("qty"))
+    else:
+        in_range = lambda c: after_start_before_end_day(c, params.start, params.end)
+        qty = (date_hint(items_of(shop, "line_item"), in_range)
+               .groupBy("order_id").agg(F.sum("qty").alias("qty")))
+        per_order = o.join(qty, "order_id", "left").select("order_id", "total", "qty")
     per_order = H.apply(hooks, "daily.order_items", per_order, start=params.start, end=params.end)
     agg = per_order.agg(F.sum("total").alias("s"), F.count(F.lit(1)).alias("n"),
                         F.sum(absint("qty")).alias("q"))

@@ -123,6 +123,16 @@ def file_system(spark: SparkSession, folder: str):
     return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """The files of ``paths`` (files, or folders of them) with their sizes and times."""
+    found = []
+    for name in paths:
+        fs, path = file_system(spark, name)
+        for status in fs.listStatus(path(name)):
+            found.append(f"{status.getPath().toString()} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
 def publish(spark: SparkSession, folder: str, number: int, text: str) -> bool:
     """Make ``text`` the pointer ``number`` of ``folder``: written aside, then put in
     place by one rename.  False if that number was published before."""

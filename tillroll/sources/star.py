@@ -27,8 +27,6 @@ parquet scans, so Catalyst prunes columns and pushes filters to the files.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -277,79 +275,3 @@ def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
         users=user_dim(read_table(spark, sf_dir, "customer")),
         signups=signup_dim(read_table(spark, sf_dir, "events")),
     )
-
-
-class StoredShop:
-    """The typed model as parquet tables under a shared folder, each written when
-    a report first reads it (lineage cut; a report on products alone writes no
-    order).  Other attributes are those of ``Shop``.
-
-    Layout chosen for the reports' access paths:
-
-    * orders: range-partitioned and sorted by ``created`` — every report
-      filters a date range, which the row-group statistics then prune;
-    * items: partitioned on disk by ``item_type`` (each report reads one
-      kind, so the others are never listed), and carrying their order's
-      status, type and ``created``, by which they are range-partitioned
-      and sorted: a report reads only the files and row groups of its range and
-      needs no join to test an order's status;
-    * categories, memberships, coupons and sign-ups (aggregates) as they come;
-      products and users are plain projections and stay lazy.
-
-    ``partitions`` sets the number of range partitions (files) per table.  Files
-    larger than ``spark.sql.files.maxPartitionBytes`` are read split by row
-    group, so the count bounds write parallelism, not read parallelism.
-    """
-
-    fanout = False
-
-    def __init__(self, shop: Shop, folder: str, partitions: int, items: DataFrame | None = None) -> None:
-        self._shop, self._root, self._partitions = shop, folder.rstrip("/"), partitions
-        self._items = shop.items if items is None else items
-        self.products, self.users = shop.products, shop.users
-
-    def _put(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
-        path = f"{self._root}/{name}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-        return df.sparkSession.read.parquet(path).select(*df.columns)
-
-    @cached_property
-    def orders(self) -> DataFrame:
-        # order_id breaks ties, so one hot timestamp (a bulk import) still
-        # spreads over several range partitions instead of filling one file
-        orders = self._shop.orders.repartitionByRange(self._partitions, "created", "order_id")
-        return self._put("orders", orders.sortWithinPartitions("created", "order_id"))
-
-    @cached_property
-    def items(self) -> DataFrame:
-        carried = self._shop.orders.select("order_id", F.col("status").alias("order_status"),
-                                           F.col("post_type").alias("order_post_type"), F.col("created").alias("order_created"))
-        items = self._items.join(carried, "order_id", "left")
-        items = items.repartitionByRange(self._partitions, "order_created", "order_id")
-        return self._put("items", items.sortWithinPartitions("order_created", "order_id"), partition_by="item_type")
-
-    @cached_property
-    def categories(self) -> DataFrame:
-        return self._put("categories", self._shop.categories)
-
-    @cached_property
-    def product_categories(self) -> DataFrame:
-        return self._put("product_categories", self._shop.product_categories)
-
-    @cached_property
-    def coupons(self) -> DataFrame:
-        return self._put("coupons", coupon_dim(self.items))
-
-    @cached_property
-    def signups(self) -> DataFrame:
-        return self._put("signups", self._shop.signups)
-
-
-def store_shop(shop: Shop, folder: str, partitions: int, items: DataFrame | None = None) -> StoredShop:
-    """``shop`` as tables under ``folder``, each written at its first use.
-    ``items`` may give the same item rows computed another way (e.g.
-    ``item_rows_one_pass``)."""
-    return StoredShop(shop, folder, partitions, items)
