@@ -47,3 +47,20 @@ def test_scans_read_only_needed_columns(spark):
     plan = _plan(QUERIES["daily_sales"](spark, SF0001))
     schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
     assert schemas and all("customer_id" not in s and "shipping" not in s for s in schemas)
+
+
+@pytest.mark.parametrize("key", ["eav_pivot_orders", "eav_pivot_items"])
+def test_pivots_of_bucketed_tables_shuffle_nothing(spark, key):
+    plan = _plan(QUERIES[key](spark, SF0001))
+    assert "hashpartitioning" not in plan and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("key", ["top_sellers", "top_earners", "coupons_most_used", "coupons_greatest_discount"])
+def test_top_lists_are_lazy(spark, key):
+    QUERIES[key](spark, SF0001)  # stores the model
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{key}"
+    spark.sparkContext.setJobGroup(group, "")
+    plan = _plan(QUERIES[key](spark, SF0001))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup(group)
+    assert "item_type" in plan and "lookup-keys" not in plan

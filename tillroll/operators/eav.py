@@ -29,12 +29,17 @@ def eav_pivot(meta: DataFrame, id_col: str, numeric: dict[str, tuple[str, str]]
     """
     numeric, text = numeric or {}, text or {}
     keys = list(numeric) + list(text)
-    m = meta.filter(F.col(key_col).isin(keys))
     key, value = F.col(key_col), F.col(value_col)
-    aggs = [(F.max if dtype == "bigint" else F.sum)(F.when(key == k, mysql_number(value, dtype))).cast(dtype).alias(name)
+    # coerced once a row, whatever the number of keys: small generated code
+    types = sorted({dtype for _, dtype in numeric.values()})
+    of_type = {t: [k for k, (_, dtype) in numeric.items() if dtype == t] for t in types}
+    m = meta.filter(key.isin(keys)).select(
+        F.col(id_col), key.alias("_key"), *([value.alias("_text")] if text else []),
+        *[F.when(key.isin(of_type[t]), mysql_number(value, t)).alias(f"_{i}") for i, t in enumerate(types)])
+    aggs = [(F.max if dtype == "bigint" else F.sum)(F.when(F.col("_key") == k, F.col(f"_{types.index(dtype)}"))).cast(dtype).alias(name)
             for k, (name, dtype) in numeric.items()]
-    aggs += [F.max(F.when(key == k, value)).alias(name) for k, name in text.items()]
-    return m.groupBy(F.col(id_col).alias(id_col)).agg(*aggs)
+    aggs += [F.max(F.when(F.col("_key") == k, F.col("_text"))).alias(name) for k, name in text.items()]
+    return m.groupBy(id_col).agg(*aggs)
 
 
 def duplicate_keys(meta: DataFrame, id_col: str, keys: list[str], key_col: str = "meta_key") -> DataFrame:

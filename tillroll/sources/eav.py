@@ -23,6 +23,7 @@ table, ``ITEM_KINDS`` ids to a line.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from ..functions.numbers import MONEY
 from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
 from ..operators.stats import global_rank
-from ..session import range_partitions, registry, scratch_path
+from ..session import fingerprint, range_partitions, registry, scratch_path
 from . import star
 
 ID_KINDS, ORDER_KIND, PRODUCT_KIND, COUPON_KIND = 4, 0, 1, 2
@@ -142,23 +143,49 @@ def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwr
         getattr(raw, name).write.format(fmt).options(**opts).mode(mode).save(f"{path.rstrip('/')}/{name}")
 
 
-_EXPORTS: dict[tuple[str, str], RawShop] = registry()
+#: Tables that joins and pivots read by an id, and that id.
+BUCKETED = {"posts": "ID", "postmeta": "post_id", "order_items": "order_item_id", "order_itemmeta": "order_item_id"}
+
+
+def store_raw(raw: RawShop, folder: str, buckets: int) -> RawShop:
+    """``raw`` as tables under ``folder``, the large ones bucketed and sorted by the
+    id their joins and pivots use: with equal bucket counts neither shuffles.  Set
+    ``buckets`` to the data (one task reads one); the tables' entries live in the
+    session's catalog."""
+    spark = raw.posts.sparkSession
+    name_of = f"tillroll_raw_{uuid.uuid4().hex[:12]}"
+    frames = {}
+    for name in RAW_TABLES:
+        df, path = getattr(raw, name), f"{folder.rstrip('/')}/{name}"
+        if name in BUCKETED:
+            by = BUCKETED[name]
+            # dealt as the buckets are: every task writes one file
+            (df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path)
+             .format("parquet").saveAsTable(f"{name_of}_{name}"))
+            frames[name] = spark.table(f"{name_of}_{name}")
+        else:
+            df.write.parquet(path)
+            frames[name] = spark.read.parquet(path)
+    return RawShop(**frames)
+
+
+_EXPORTS: dict[tuple[str, str], tuple[str, RawShop]] = registry()
 
 
 def exported_raw(spark: SparkSession, sf_dir: str) -> RawShop:
-    """The driver tables of ``sf_dir`` in raw export form, written once per
-    session as parquet under the shared checkpoint folder and read back.
+    """The driver tables of ``sf_dir`` in raw export form, stored once per
+    session under the shared checkpoint folder (anew when their files have changed).
 
     A shop's export is a set of stored tables; the operator queries over it
     (EAV pivots, semi-joins, coercion) read those tables, with the key
     filter pushed to the scan, instead of re-deriving them every time.
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _EXPORTS:
-        folder = scratch_path(spark, "raw-export")
-        write_raw(star_to_raw(spark, sf_dir), folder)
-        _EXPORTS[key] = read_raw(spark, folder)
-    return _EXPORTS[key]
+    now = fingerprint(spark, [f"{key[1]}/{name}.parquet" for name in star.TABLES])
+    if key not in _EXPORTS or _EXPORTS[key][0] != now:
+        raw = store_raw(star_to_raw(spark, sf_dir), scratch_path(spark, "raw-export"), range_partitions(spark))
+        _EXPORTS[key] = now, raw
+    return _EXPORTS[key][1]
 
 
 def raw_orders(raw: RawShop) -> DataFrame:
