@@ -1,10 +1,12 @@
 """Category tree operators: closure and membership.
 
 The closure (ancestor, term, depth) — every term paired with itself and all
-its descendants — grows by one level per step, a distributed join over the
-category dimension, until no new pair appears.  Every level is a written
-table.  A pair that is known already is not followed again, so a cycle ends,
-with the depth at which each pair was first reached.
+its descendants — grows by path doubling: a pair of a depth between 2^k and
+2^(k+1) is a known pair, one of at most 2^k, followed by one of exactly 2^k.  In
+a tree a term has one ancestor at that distance, so a round's join is no larger
+than its result, and depth d takes log2 d rounds.  Every round's new pairs are a
+written table.  A pair that is known already is not followed again, so a cycle
+ends; depths are those of the shortest way.
 """
 
 from __future__ import annotations
@@ -20,16 +22,21 @@ _TREES: dict[int, tuple[DataFrame, DataFrame]] = registry()
 def closure(categories: DataFrame) -> DataFrame:
     """(ancestor_id, term_id, depth): depth 0 pairs a term with itself."""
     edges = write_table(categories.select("term_id", "parent_id").filter(F.col("term_id").isNotNull()).distinct(), "category-edges")
-    known = level = write_table(
-        edges.select(F.col("term_id").alias("ancestor_id"), "term_id").distinct().withColumn("depth", F.lit(0)), "category-level")
-    below = edges.select(F.col("parent_id").alias("above"), F.col("term_id").alias("below"))
+    terms = edges.select("term_id").distinct()
+    known = terms.select(F.col("term_id").alias("ancestor_id"), "term_id", F.lit(0).alias("depth"))
+    step = (edges.filter("parent_id <> term_id").join(terms.select(F.col("term_id").alias("parent_id")), "parent_id", "left_semi")
+            .select(F.col("parent_id").alias("ancestor_id"), "term_id", F.lit(1).alias("depth")).distinct())
+    far = 1
     while True:
-        step = (level.join(below, level.term_id == below.above)
-                .select("ancestor_id", F.col("below").alias("term_id"), (F.col("depth") + 1).alias("depth")).distinct())
-        level = write_table(step.join(known, ["ancestor_id", "term_id"], "left_anti"), "category-level")
-        if level.isEmpty():
+        new = write_table(step, "category-level")
+        known = known.unionByName(new)
+        jumps = new.filter(F.col("depth") == far).select(F.col("ancestor_id").alias("above"), F.col("term_id").alias("below"))
+        if jumps.isEmpty():
             return known
-        known = known.unionByName(level)
+        step = (known.filter("depth > 0").join(jumps, F.col("term_id") == F.col("above"))
+                .groupBy("ancestor_id", F.col("below").alias("term_id")).agg((F.min("depth") + far).alias("depth"))
+                .join(known.select("ancestor_id", "term_id"), ["ancestor_id", "term_id"], "left_anti"))
+        far *= 2
 
 
 def materialized_closure(categories: DataFrame) -> DataFrame:
