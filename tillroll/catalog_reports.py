@@ -533,6 +533,17 @@ def q_eav_pivot_orders(spark, sf_dir):
     return ops.eav_pivot_orders(spark, sf_dir)
 
 
+@register("eav_repeated_keys", with_model(["order_fact"], """
+SELECT order_id, meta_key, CAST(n AS BIGINT) AS n
+FROM (SELECT order_id, unnest([{'k': '_order_total', 'n': 2, 'm': 97, 'r': 3, 'have': total IS NOT NULL},
+                               {'k': '_customer_user', 'n': 2, 'm': 97, 'r': 3, 'have': customer_id IS NOT NULL},
+                               {'k': '_order_tax', 'n': 3, 'm': 389, 'r': 5, 'have': order_tax IS NOT NULL}]) AS p FROM order_fact) t,
+     LATERAL (SELECT p.k AS meta_key, p.n AS n, p.have AND order_id * 4 % p.m = p.r AS hit) x
+WHERE hit"""))
+def q_eav_repeated_keys(spark, sf_dir):
+    return ops.eav_repeated_keys(spark, sf_dir)
+
+
 _NUMBERED = """
 numbered AS (
   SELECT *, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,

@@ -37,6 +37,27 @@ def _whole_text_is_candidate(c: Column) -> Column:
             & F.substring(c, -1, 1).isin(*_LAST_CHARS))
 
 
+def saturated(number: Column, dtype: str) -> Column:
+    """``number`` as ``dtype`` (decimal or bigint), beyond its range the nearest bound."""
+    if dtype == "bigint":
+        least, most = F.lit(LONG_MIN), F.lit(LONG_MAX)
+    else:
+        digits, scale = (int(x) for x in dtype[len("decimal("):-1].split(","))
+        bound = "9" * (digits - scale) + ("." + "9" * scale if scale else "")
+        least, most = F.lit("-" + bound).cast(dtype), F.lit(bound).cast(dtype)
+    return F.coalesce(number.try_cast(dtype), F.when(number < 0, least).when(number > 0, most))
+
+
+def coercion_counts(c, dtype: str = MONEY) -> dict[str, Column]:
+    """Counts over text values, by what ``mysql_number`` makes of them: all,
+    without a number (0), with text after it (dropped), beyond ``dtype`` (its bound)."""
+    c = _col(c)
+    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
+    beyond = (prefix != "") & prefix.try_cast(WIDE).try_cast(dtype).isNull() & (F.abs(prefix.try_cast("double")) >= 1)
+    return {"values": F.count(c), "not_numbers": F.count(F.when(prefix == "", c)),
+            "cut": F.count(F.when((prefix != "") & (prefix != F.trim(c)), c)), "saturated": F.count(F.when(beyond, c))}
+
+
 def mysql_number(c, dtype: str = "double") -> Column:
     """Text -> number the way MySQL's SUM/compare coerces it.
 
@@ -46,14 +67,18 @@ def mysql_number(c, dtype: str = "double") -> Column:
     (the common case) and only fall back to the prefix pattern when it
     fails; a double target always uses the pattern (the JVM's double parser
     also reads hex and "1d"-style text that MySQL does not).  A number that
-    the target cannot hold is an error (ANSI mode), never 0.
+    the target cannot hold is its nearest bound, never 0 and never an error
+    (``coercion_counts`` counts these).
     """
     c = _col(c)
     prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
     if dtype == "double":
         value = prefix.try_cast(dtype)
         return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(F.coalesce(value, F.lit(0).cast(dtype)))
-    number = F.when(prefix == "", F.lit(0).cast(dtype)).otherwise(prefix.cast(WIDE).cast(dtype))
+    # beyond 38 digits only the sign and whether it is large matter
+    far = F.when(F.abs(prefix.try_cast("double")) < 1, F.lit(0).cast(dtype)).otherwise(saturated(prefix.try_cast("double"), dtype))
+    near = saturated(prefix.try_cast(WIDE), dtype)
+    number = F.when(prefix == "", F.lit(0).cast(dtype)).otherwise(F.coalesce(near, far))
     return F.when(c.isNull(), F.lit(None).cast(dtype)).otherwise(
         F.coalesce(F.when(_whole_text_is_candidate(c), c.try_cast(dtype)), number))
 

@@ -3,6 +3,8 @@ text coercion, the hook registry and chart series."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,19 @@ def eav_pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.col(c).cast("double").alias(c) for c in _MONEY_OUT], "customer_id")
 
 
+def eav_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_id, meta_key, n): the order keys that an export has more than once, from
+    the pivot's own pass.  The export is the shop's with some rows written twice (the
+    total and customer of posts whose id leaves 3 over 97) or three times (the tax of
+    those that leave 5 over 389)."""
+    raw = eav.exported_raw(spark, sf_dir)
+    meta, post = raw.postmeta, F.col("post_id")
+    once = meta.filter((post % 97 == 3) & F.col("meta_key").isin("_order_total", "_customer_user"))
+    twice = meta.filter((post % 389 == 5) & (F.col("meta_key") == "_order_tax"))
+    o = eav.raw_orders(replace(raw, postmeta=meta.unionByName(once).unionByName(twice).unionByName(twice)), repeated="repeated")
+    return o.select(eav.source_key(F.col("order_id")).alias("order_id"), F.explode("repeated").alias("meta_key", "n"))
+
+
 def eav_pivot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items rebuilt from the raw export by one pivot of the item meta."""
     i = eav.raw_items(eav.exported_raw(spark, sf_dir))

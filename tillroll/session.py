@@ -150,13 +150,14 @@ def publish(spark: SparkSession, folder: str, number: int, text: str) -> bool:
     return True
 
 
-def published(spark: SparkSession, folder: str) -> tuple[int, str | None]:
-    """(number, text) of the greatest pointer of ``folder``; (-1, None) without one."""
+def published(spark: SparkSession, folder: str, number: int | None = None) -> tuple[int, str | None]:
+    """(number, text) of pointer ``number`` of ``folder``, the greatest if not given;
+    (-1, None) without one."""
     fs, path = file_system(spark, folder)
     if not fs.exists(path(folder)):
         return -1, None
     names = [status.getPath().getName() for status in fs.listStatus(path(folder))]
-    numbers = [int(name) for name in names if name.isdigit()]
+    numbers = [int(name) for name in names if name.isdigit() and number in (None, int(name))]
     if not numbers:
         return -1, None
     source = fs.open(path(f"{folder}/{max(numbers)}"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY
@@ -188,14 +188,15 @@ def exported_raw(spark: SparkSession, sf_dir: str) -> RawShop:
     return _EXPORTS[key][1]
 
 
-def raw_orders(raw: RawShop) -> DataFrame:
+def raw_orders(raw: RawShop, checks: Observation | None = None, repeated: str | None = None) -> DataFrame:
+    """The orders of an export; ``checks`` and ``repeated`` as in ``eav_pivot``."""
     posts = raw.posts.filter(F.col("post_type").isin(*ORDER_TYPES)).select(
         F.col("ID").alias("order_id"), "post_type", F.col("post_status").alias("status"),
         F.col("post_date").alias("created"))
-    meta = eav_pivot(raw.postmeta, "post_id", numeric=ORDER_KEYS).withColumnRenamed("post_id", "order_id")
+    meta = eav_pivot(raw.postmeta, "post_id", numeric=ORDER_KEYS, checks=checks, repeated=repeated).withColumnRenamed("post_id", "order_id")
     return posts.join(meta, "order_id", "left").select(
         "order_id", "post_type", "status", "created", "total", "shipping", "order_tax", "shipping_tax",
-        "order_discount", "cart_discount", "customer_id")
+        "order_discount", "cart_discount", "customer_id", *([] if repeated is None else [repeated]))
 
 
 def raw_items(raw: RawShop) -> DataFrame:
@@ -218,15 +219,16 @@ def raw_products(raw: RawShop) -> DataFrame:
                     "manage_stock", "stock", "stock_status"))
 
 
-def raw_to_shop(raw: RawShop, coupons: DataFrame | None = None, fanout: bool = False) -> Shop:
+def raw_to_shop(raw: RawShop, coupons: DataFrame | None = None, fanout: bool = False, checks: Observation | None = None) -> Shop:
     """The typed model of a raw export; ``fanout`` repeats order rows per
     term row of the order as the original statements do (see
-    ``model.legacy_fanout``)."""
+    ``model.legacy_fanout``).  ``checks`` observes the coercion of the orders' values
+    when a report first reads them."""
     items = raw_items(raw).drop("order_item_id")
     coupon_posts = raw.posts.filter(F.col("post_type") == "shop_coupon").select(
         F.col("ID").alias("coupon_id"), F.col("post_title").alias("title"), "post_status")
     shop = Shop(
-        orders=raw_orders(raw), items=items, products=raw_products(raw), categories=raw.categories,
+        orders=raw_orders(raw, checks), items=items, products=raw_products(raw), categories=raw.categories,
         product_categories=raw.term_relationships.select(F.col("object_id").alias("product_id"), "term_id"),
         coupons=coupon_posts if coupons is None else coupons, users=raw.users, signups=raw.signups)
     return legacy_fanout(shop, raw.term_relationships) if fanout else shop
