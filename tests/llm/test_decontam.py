@@ -120,3 +120,27 @@ def test_fixture_passages_are_found(spark):
     plain = {(r["doc_id"], i) for r in docs.collect() for i, t in items if t in " ".join((r["text"] or "").split())}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
     assert plain <= got and len(plain) > 10
+
+
+@pytest.mark.parametrize("shared", [2000])
+def test_pairs_in_parts(monkeypatch, shared):
+    """Counting in parts finds what counting at once finds, also beside repetition."""
+    items, rows = corpus()
+    items = [decontam.folded(i) for i in items if i] + [b"a" * 120, b"ab" * 40, b"one line again " * 6, b"a" * 60 + b"b" * 30 + b"a" * 60]
+    rng = random.Random(shared)
+    texts = [decontam.folded(t) for _, t in rows]
+    texts += [b"a" * 300, b"x" + b"ab" * 200, b"one line again " * 40, b"a" * 130 + b"b" * 29 + b"a" * 90, b"a" * 80]
+    texts += [t[:100] + b"a" * 200 + t[100:] + b" " + rng.choice(items) for t in texts[:8]]
+    whole = decontam.Screen(items).matches(texts)
+    assert sum(map(len, whole)) > 20
+    monkeypatch.setattr(decontam, "SHARED", shared)
+    assert decontam.Screen(items).matches(texts) == whole
+
+
+def test_repetitive_long_text():
+    """A long text of one line against an item of the same line, and one that nearly is."""
+    line = b"the same line again and again "
+    screen = decontam.Screen([line * 10, b"other words " * 9, (line * 4)[:-1] + b"but not this end of it"])
+    long = line * 100_000
+    found = screen.matches([long, b"clean text " * 30, b"x" * 400_000])
+    assert found[0][0][0] == 0 and set(found[0]) == {0} and found[1:] == [{}, {}]

@@ -117,6 +117,10 @@ def test_odd_rows(spark, docs_of):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "8", "None", "None"]
+    other, third = prose(71, 40), prose(72, 40)
+    shared = docs_of([(1, text := prose(70, 40)), (1, other), (1, other), (2, third), (3, text), (3, other), (4, third)])
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(shared).collect())
+    assert kept == sorted([(1, text), (1, other), (2, third)])
     empty = docs.where("false")
     assert simhash.simhash_clusters(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 

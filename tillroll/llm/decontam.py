@@ -10,9 +10,14 @@ different q-grams of the item, is verified by an alignment of the item within th
 band's diagonals, given up when no way in the band keeps the budget.  ``k`` is ``edit_rate`` of the
 item's length, less for items so short that the bound would not be positive.
 
-The items are broadcast in slices of at most ``SLICE_BYTES``; a larger benchmark
-is met in several passes over the documents.  Texts are scanned whole, joined to
-blocks of about ``BLOCK`` bytes, longer ones in overlapping blocks.
+The items are broadcast in slices of at most ``SLICE_BYTES``, whose index takes up
+to 56 bytes a byte; a larger benchmark is met in several passes over the documents.
+Texts are scanned whole, joined to blocks of about ``BLOCK`` bytes, longer ones in
+overlapping blocks.  Repetitive texts share a gram with many places of an item:
+beyond ``SHARED`` pairs of places, a block's pairs are counted in parts, each
+keeping the pairs of the bands that the next one can still add to, without items
+that the text is known to hold unchanged.  So a task holds one text, one index and
+about 100 bytes for each of ``SHARED`` pairs.
 
 Results for odd input: null and empty texts match nothing and stay; empty items
 are left out, items shorter than ``q`` bytes are looked for exactly, as words of
@@ -23,7 +28,7 @@ documents, an empty table gives an empty table; all columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,10 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import small_batches
 
 GRAM, EDIT_RATE = 8, 0.1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BLOCK = 1 << 20
+#: Pairs of places with a shared gram that are counted at once.
+SHARED = 1 << 21
 #: Diagonals by which bands are apart, or the largest edit budget if that is more.
 STRIDE = 64
 
@@ -89,8 +96,8 @@ class Screen:
                 codes.append(c), owner.append(np.full(len(c), i)), place.append(np.arange(len(c)))
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.owner = np.concatenate(owner)[order] if codes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if codes else np.zeros(0, np.int64)
+        self.owner = (np.concatenate(owner)[order] if codes else np.zeros(0)).astype(np.int32)
+        self.place = (np.concatenate(place)[order] if codes else np.zeros(0)).astype(np.int32)
         self.codes, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.bits = max(16, int(len(self.codes) * 16).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)
@@ -103,8 +110,9 @@ class Screen:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def _bands(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, first diagonal) of the bands that reach the item's bound."""
+    def _bands(self, data: np.ndarray, known: Callable[[int, int], np.ndarray | None]) -> Iterator[tuple[int, int]]:
+        """(item, first diagonal) of the bands that reach the item's bound; ``known``
+        tells of a stretch of ``data`` which items need no more of them."""
         codes = self._codes(data)
         at = np.flatnonzero(self.seen[self._slot(codes)])
         where = np.searchsorted(self.codes, codes[at])
@@ -115,14 +123,12 @@ class Screen:
         total = int(n.sum())
         if not total:
             return
+        if total > SHARED:
+            yield from self._bands_in_parts(at, where, known)
+            return
         inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        hit = np.repeat(self.first[where], n) + inner
-        item, place = self.owner[hit], self.place[hit]
-        diagonal = np.repeat(at, n) - place + self.longest  # not below zero
-        band = diagonal // self.stride
-        again = (diagonal % self.stride < self.edits[item]) & (band > 0)
-        key = np.concatenate([item * (1 << 32) + band, item[again] * (1 << 32) + band[again] - 1])
-        place = np.concatenate([place, place[again]])
+        key, place = self._banded(np.repeat(at, n), np.repeat(self.first[where], n) + inner)
+        band = key & 0xFFFFFFFF
         width = int(band.max()) + 1
         if len(self.items) * width <= 1 << 22:
             counts = np.bincount((key >> 32) * width + (key & 0xFFFFFFFF), minlength=len(self.items) * width).reshape(-1, width)
@@ -137,6 +143,43 @@ class Screen:
         for k in keys[times >= np.maximum(self.bound, 1)[keys >> 32]].tolist():
             yield k >> 32, (k & 0xFFFFFFFF) * self.stride - self.longest
 
+    def _banded(self, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item << 32 | band, place in the item) of the shared grams at text positions
+        ``at`` and index entries ``hit``, in every band that holds their diagonal."""
+        item, place = self.owner[hit].astype(np.int64), self.place[hit].astype(np.int64)
+        diagonal = at - place + self.longest  # not below zero
+        band = diagonal // self.stride
+        again = (diagonal % self.stride < self.edits[item]) & (band > 0)
+        key = np.concatenate([item * (1 << 32) + band, item[again] * (1 << 32) + band[again] - 1])
+        return key, np.concatenate([place, place[again]])
+
+    def _bands_in_parts(self, at: np.ndarray, where: np.ndarray,
+                        known: Callable[[int, int], np.ndarray | None]) -> Iterator[tuple[int, int]]:
+        """The bands of ``_bands`` from parts of ``SHARED`` pairs, in text order."""
+        n = self.count[where]
+        ends = np.cumsum(n)
+        total, width = int(ends[-1]), int(at[-1] + self.longest) // self.stride + 2
+        held = np.zeros(0, np.int64)  # (item, band, place) in one number: pairs of open bands, each place once
+        for a in range(0, total, SHARED):
+            b = min(a + SHARED, total)
+            row = np.searchsorted(ends, np.arange(a, b), side="right")
+            hit = self.first[where[row]] + np.arange(a, b) - (ends[row] - n[row])
+            done = known(int(at[row[0]]), int(at[row[-1]]) + self.gram)
+            if done is not None:
+                need = ~done[self.owner[hit]]
+                row, hit = row[need], hit[need]
+                held = held[~done[held // (width * (self.longest + 1))]]
+            key, place = self._banded(at[row], hit)
+            held = np.unique(np.concatenate([held, ((key >> 32) * width + (key & 0xFFFFFFFF)) * (self.longest + 1) + place]))
+            group = held // (self.longest + 1)
+            # a band's pairs lie before the end of its last diagonal
+            following = int(at[np.searchsorted(ends, b, side="right")]) if b < total else None
+            closed = np.ones(len(group), bool) if following is None else (group % width + 1) * self.stride + self.reach <= following
+            bands, times = np.unique(group[closed], return_counts=True)
+            held = held[~closed]
+            for k in bands[times >= np.maximum(self.bound, 1)[bands // width]].tolist():
+                yield k // width, (k % width) * self.stride - self.longest
+
     def matches(self, texts: list[bytes]) -> list[dict[int, tuple[int, int]]]:
         """For each folded text: item -> (edits, end of the best piece)."""
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
@@ -149,7 +192,16 @@ class Screen:
                 part = data[a:a + BLOCK + overlap]
                 if len(part) < self.gram:
                     continue
-                for i, diagonal in self._bands(part):
+
+                def known(lo: int, hi: int, a: int = a) -> np.ndarray | None:
+                    # the items that the only text of this stretch holds without an edit
+                    doc = int(np.searchsorted(starts, a + lo, side="right")) - 1
+                    if a + hi >= starts[doc + 1] or a + lo - self.longest - self.stride - self.reach < starts[doc]:
+                        return None
+                    whole = [i for i, (edits, _) in out[first + doc].items() if edits == 0]
+                    return np.isin(np.arange(len(self.items)), whole) if whole else None
+
+                for i, diagonal in self._bands(part, known):
                     self._verify(i, a + diagonal, joined, starts, first, out)
         for i in self.short:
             if self.items[i]:

@@ -74,8 +74,10 @@ def _search(sources: DataFrame, holds, lowest: float, highest: float, want_low:
 def solve(sources: DataFrame, budget: int | None = None, max_repeats: float | None = MAX_REPEATS,
           target_entropy: float | None = None) -> Mix | None:
     """``sources`` (tokens) -> the exponent in [0, 1] and the budget; None for no
-    tokens.  ``target_entropy`` is a share of the entropy of equal weights; with
-    both targets the larger exponent, which keeps within both, is taken."""
+    tokens.  ``target_entropy`` is a share of the entropy of equal weights.  As the
+    exponent grows, repetition and entropy fall: the first target bounds it from
+    below, the second from above.  The end that its target sets is taken, of both
+    the larger one.  Targets that no exponent meets are an error."""
     head = sources.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("top")).first()
     if not head["t"]:
         return None
@@ -92,12 +94,18 @@ def solve(sources: DataFrame, budget: int | None = None, max_repeats: float | No
         z = F.sum(F.pow(p, F.lit(a)))
         return F.ln(z) - F.lit(a) * F.sum(F.pow(p, F.lit(a)) * F.ln(p)) / z
 
-    exponent = 0.0
+    least, most = 0.0, 1.0
     if max_repeats is not None:
-        exponent = max(exponent, _search(sources, lambda a: repeats(a) <= max_repeats, 0.0, 1.0, True))
+        least = _search(sources, lambda a: repeats(a) <= max_repeats, 0.0, 1.0, True)
     if target_entropy is not None:
-        goal = target_entropy * math.log(n) - 1e-12
-        exponent = max(exponent, _search(sources, lambda a: entropy(a) >= goal, 0.0, 1.0, False))
+        most = _search(sources, lambda a: entropy(a) >= target_entropy * math.log(n) - 1e-12, 0.0, 1.0, False)
+    exponent = least if target_entropy is None else most
+    got = sources.agg(repeats(exponent).alias("repeats"), entropy(exponent).alias("entropy")).first()
+    if max_repeats is not None and got["repeats"] > max_repeats * (1 + 1e-6):
+        raise ValueError(f"no mix keeps within {max_repeats} repeats" + (
+            "" if target_entropy is None else f" at {target_entropy} of the entropy") + f": {got['repeats']:.4g} at exponent {exponent:.4g}")
+    if target_entropy is not None and got["entropy"] < target_entropy * math.log(n) - 1e-6:
+        raise ValueError(f"no mix has {target_entropy} of the entropy of equal weights")
     mass = sources.agg(F.sum(F.pow(p, F.lit(exponent))).alias("z")).first()["z"]
     met = float(budget) if budget is not None else total * mass * (top / total) ** (1.0 - exponent)
     return Mix(exponent, total, met)

@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import (UnionFind, binary_values, popcount, small_batches,
@@ -85,14 +85,18 @@ def fingerprint(text: bytes | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp) with ``fp`` the fingerprint as a signed long."""
+    """(id, t, fp) with ``t`` a hash of the text and ``fp`` the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in binary_values(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["id", "t", "fp"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _text_id(text_col).alias("t"))
+            .mapInArrow(run, "id long, t long, fp long"))
+
+
+def _text_id(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _byte_masks(max_bits: int) -> list[int]:
@@ -303,11 +307,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int, block: int = BLOCK) -> Data
     return first.where("c < 0").union(second).select("a", "b")
 
 
-def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """(``id_col``, fp, component_id): one row per row of ``docs``;
-    ``component_id`` is the smallest id that can be reached over links of at
-    most ``max_bits`` differing bits, itself included."""
+def _clusters(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their fingerprints, (fp, root, component_id) of each fingerprint)."""
     small_batches(docs.sparkSession)
     rows = write_table(fingerprints(docs, id_col, text_col, shingle_words), "simhash-fp")
     classes = write_table(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
@@ -315,16 +316,28 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows, linked.join(named, "root").select("fp", "root", "component_id")
+
+
+def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
+    """(``id_col``, fp, component_id): one row per row of ``docs``;
+    ``component_id`` is the smallest id that can be reached over links of at
+    most ``max_bits`` differing bits, itself included."""
+    rows, by_fp = _clusters(docs, id_col, text_col, shingle_words, max_bits)
+    return rows.join(by_fp.drop("root"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of every group
-    the document with the smallest id stays, once if its row is repeated.  Rows
-    without an id can't be named as a copy and stay."""
-    found = simhash_clusters(docs, id_col, text_col, shingle_words, max_bits)
-    stay = write_table(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "simhash-kept")
-    kept = docs.join(stay, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    the document with the smallest id stays, once if its row is repeated; of texts of
+    a group that share that id, the one with the smallest hash.  Texts of different
+    groups that share an id each stay.  Rows without an id can't be named as a copy
+    and stay."""
+    rows, by_fp = _clusters(docs, id_col, text_col, shingle_words, max_bits)
+    first = rows.where("id IS NOT NULL").join(by_fp, "fp").groupBy("root").agg(F.min(F.struct("id", "t")).alias("f"))
+    stay = write_table(first.select("f.id", "f.t").distinct(), "simhash-kept")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": _text_id(text_col)})
+    kept = keyed.join(stay, (F.col("__id") == stay["id"]) & (F.col("__t") == stay["t"]), "left_semi")
+    return kept.dropDuplicates(["__id", "__t"]).select(*docs.columns).union(docs.where(F.col(id_col).cast("long").isNull()))
