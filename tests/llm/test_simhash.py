@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tillroll.llm import simhash
+from tillroll.llm import components, simhash
 from tillroll.llm.components import connected_components
 
 
@@ -101,6 +102,31 @@ def test_cube_equals_pairs(max_bits):
     assert classes(simhash._cube(values, mask, max_bits)) == classes(simhash._pairs(values, max_bits, 8 - max_bits))
 
 
+def test_tally_rejects_and_counts():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    x[::3] &= np.uint64(0x00FF0000FF00FF80)
+    want = [sum((int(v) >> 8 * p) & 0xFF == 0 for p in range(8)) for v in x]
+    assert simhash._shared_bytes(x).tolist() == want
+    # three shared bytes put a pair into one list, the tally of four lets it go
+    a, b = 0x1122334455667788, 0x1122334400000000
+    three = np.array([a, a ^ 0x0101010101000000], np.uint64)
+    assert not simhash._pairs(three, 64, 4) and simhash._pairs(three, 64, 3)
+    assert simhash._pairs(np.array([a, b], np.uint64), 64, 4) == [(a, b)]
+    assert len(simhash._byte_masks(4)) == 35
+
+
+@pytest.mark.parametrize("max_bits", [1, 3, 4])
+def test_every_close_pair_meets(max_bits):
+    rng, masks = random.Random(max_bits), simhash._byte_masks(max_bits)
+    for _ in range(2000):
+        x = y = rng.getrandbits(64)
+        for bit in rng.sample(range(64), max_bits):
+            y ^= 1 << bit
+        assert any(x & m == y & m for m in masks)
+        assert simhash._pairs(np.array([x, y], np.uint64), max_bits, 8 - max_bits)
+
+
 def test_long_text_in_chunks(monkeypatch):
     text = prose(3, 2000).encode()
     whole = simhash.fingerprint(text, 4)
@@ -132,3 +158,13 @@ def test_components(spark):
     chain = spark.range(0, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(5)
     assert {r["root"] for r in connected_components(chain).collect()} == {0}
     assert connected_components(edges.where("false")).count() == 0
+
+
+def test_components_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(components, "FOREST_NODES", 4)
+    edges = [pa.RecordBatch.from_arrays([pa.array([i, i + 1]), pa.array([i + 1, i + 2])], names=["a", "b"]) for i in range(0, 40, 2)]
+    stars = [tuple(r.values()) for b in components._forest(iter(edges)) for r in b.to_pylist()]
+    sets = components.UnionFind()
+    for a, b in stars:
+        sets.union(a, b)
+    assert {sets.find(i) for i in range(41)} == {0}

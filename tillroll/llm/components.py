@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import UnionFind, write_table
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of one partition as stars (same connectivity, fewer rows)."""
-    sets = UnionFind()
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sets.union(a, b)
+#: Nodes whose components a task keeps in memory while it thins out its edges.
+FOREST_NODES = 1_000_000
+
+
+def _stars(sets: UnionFind) -> Iterator[pa.RecordBatch]:
     nodes = [x for x in sets.parent if sets.find(x) != x]
     for i in range(0, len(nodes), 100_000):
         part = nodes[i:i + 100_000]
@@ -32,6 +31,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars (same connectivity, fewer rows), a
+    stretch of ``FOREST_NODES`` nodes at a time."""
+    sets = UnionFind()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sets.union(a, b)
+        if len(sets.parent) >= FOREST_NODES:
+            yield from _stars(sets)
+            sets = UnionFind()
+    yield from _stars(sets)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long, no nulls) -> (node, root): one row per node that
     has an edge to another node; ``root`` is the smallest node of its component.

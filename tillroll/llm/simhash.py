@@ -2,18 +2,18 @@
 
 A document's fingerprint is the bitwise majority of the XXH64 values (seed 42)
 of its word shingles.  Two fingerprints within ``max_bits`` (at most 4) bits
-share at least ``8 - max_bits`` of their eight positional bytes, so every
-posting list is keyed by that many positional bytes and a pair is tallied where
-it meets: the shared positional bytes of a pair are counted once, in the first
-list both are in, the pair is retained when the tally reaches ``8 - max_bits``
-and the bit distance is verified.  Equal fingerprints are one entry of the index.
-
-Lists longer than ``BLOCK`` entries (thousands of near copies of one text) are
-not paired up: their entries go to a second index over the half bytes of the
-remaining positions, of which as many must be equal again.  What is left there
-are at most 16 free bits, so a list holds at most 65,536 different fingerprints
-whatever the input, and its components come from a sweep over that 16-bit cube.
-No link is lost and no list is expanded into all its pairs.
+share at least ``8 - max_bits`` of their eight positional bytes, and so at least
+one fewer of the first seven.  Posting lists are keyed by that many bytes of the
+first seven positions (35 lists a fingerprint for 4 bits).  Where two entries meet,
+the positional bytes they share are tallied over all eight positions; the pair is
+retained when the tally reaches ``8 - max_bits``, and its bit distance is verified.
+Equal fingerprints are one entry of the index.
+
+The entries of lists longer than ``BLOCK`` (thousands of near copies of one text)
+go, once each, to a second index over half bytes, of which ``16 - max_bits`` must be
+equal.  What is left there are at most 16 free bits, so a list holds at most 65,536
+different fingerprints whatever the input, and its components come from a sweep over
+that 16-bit cube.  No link is lost and no list is expanded into all its pairs.
 
 Results for odd input: null, empty and white-space texts have fingerprint zero
 and link like any other; rows without an id take part under their fingerprint
@@ -25,7 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,7 +40,9 @@ from tillroll.llm.components import connected_components
 
 SEED = 42
 #: Entries of a posting list that are compared with each other in one task.
-BLOCK = 1024
+BLOCK = 4096
+#: Edges that a task gathers before it hands them on.
+EDGES = 50_000
 #: Bytes of text whose words are held at once.
 CHUNK = 1 << 20
 
@@ -100,11 +102,12 @@ def _text_id(text_col: str) -> Column:
 
 
 def _byte_masks(max_bits: int) -> list[int]:
-    return [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), 8 - max_bits)]
+    """Masks of the posting lists: one byte fewer than close pairs share, of seven."""
+    return [sum(0xFF << (8 * p) for p in c) for c in combinations(range(7), 7 - max_bits)]
 
 
 def _half_masks(byte_mask: int, max_bits: int) -> list[int]:
-    """Masks of a byte list's second index: its bytes and half of the other half bytes."""
+    """Masks that keep ``byte_mask`` and all but ``max_bits`` of the other half bytes."""
     free = [4 * i for i in range(16) if not (byte_mask >> (4 * i)) & 0xF]
     return [byte_mask | sum(0xF << s for s in c) for c in combinations(free, len(free) - max_bits)]
 
@@ -113,17 +116,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes are equal, from the exclusive or of two fingerprints."""
+    some = x | x >> np.uint64(4)
+    some |= some >> np.uint64(2)
+    some |= some >> np.uint64(1)
+    return 8 - popcount(some & np.uint64(0x0101010101010101))
+
+
+def _close(x: np.ndarray, max_bits: int, min_bytes: int) -> np.ndarray:
+    """Which exclusive ors reach the tally of shared bytes and then the bit distance."""
+    kept = np.flatnonzero(_shared_bytes(x) >= min_bytes)
+    return kept[popcount(x[kept]) <= max_bits]
+
+
 def _pairs(values: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:
-    """Spanning edges of a list's link graph: tally shared positional bytes of
-    each pair, retain, verify."""
-    sets, edges, n = UnionFind(), [], len(values)
-    for i in range(n - 1):
-        x = values[i] ^ values[i + 1:]
-        near = np.flatnonzero((x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= min_bytes)
-        for j in near[popcount(x[near]) <= max_bits]:
-            a, b = int(values[i]), int(values[i + 1 + j])
-            if sets.union(a, b):
-                edges.append((a, b))
+    """Spanning edges of a list's link graph: every value found is compared with
+    those not yet found."""
+    edges, left = [], values
+    while len(left) > 1:
+        found, left = [int(left[0])], left[1:]
+        while found and len(left):
+            a = found.pop()
+            near = _close(left ^ np.uint64(a), max_bits, min_bytes)
+            if len(near):
+                new = left[near].tolist()
+                edges += [(a, b) for b in new]
+                found += new
+                left = np.delete(left, near)
     return edges
 
 
@@ -160,33 +180,40 @@ def _cube(values: np.ndarray, mask: int, max_bits: int) -> list[tuple[int, int]]
     return [(of[int(label[p])], v) for p, v in of.items() if label[p] != p]
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    pair = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-    n = len(pair)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.full(n, -1, np.int32))],
-                                      names=["a", "b", "c"])
+class _Edges:
+    """Edges of one task, without those that join what the batch has joined already."""
+
+    def __init__(self) -> None:
+        self.sets, self.edges = UnionFind(), []
+
+    def add(self, pairs: Iterable[tuple[int, int]]) -> None:
+        self.edges += [(a, b) for a, b in pairs if self.sets.union(a, b)]
+
+    def batch(self) -> pa.RecordBatch:
+        pair = np.array(self.edges, np.uint64).reshape(-1, 2).view(np.int64)
+        self.__init__()
+        return _link_batch(pair[:, 0], pair[:, 1], False)
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray, long: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), long))], names=["a", "b", "long"])
 
 
 def _lists(max_bits: int, block: int):
-    """Posting lists, sorted by key, to edges; long lists go on as (fp, -, c)."""
+    """Posting lists, sorted by key, to edges; entries of long lists go on as (fp, fp, long)."""
     min_bytes = 8 - max_bits
-    masks = np.array(_byte_masks(max_bits), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        held_c, held_n, is_long = -1, 0, False
-        edges: list[tuple[int, int]] = []
-
-        def long_rows(values: np.ndarray, c: int) -> pa.RecordBatch:
-            fp = pa.array(values.view(np.int64))
-            return pa.RecordBatch.from_arrays([fp, fp, pa.array(np.full(len(values), c, np.int32))], names=["a", "b", "c"])
+        held_n, is_long = 0, False
+        edges = _Edges()
 
         def close() -> None:
             if held_n > 1 and not is_long:
-                edges.extend(_pairs(np.concatenate(held), max_bits, min_bytes))
+                edges.add(_pairs(np.concatenate(held), max_bits, min_bytes))
 
         for cols, starts, goes_on in stream_groups(batches, ["c", "key"]):
-            fp, c = cols["fp"].view(np.uint64), cols["c"]
+            fp = cols["fp"].view(np.uint64)
             if not goes_on:
                 close()
                 held, held_n, is_long = [], 0, False
@@ -195,76 +222,64 @@ def _lists(max_bits: int, block: int):
             # lists of two that lie inside the batch, all at once
             twos = np.flatnonzero(sizes == 2)
             twos = twos[(twos > 0) & (twos < last)] if last else twos[:0]
-            if len(twos):
-                a, b = fp[starts[twos]], fp[starts[twos] + 1]
-                keep = popcount(a ^ b) <= max_bits
-                # of the lists that a pair is in, the first one by mask order speaks for it
-                a, b, own = a[keep], b[keep], c[starts[twos]][keep]
-                for x, y, k in zip(a.tolist(), b.tolist(), own.tolist(), strict=True):
-                    same = [i for i, m in enumerate(masks.tolist()) if not (x ^ y) & m]
-                    if len(same) and same[0] == k:
-                        edges.append((x, y))
+            a, b = fp[starts[twos]], fp[starts[twos] + 1]
+            near = _close(a ^ b, max_bits, min_bytes)
+            edges.add(zip(a[near].tolist(), b[near].tolist(), strict=True))
             some = np.flatnonzero(sizes > 2)
             for g in sorted({0, last, *some.tolist()}):
                 values = fp[starts[g]:starts[g] + sizes[g]]
                 if g:
                     close()
                     held, held_n, is_long = [], 0, False
-                held_c = int(c[starts[g]])
-                if is_long:
-                    yield long_rows(values, held_c)
-                elif held_n + len(values) > block:
-                    yield long_rows(np.concatenate([*held, values]), held_c)
-                    held, held_n, is_long = [], 0, True
-                else:
+                if not is_long and held_n + len(values) <= block:
                     held.append(values.copy())
                     held_n += len(values)
-            if len(edges) >= 50_000:
-                yield _edge_batch(edges)
-                edges.clear()
+                    continue
+                entries = np.concatenate([*held, values]).view(np.int64)
+                held, is_long = [], True
+                yield _link_batch(entries, entries, True)
+            if len(edges.edges) >= EDGES:
+                yield edges.batch()
         close()
-        if edges:
-            yield _edge_batch(edges)
+        yield edges.batch()
 
     return run
 
 
 def _half_keys(max_bits: int):
-    table = [np.array(_half_masks(m, max_bits), np.uint64) for m in _byte_masks(max_bits)]
+    masks = np.array(_half_masks(0, max_bits), np.uint64)
+    k = len(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            cs = batch.column(1).to_numpy(zero_copy_only=False)
-            for c in np.unique(cs):
-                fp, masks = fps[cs == c], table[c]
-                for i in range(0, len(fp), 2000):
-                    part = fp[i:i + 2000]
-                    n, k = len(part), len(masks)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(np.arange(k, dtype=np.int32) + np.int32(k * c), n)),
-                        pa.array((part[None, :] & masks[:, None]).ravel().view(np.int64)),
-                        pa.array(np.tile(part, k).view(np.int64))], names=["c", "key", "fp"])
+            for i in range(0, len(fps), 100):
+                fp = fps[i:i + 100]
+                n = len(fp)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.arange(k, dtype=np.int32), n)),
+                    pa.array((fp[None, :] & masks[:, None]).ravel().view(np.int64)),
+                    pa.array(np.tile(fp, k).view(np.int64))], names=["c", "key", "fp"])
 
     return run
 
 
 def _half_lists(max_bits: int, block: int):
-    masks = [m for b in _byte_masks(max_bits) for m in _half_masks(b, max_bits)]
+    masks = _half_masks(0, max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         held_c = -1
-        edges: list[tuple[int, int]] = []
+        edges = _Edges()
 
         def close() -> None:
             if not held:
                 return
-            values = np.unique(np.concatenate(held))
+            values = np.concatenate(held)
             if len(values) > block:
-                edges.extend(_cube(values, masks[held_c], max_bits))
+                edges.add(_cube(values, masks[held_c], max_bits))
             elif len(values) > 1:
-                edges.extend(_pairs(values, max_bits, 8 - max_bits))
+                edges.add(_pairs(values, max_bits, 8 - max_bits))
 
         for cols, starts, goes_on in stream_groups(batches, ["c", "key"]):
             fp, c = cols["fp"].view(np.uint64), cols["c"]
@@ -276,12 +291,10 @@ def _half_lists(max_bits: int, block: int):
                 held_c = int(c[s])
                 if e - s > 1 or g == len(starts) - 1 or (g == 0 and goes_on):
                     held.append(fp[s:e].copy())
-            if len(edges) >= 50_000:
-                yield _edge_batch(edges)
-                edges.clear()
+            if len(edges.edges) >= EDGES:
+                yield edges.batch()
         close()
-        if edges:
-            yield _edge_batch(edges)
+        yield edges.batch()
 
     return run
 
@@ -299,12 +312,11 @@ def fingerprint_links(fps: DataFrame, max_bits: int, block: int = BLOCK) -> Data
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(m) for m in masks])).alias("c", "key"))
-    first = write_table(_keyed(postings.select("c", "key", "fp")).mapInArrow(_lists(max_bits, block), "a long, b long, c int"),
-                        "simhash-lists")
-    longer = first.where("c >= 0").select(F.col("a").alias("fp"), "c")
-    second = _keyed(longer.mapInArrow(_half_keys(max_bits), "c int, key long, fp long")).mapInArrow(
-        _half_lists(max_bits, block), "a long, b long, c int")
-    return first.where("c < 0").union(second).select("a", "b")
+    out = "a long, b long, long boolean"
+    first = write_table(_keyed(postings.select("c", "key", "fp")).mapInArrow(_lists(max_bits, block), out), "simhash-lists")
+    longer = first.where("long").select(F.col("a").alias("fp")).distinct()
+    second = _keyed(longer.mapInArrow(_half_keys(max_bits), "c int, key long, fp long")).mapInArrow(_half_lists(max_bits, block), out)
+    return first.where("NOT long").union(second).select("a", "b")
 
 
 def _clusters(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
