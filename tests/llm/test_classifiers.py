@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -72,6 +73,31 @@ def test_chains_against_all_labellings():
     assert np.allclose(seen, expected)
 
 
+@pytest.mark.parametrize("block", [2, 3, 7, 64])
+def test_long_texts_in_blocks(monkeypatch, block):
+    """Blocks give what all lines at once give, whatever the odds and repeats."""
+    rng = np.random.default_rng(block)
+    model = quality.Model(rng.normal(size=3 * quality.N_OWN), 0.3, rng.normal(size=(2, 2)) * 2, (1.0, 0.0), 0.5)
+    lines = [[b"", b"same line", b"A B 12 !!", b"x", "é".encode(), b"word " * 9][k] + b"z" * int(n)
+             for k, n in zip(rng.integers(0, 6, 130), rng.integers(0, 3, 130), strict=True)]
+    texts = [b"\n".join(lines[:n]) + end for n in (1, 2, 3, 4, 7, 8, 9, 65, 130) for end in (b"", b"\n")] + [b"", b"\n\n\n"]
+    whole = model.raw(texts)
+    monkeypatch.setattr(quality, "BLOCK_LINES", block)
+    assert np.allclose(model.raw(texts), whole, atol=1e-12, equal_nan=True)
+    odds = rng.normal(size=50) * 300
+    good, _, _ = quality.chains(odds, np.array([0, 50]), model.trans)
+    assert np.allclose(quality.chain_marginals(odds, model.trans), good, atol=1e-9)
+
+
+def test_very_many_short_lines_stay_small():
+    model = quality.Model(np.full(3 * quality.N_OWN, 0.1), -0.2, np.zeros((2, 2)), (1.0, 0.0), 0.5)
+    tracemalloc.start()
+    score = model.scores([b"a\n" * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 40 << 20
+
+
 def test_line_features():
     texts = [b"one two\nTHREE!! 4\n", b"", b"\n\n", b"no end", b"same\nsame\nsame"]
     x, length, first = quality.line_features(texts)

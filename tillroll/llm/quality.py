@@ -10,9 +10,11 @@ documents turns that into the score.
 
 Training takes a labelled document's label for all its lines, from at most
 ``SAMPLE_ROWS`` documents of each label, ``SAMPLE_CHARS`` characters of each (both
-parameters); scoring reads whole texts.  A chain is scored in blocks of lines with
-the state's distribution carried over, so a long text needs no more memory than
-its features.
+parameters); scoring reads whole texts.  Texts are scored together up to
+``BLOCK_LINES`` lines; a longer text is scored in blocks of as many lines, with the
+forward messages carried from block to block and the backward ones from its end, the
+same marginals.  It holds the features of one block, 34 bytes a line (offsets, odds
+and messages) and its different lines (to tell repeats).
 
 Results for odd input: a null or empty text has no lines and gets the training
 documents' share of label 1; a text of blank lines is scored by those lines;
@@ -23,6 +25,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +40,8 @@ from tillroll.llm.common import binary_values, small_batches
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 4000
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
+#: Lines whose features are held at once.
+BLOCK_LINES = 8192
 
 #: Byte classes counted per line.
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t",
@@ -47,6 +52,7 @@ for _i, _chars in enumerate(_KINDS):
         _CLASS[_c] = _i
 N_CLASSES = 9
 N_OWN = N_CLASSES + 6
+SEEN_BEFORE = N_CLASSES + 3
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +152,46 @@ def chains(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np
     return good, z, expected
 
 
+def chain_marginals(odds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals of good along one long chain, from its lines' log-odds, by messages
+    that are log-odds themselves (two numbers less to carry than in ``chains``)."""
+    t00, t01, t10, t11 = (math.exp(t) for t in trans.ravel())
+    log, exp, n = math.log, math.exp, len(odds)
+    messages = np.empty(n)
+    for start in range(0, n, BLOCK_LINES):
+        block = []
+        for u in odds[start:start + BLOCK_LINES].tolist():
+            if start or block:
+                e = exp(min(max(last, -600.0), 600.0))
+                u += log((t01 + t11 * e) / (t00 + t10 * e))
+            last = u
+            block.append(u)
+        messages[start:start + len(block)] = block
+    back = 0.0
+    for end in range(n, 0, -BLOCK_LINES):
+        start = max(0, end - BLOCK_LINES)
+        block = []
+        for u in odds[start:end][::-1].tolist():
+            block.append(back)
+            e = exp(min(max(back + u, -600.0), 600.0))
+            back = log((t10 + t11 * e) / (t00 + t01 * e))
+        messages[start:end] += block[::-1]
+    return 1 / (1 + np.exp(-np.clip(messages, -600, 600)))
+
+
+def _line_ends(text: bytes) -> np.ndarray:
+    """Where the lines of a text end, its last one too."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    return ends if text.endswith(b"\n") else np.append(ends, len(text))
+
+
+def _blocks(text: bytes, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, end, text) of blocks of lines with a line more on either side."""
+    for i in range(0, len(ends), BLOCK_LINES):
+        low, high = max(i - 1, 0), min(i + BLOCK_LINES + 1, len(ends))
+        yield low, high, text[ends[low - 1] + 1 if low else 0:ends[high - 1]] + b"\n"
+
+
 def _weighted(good: np.ndarray, length: np.ndarray, first: np.ndarray, missing: float) -> np.ndarray:
     weight = length + 1.0
     top = np.concatenate([[0], np.cumsum(good * weight)])
@@ -166,10 +212,49 @@ class Model:
     share: float
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
+        """Length-weighted marginal of every text, nan without lines."""
+        counts = [t.count(b"\n") + (not t.endswith(b"\n")) if t else 0 for t in texts]
+        result, group, held = np.empty(len(texts)), [], 0
+        for i, n in enumerate([*counts, BLOCK_LINES]):
+            if held + n > BLOCK_LINES and group:
+                result[group] = self._together([texts[j] for j in group])
+                group, held = [], 0
+            if i < len(texts) and n > BLOCK_LINES:
+                result[i] = self._long(texts[i])
+            elif i < len(texts):
+                group.append(i)
+                held += n
+        if group:
+            result[group] = self._together([texts[j] for j in group])
+        return result
+
+    def _together(self, texts: list[bytes]) -> np.ndarray:
         x, length, first = line_features(texts)
         good, _, _ = chains(x @ self.weights + self.bias, first, self.trans)
         return _weighted(good, length, first, np.nan)
 
+    def _long(self, text: bytes) -> float:
+        ends = _line_ends(text)
+        n = len(ends)
+        repeated, seen = np.zeros(n + 2), set()  # of line i at i + 1, none beyond either end
+        done = 0
+        for low, high, part in _blocks(text, ends):
+            for i, line in enumerate(part[:-1].split(b"\n")[done - low:], done):
+                repeated[i + 1] = line in seen
+                seen.add(line)
+            done = high
+        del seen
+        odds = np.empty(n)
+        for low, high, part in _blocks(text, ends):
+            x, _, _ = line_features([part])
+            x[:, SEEN_BEFORE] = repeated[low + 1:high + 1]
+            x[:, N_OWN + SEEN_BEFORE] = repeated[low:high]
+            x[:, 2 * N_OWN + SEEN_BEFORE] = repeated[low + 2:high + 2]
+            inner = slice(int(low > 0), None if high == n else -1)  # lines beside the block lack a neighbour
+            odds[low:high][inner] = (x @ self.weights + self.bias)[inner]
+        weight = np.diff(ends, prepend=-1)  # a line's length and one
+        return float(chain_marginals(odds, self.trans) @ weight / weight.sum())
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.share)
