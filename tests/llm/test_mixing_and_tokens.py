@@ -138,6 +138,18 @@ def test_shards_hold_every_token_once(spark, docs_of, ranks, tmp_path):
     assert sum(83 in x for x in ids.values()) > 100
 
 
+@pytest.mark.parametrize("write_tasks", [1, 3])
+def test_few_tasks_write_the_same_shards(docs_of, ranks, tmp_path, write_tasks):
+    docs = docs_of([(i, prose(i, 3 + 7 * i % 90)) for i in range(70)]).repartition(3, "doc_id")
+
+    def shards(name, **tasks):
+        rows = tokens.materialise(docs, str(tmp_path / name), seq_len=16, shard_seqs=20, **tasks).collect()
+        return {p[1]: open(p[0], "rb").read() for p in {(r["path"], r["shard"]) for r in rows}}
+
+    many, few = shards("many"), shards("few", write_tasks=write_tasks)
+    assert len(many) > 5 and many == few
+
+
 def test_no_documents_no_shards(docs_of):
     assert tokens.materialise(docs_of([(1, "x")]).where("false")).count() == 0
 

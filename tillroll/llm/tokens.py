@@ -43,6 +43,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY, END = "byte_bpe_multi_50k.tiktoken", 50256
 SEQ_LEN, SHARD_SEQS = 1024, 16384
 KEY = 0x5EED
+#: Tasks that write shards, however many shards there are.
+WRITE_TASKS = 8192
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: How the vocabulary splits text before merging: a fixed value that belongs to it.
@@ -175,10 +177,11 @@ RESULT = "slot long, doc_ids array<bigint>, n_tokens int, shard int, path string
 
 def materialise(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                 seq_len: int = SEQ_LEN, shard_seqs: int = SHARD_SEQS, key: int = KEY,
-                ranks: bytes | None = None) -> DataFrame:
-    """Writes the shards under ``folder`` (default: a fresh shared one) and
-    returns a row per sequence: slot, doc_ids (documents it holds, in order),
-    n_tokens (without padding), shard, path, offset and length in bytes."""
+                ranks: bytes | None = None, write_tasks: int = WRITE_TASKS) -> DataFrame:
+    """Writes the shards under ``folder`` (default: a fresh shared one), in at most
+    ``write_tasks`` tasks, and returns a row per sequence: slot, doc_ids (documents
+    it holds, in order), n_tokens (without padding), shard, path, offset and length
+    in bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch_path(spark, "shards")
@@ -210,7 +213,9 @@ def materialise(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
                     names=["shard", "slots", "ids", "n_tokens", "z"])
 
     dealt = runs.mapInArrow(deal, "shard int, slots array<bigint>, ids array<array<bigint>>, n_tokens array<int>, z binary")
-    ranged = dealt.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
+    # a shard's task follows from its number: nothing is sampled, and a task writes a range of shards one by one
+    tasks = max(1, min(shards, write_tasks))
+    ranged = dealt.repartitionById(tasks, F.expr(f"int(shard * {tasks}L div {max(1, shards)}L)")).sortWithinPartitions("shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
