@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.numbers import coercion_counts, mysql_number, saturated
 
 
-def eav_pivot(meta: DataFrame, id_col: str, numeric: dict[str, tuple[str, str]] | None = None,
+def eav_pivot(meta: DataFrame, id_col: str | list[str], numeric: dict[str, tuple[str, str]] | None = None,
               text: dict[str, str] | None = None, key_col: str = "meta_key",
               value_col: str = "meta_value", checks: Observation | None = None, repeated: str | None = None) -> DataFrame:
-    """(id, one column per key).
+    """(id, one column per key); an id may be several columns.
 
     ``numeric`` maps key -> (column name, Spark type) with MySQL text
     coercion; ``text`` maps key -> column name (raw text kept).  Both checks run in
@@ -41,18 +41,19 @@ def eav_pivot(meta: DataFrame, id_col: str, numeric: dict[str, tuple[str, str]]
     if checks is not None:
         counted = F.when(key.isin(list(numeric)), value)
         wanted = wanted.observe(checks, *[c.alias(name) for name, c in coercion_counts(counted).items()])
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     m = wanted.select(
-        F.col(id_col), key.alias("_key"), *([value.alias("_text")] if text else []),
+        *ids, key.alias("_key"), *([value.alias("_text")] if text else []),
         *[F.when(key.isin(of_type[t]), mysql_number(value, t)).alias(f"_{i}") for i, t in enumerate(types)])
     aggs = [saturated((F.max if dtype == "bigint" else F.sum)(F.when(F.col("_key") == k, F.col(f"_{types.index(dtype)}"))), dtype).alias(name)
             for k, (name, dtype) in numeric.items()]
     aggs += [F.max(F.when(F.col("_key") == k, F.col("_text"))).alias(name) for k, name in text.items()]
     if repeated is None:
-        return m.groupBy(id_col).agg(*aggs)
+        return m.groupBy(*ids).agg(*aggs)
     counts = [F.count(F.when(F.col("_key") == k, 1)).alias(f"_n{i}") for i, k in enumerate(keys)]
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_n{i}").alias("n")) for i, k in enumerate(keys)]),
                      lambda p: p["n"] > 1)
-    wide = m.groupBy(id_col).agg(*aggs, *counts)
+    wide = m.groupBy(*ids).agg(*aggs, *counts)
     return wide.withColumn(repeated, F.when(F.size(pairs) > 0, F.map_from_entries(pairs))).drop(*[f"_n{i}" for i in range(len(keys))])
 
 

@@ -26,15 +26,17 @@ def global_rank(df: DataFrame, order: list[str], partitions: int) -> DataFrame:
     """``df`` with ``_rn`` (1-based rank in ``order``, which must be unique)
     and ``_n`` (row count), without a single-partition window.
 
-    Rows are range-partitioned on ``order``; each range partition numbers
-    its rows, and the ranks of the earlier partitions are added from the
-    partition sizes (one row per partition, so that small window is bounded
-    by ``partitions``, not by the data).
+    Rows are range-partitioned on ``order`` and sorted; each range partition numbers
+    its rows as it writes them, and the ranks of the earlier partitions are added from
+    the partition sizes (one row per partition, so that small window is bounded
+    by ``partitions``, not by the data).  The rows move once.
     """
     # written once and read for both branches: planned twice, the ranges would be
     # sampled twice, and the offsets would belong to other partitions
-    ranged = write_table(df.repartitionByRange(partitions, *order).withColumn("_pid", F.spark_partition_id()), "ranked")
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    ranged = write_table(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumns(
+        {"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    # the lower 33 bits are the row's place in its partition
+    local = ranged.withColumn("_lrn", F.col("_at") % (1 << 33) + 1)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -42,7 +44,7 @@ def global_rank(df: DataFrame, order: list[str], partitions: int) -> DataFrame:
         F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn("_rn", F.col("_off") + F.col("_lrn"))
-            .drop("_pid", "_lrn", "_off"))
+            .drop("_pid", "_at", "_lrn", "_off"))
 
 
 #: Accuracy of the quantile sketch, and the number of entities up to which the

@@ -24,7 +24,9 @@ table, ``ITEM_KINDS`` ids to a line.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from ..functions.numbers import MONEY
 from ..model import Shop, legacy_fanout
 from ..operators.eav import eav_pivot
 from ..operators.stats import global_rank
-from ..session import fingerprint, range_partitions, registry, scratch_path
+from ..session import data_partitions, fingerprint, range_partitions, registry, scratch_path, sized
 from . import star
 
 ID_KINDS, ORDER_KIND, PRODUCT_KIND, COUPON_KIND = 4, 0, 1, 2
@@ -86,6 +88,26 @@ class RawShop:
     signups: DataFrame
 
 
+class LazyRaw(RawShop):
+    """Raw tables of which those given as functions are made when they are first read:
+    a query over orders numbers and stores no item."""
+
+    def __init__(self, **tables) -> None:
+        object.__setattr__(self, "_tables", tables)
+
+    def __getattr__(self, name: str) -> DataFrame:  # a table that has not been read
+        if name not in RAW_TABLES:
+            raise AttributeError(name)
+        table = self._tables[name]
+        frame = table if isinstance(table, DataFrame) else table()
+        object.__setattr__(self, name, frame)
+        return frame
+
+    def with_tables(self, **tables) -> LazyRaw:
+        """These tables instead; the others stay unread."""
+        return LazyRaw(**{name: self.__dict__.get(name, self._tables[name]) for name in RAW_TABLES} | tables)
+
+
 RAW_TABLES = ("posts", "postmeta", "order_items", "order_itemmeta", "product_types",
               "term_relationships", "categories", "users", "signups")
 
@@ -145,45 +167,73 @@ def write_raw(raw: RawShop, path: str, fmt: str = "parquet", mode: str = "overwr
 
 #: Tables that joins and pivots read by an id, and that id.
 BUCKETED = {"posts": "ID", "postmeta": "post_id", "order_items": "order_item_id", "order_itemmeta": "order_item_id"}
-
-
-def store_raw(raw: RawShop, folder: str, buckets: int) -> RawShop:
-    """``raw`` as tables under ``folder``, the large ones bucketed and sorted by the
-    id their joins and pivots use: with equal bucket counts neither shuffles.  Set
-    ``buckets`` to the data (one task reads one); the tables' entries live in the
-    session's catalog."""
+#: Tables of items, and the column that their stored form has when items are numbered
+#: through: the range of ids that a row lies in.
+ITEM_TABLES, ID_RANGE = ("order_items", "order_itemmeta"), "id_range"
+
+
+def _id_ranges(df: DataFrame, last: int, buckets: int) -> DataFrame:
+    """``df`` with its range of item ids, of ``buckets`` equal ones up to ``last``.  A
+    range's number is the least that Spark's hash puts in a bucket of its own."""
+    numbers = df.sparkSession.range(64 * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("_nth")).agg(
+        F.min("id").alias(ID_RANGE))
+    nth = F.least(F.floor(F.col("order_item_id") * buckets / F.lit(last + 1)).cast("int"), F.lit(buckets - 1))
+    return (df.withColumn("_nth", nth).join(F.broadcast(numbers), "_nth", "left")
+            .select(*df.columns, F.coalesce(ID_RANGE, F.col("_nth").cast("bigint")).alias(ID_RANGE)))
+
+
+def store_raw(raw: RawShop, folder: str, buckets: int, last_item: Callable[[], int] | None = None) -> LazyRaw:
+    """``raw`` as tables under ``folder``, each stored when it is first read, the large
+    ones bucketed and sorted by the id their joins and pivots use: with equal bucket
+    counts neither shuffles.  Set ``buckets`` to the data (one task reads one); the
+    tables' entries live in the session's catalog.
+
+    ``last_item`` is given when items are numbered through up to that id and their rows
+    come in that order.  Their tables are then bucketed by equal ranges of ids and stored
+    where they are: a task writes the few ranges that its rows lie in, and nothing is
+    shuffled.  Joins within ranges shuffle nothing with
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off (see ``operators_demo``)."""
     spark = raw.posts.sparkSession
     name_of = f"tillroll_raw_{uuid.uuid4().hex[:12]}"
-    frames = {}
-    for name in RAW_TABLES:
-        df, path = getattr(raw, name), f"{folder.rstrip('/')}/{name}"
-        if name in BUCKETED:
+    last = cache(last_item or (lambda: 0))
+
+    def store(name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        with sized(spark, buckets):
+            df = getattr(raw, name)
+            if name not in BUCKETED:
+                df.write.parquet(path)
+                return spark.read.parquet(path)
             by = BUCKETED[name]
-            # dealt as the buckets are: every task writes one file
-            (df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path)
-             .format("parquet").saveAsTable(f"{name_of}_{name}"))
-            frames[name] = spark.table(f"{name_of}_{name}")
-        else:
-            df.write.parquet(path)
-            frames[name] = spark.read.parquet(path)
-    return RawShop(**frames)
+            if last_item is not None and name in ITEM_TABLES:
+                bucketed = _id_ranges(df, last(), buckets).write.bucketBy(buckets, ID_RANGE)  # in order as they come
+            else:
+                # dealt as the buckets are: every task writes one file
+                bucketed = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+            bucketed.option("path", path).format("parquet").saveAsTable(f"{name_of}_{name}")
+        return spark.table(f"{name_of}_{name}")
+
+    return LazyRaw(**{name: (lambda name=name: store(name)) for name in RAW_TABLES})
 
 
 _EXPORTS: dict[tuple[str, str], tuple[str, RawShop]] = registry()
 
 
 def exported_raw(spark: SparkSession, sf_dir: str) -> RawShop:
-    """The driver tables of ``sf_dir`` in raw export form, stored once per
-    session under the shared checkpoint folder (anew when their files have changed).
+    """The driver tables of ``sf_dir`` in raw export form, each stored once per
+    session, at its first use, under the shared checkpoint folder (anew when the files
+    have changed), in buckets in proportion to the files.
 
     A shop's export is a set of stored tables; the operator queries over it
     (EAV pivots, semi-joins, coercion) read those tables, with the key
     filter pushed to the scan, instead of re-deriving them every time.
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    now = fingerprint(spark, [f"{key[1]}/{name}.parquet" for name in star.TABLES])
+    files = [f"{key[1]}/{name}.parquet" for name in star.TABLES]
+    now = fingerprint(spark, files)
     if key not in _EXPORTS or _EXPORTS[key][0] != now:
-        raw = store_raw(star_to_raw(spark, sf_dir), scratch_path(spark, "raw-export"), range_partitions(spark))
+        last_item = lambda: (star.read_table(spark, sf_dir, "lineitem").count() + 1) * ITEM_KINDS - 1
+        raw = store_raw(star_to_raw(spark, sf_dir), scratch_path(spark, "raw-export"), data_partitions(spark, files), last_item)
         _EXPORTS[key] = now, raw
     return _EXPORTS[key][1]
 
@@ -200,11 +250,13 @@ def raw_orders(raw: RawShop, checks: Observation | None = None, repeated: str |
 
 
 def raw_items(raw: RawShop) -> DataFrame:
+    # items stored by ranges of their ids are joined within them
+    ids = ["order_item_id"] + [ID_RANGE] * all(ID_RANGE in getattr(raw, name).columns for name in ITEM_TABLES)
     items = raw.order_items.select(
-        "order_item_id", "order_id", F.col("order_item_type").alias("item_type"),
+        *ids, "order_id", F.col("order_item_type").alias("item_type"),
         F.col("order_item_name").alias("item_name"))
-    meta = eav_pivot(raw.order_itemmeta, "order_item_id", numeric=ITEM_KEYS)
-    return items.join(meta, "order_item_id", "left").select(
+    meta = eav_pivot(raw.order_itemmeta, ids, numeric=ITEM_KEYS)
+    return items.join(meta, ids, "left").select(
         "order_item_id", *star.ITEM_COLUMNS)
 
 
@@ -244,7 +296,8 @@ def _meta(df: DataFrame, id_col: str, pairs: dict[str, str], out_id: str) -> Dat
             .filter(F.col("meta_value").isNotNull()))
 
 
-def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
+def star_to_raw(spark: SparkSession, sf_dir: str) -> LazyRaw:
+    """The star tables as a raw export; lines are numbered when items are first read."""
     typed = star.load_shop(spark, sf_dir)
     orders = typed.orders.withColumn("order_id", post_id(F.col("order_id"), ORDER_KIND))
     order_posts = orders.select(
@@ -265,21 +318,26 @@ def star_to_raw(spark: SparkSession, sf_dir: str) -> RawShop:
         F.lit(None).cast("timestamp_ntz").alias("post_date"), F.col("title").alias("post_title"),
         F.lit(0).cast("bigint").alias("post_parent"))
 
-    lineitem = star.read_table(spark, sf_dir, "lineitem")
-    order = list(dict.fromkeys(["l_orderkey", *lineitem.columns]))
-    numbered = global_rank(lineitem, order, range_partitions(spark))
-    items = star.item_fact(numbered, item_id=F.col("_rn") * ITEM_KINDS)
-    items = items.withColumns({"order_id": post_id(F.col("order_id"), ORDER_KIND),
-                               "product_id": post_id(F.col("product_id"), PRODUCT_KIND)})
-    order_items = items.select(
-        "order_item_id", "order_id", F.col("item_type").alias("order_item_type"),
-        F.col("item_name").alias("order_item_name"))
-    item_meta = _meta(items, "order_item_id", {k: v[0] for k, v in ITEM_KEYS.items()}, "order_item_id")
+    @cache
+    def items() -> DataFrame:
+        lineitem = star.read_table(spark, sf_dir, "lineitem")
+        order = list(dict.fromkeys(["l_orderkey", *lineitem.columns]))
+        numbered = global_rank(lineitem, order, range_partitions(spark))
+        rows = star.item_rows_one_pass(numbered, item_id=F.col("_rn") * ITEM_KINDS)
+        return rows.withColumns({"order_id": post_id(F.col("order_id"), ORDER_KIND),
+                                 "product_id": post_id(F.col("product_id"), PRODUCT_KIND)})
+
+    def order_items() -> DataFrame:
+        return items().select("order_item_id", "order_id", F.col("item_type").alias("order_item_type"),
+                              F.col("item_name").alias("order_item_name"))
+
+    def item_meta() -> DataFrame:
+        return _meta(items(), "order_item_id", {k: v[0] for k, v in ITEM_KEYS.items()}, "order_item_id")
 
     cats = typed.categories
     rels = typed.product_categories.select(
         post_id(F.col("product_id"), PRODUCT_KIND).alias("object_id"), "term_id")
-    return RawShop(
+    return LazyRaw(
         posts=order_posts.unionByName(product_posts).unionByName(coupon_posts),
         postmeta=order_meta.unionByName(product_meta),
         order_items=order_items, order_itemmeta=item_meta,
