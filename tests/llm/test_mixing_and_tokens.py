@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -170,3 +171,16 @@ def test_targets_that_no_mix_meets_are_errors(spark):
     assert entropy == pytest.approx(0.5 * math.log(3), abs=1e-6)
     assert max(x ** (met.exponent - 1) for x in p) / p[0] ** (met.exponent - 1) <= 60
     assert mixing.solve(sources, budget=1000, max_repeats=2).exponent < 1
+
+
+def test_long_texts_are_cut_between_words_only(monkeypatch):
+    e = tokens.Encoder(tokens.vocabulary())
+    texts = ["", " ", "a b  c \n d\t e's  12 345 !? x " * 40, "\x00 \x01 b\x1c c\x85 d  e" * 30, " " * 200, "word" * 100]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(tokens, "PIECE_CHARS", size)
+        calls = []
+        monkeypatch.setattr(tokens.Encoder, "whole", lambda self, t: calls.append(t) or array("H", self.encoding.encode_ordinary(t)).tobytes())
+        for text in texts:
+            assert e.encode(text) == array("H", e.encoding.encode_ordinary(text)).tobytes()
+        assert len(calls) > len(texts)
+    assert tokens.encoder(tokens.vocabulary()) is tokens.encoder(tokens.vocabulary())

@@ -28,6 +28,7 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,11 @@ SEQ_LEN, SHARD_SEQS = 1024, 16384
 KEY = 0x5EED
 #: Tasks that write shards, however many shards there are.
 WRITE_TASKS = 8192
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Characters after which a text is cut at the next space that follows a word.
+PIECE_CHARS = 1 << 16
 #: How the vocabulary splits text before merging: a fixed value that belongs to it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACES = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S) ")
 
 
 def vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> bytes:
@@ -60,38 +61,32 @@ def vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> bytes:
 class Encoder:
     """Byte-level ids of a text as little-endian uint16.
 
-    A space between two words always begins a piece, so a text is encoded word by
-    word and a word's ids are remembered; a text with other runs of white space
-    before a space is encoded whole."""
+    A space after a word always begins a piece, so a long text is cut there and its
+    parts are encoded one by one: the list of ids held at a time stays small."""
 
     def __init__(self, ranks: bytes) -> None:
         import tiktoken
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _SPACES.search(text):
-            return self.whole(text)
-        known, out = self.known, []
-        words = text.split(" ")
-        for i, word in enumerate(words):
-            if i:
-                word = " " + word
-            ids = known.get(word)
-            if ids is None:
-                ids = self.whole(word)
-                if len(word) < 64:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
+        out, start = [], 0
+        while len(text) - start > PIECE_CHARS and (cut := _CUT.search(text, start + PIECE_CHARS)):
+            out.append(self.whole(text[start:cut.start()]))
+            start = cut.start()
+        out.append(self.whole(text[start:]))
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder(ranks: bytes) -> Encoder:
+    """The worker's encoder, made for its first task."""
+    return Encoder(ranks)
+
+
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.ndarray:
     """The slots of ``index`` (each below ``n``) in the keyed permutation of [0, n)."""
     if n <= 1:
@@ -124,7 +119,7 @@ def pack_sequences(docs: DataFrame, id_col: str, text_col: str, seq_len: int, ra
     end = np.array([END], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, z = Encoder(shared.value), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6)
+        texts, part, z = encoder(shared.value), TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6)
         buffer, at = bytearray(), 0
         owners: list[tuple[int, int | None]] = []  # (end offset in the buffer, document)
 
@@ -156,7 +151,7 @@ def pack_sequences(docs: DataFrame, id_col: str, text_col: str, seq_len: int, ra
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                buffer += encoder.encode(text or "")
+                buffer += texts.encode(text or "")
                 buffer += end
                 owners.append((len(buffer), doc))
                 while len(buffer) >= run_seqs * width:
