@@ -90,10 +90,12 @@ class RawShop:
 
 class LazyRaw(RawShop):
     """Raw tables of which those given as functions are made when they are first read:
-    a query over orders numbers and stores no item."""
+    a query over orders numbers and stores no item.  ``dealt`` may give the rows of a
+    bucketed table dealt by its id to a number of partitions, made another way."""
 
-    def __init__(self, **tables) -> None:
+    def __init__(self, dealt: dict[str, Callable[[int], DataFrame]] | None = None, **tables) -> None:
         object.__setattr__(self, "_tables", tables)
+        object.__setattr__(self, "dealt", dealt or {})
 
     def __getattr__(self, name: str) -> DataFrame:  # a table that has not been read
         if name not in RAW_TABLES:
@@ -105,7 +107,8 @@ class LazyRaw(RawShop):
 
     def with_tables(self, **tables) -> LazyRaw:
         """These tables instead; the others stay unread."""
-        return LazyRaw(**{name: self.__dict__.get(name, self._tables[name]) for name in RAW_TABLES} | tables)
+        dealt = {name: deal for name, deal in self.dealt.items() if name not in tables}
+        return LazyRaw(dealt, **{name: self.__dict__.get(name, self._tables[name]) for name in RAW_TABLES} | tables)
 
 
 RAW_TABLES = ("posts", "postmeta", "order_items", "order_itemmeta", "product_types",
@@ -200,16 +203,16 @@ def store_raw(raw: RawShop, folder: str, buckets: int, last_item: Callable[[], i
     def store(name: str) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}"
         with sized(spark, buckets):
-            df = getattr(raw, name)
             if name not in BUCKETED:
-                df.write.parquet(path)
+                getattr(raw, name).write.parquet(path)
                 return spark.read.parquet(path)
-            by = BUCKETED[name]
+            by, deal = BUCKETED[name], getattr(raw, "dealt", {}).get(name)
             if last_item is not None and name in ITEM_TABLES:
-                bucketed = _id_ranges(df, last(), buckets).write.bucketBy(buckets, ID_RANGE)  # in order as they come
+                bucketed = _id_ranges(getattr(raw, name), last(), buckets).write.bucketBy(buckets, ID_RANGE)  # in order as they come
             else:
-                # dealt as the buckets are: every task writes one file
-                bucketed = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+                # dealt as the buckets are: a task writes rows of one bucket
+                dealt = getattr(raw, name).repartition(buckets, by) if deal is None else deal(buckets)
+                bucketed = dealt.write.bucketBy(buckets, by).sortBy(by)
             bucketed.option("path", path).format("parquet").saveAsTable(f"{name_of}_{name}")
         return spark.table(f"{name_of}_{name}")
 
@@ -305,14 +308,19 @@ def star_to_raw(spark: SparkSession, sf_dir: str) -> LazyRaw:
         F.col("created").alias("post_date"),
         F.concat(F.lit("Order #"), source_key(F.col("order_id")).cast("string")).alias("post_title"),
         F.lit(0).cast("bigint").alias("post_parent"))
-    order_meta = _meta(orders, "order_id", {k: v[0] for k, v in ORDER_KEYS.items()}, "post_id")
 
     products = typed.products.withColumn("ID", post_id(F.col("product_id"), PRODUCT_KIND))
     product_posts = products.select(
         "ID", "post_type", "post_status", F.lit(None).cast("timestamp_ntz").alias("post_date"),
         F.col("title").alias("post_title"),
         F.coalesce(post_id(F.col("parent_id"), PRODUCT_KIND), F.lit(0).cast("bigint")).alias("post_parent"))
-    product_meta = _meta(products, "ID", PRODUCT_TEXT_KEYS, "post_id")
+
+    def post_meta(buckets: int | None = None) -> DataFrame:
+        # orders and products are dealt, not their meta rows, of which each has up to seven
+        deal = lambda df, by: df if buckets is None else df.repartition(buckets, by)
+        return _meta(deal(orders, "order_id"), "order_id", {k: v[0] for k, v in ORDER_KEYS.items()}, "post_id").unionByName(
+            _meta(deal(products.select("ID", *PRODUCT_TEXT_KEYS.values()), "ID"), "ID", PRODUCT_TEXT_KEYS, "post_id"))
+
     coupon_posts = typed.coupons.select(
         post_id(F.col("coupon_id"), COUPON_KIND).alias("ID"), F.lit("shop_coupon").alias("post_type"), "post_status",
         F.lit(None).cast("timestamp_ntz").alias("post_date"), F.col("title").alias("post_title"),
@@ -338,8 +346,9 @@ def star_to_raw(spark: SparkSession, sf_dir: str) -> LazyRaw:
     rels = typed.product_categories.select(
         post_id(F.col("product_id"), PRODUCT_KIND).alias("object_id"), "term_id")
     return LazyRaw(
+        dealt={"postmeta": post_meta},
         posts=order_posts.unionByName(product_posts).unionByName(coupon_posts),
-        postmeta=order_meta.unionByName(product_meta),
+        postmeta=post_meta,
         order_items=order_items, order_itemmeta=item_meta,
         product_types=products.filter(F.col("product_type").isNotNull()).select(
             F.col("ID").alias("product_id"), "product_type"),
